@@ -63,6 +63,9 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     n = width * height * channels
     if width < 1 or height < 1 or not 0 < most < 65536:
         raise BadImage("bad Netpbm header")
+    need = {b"P4": -(-width // 8) * height, b"P5": n, b"P6": n}.get(kind, 0) * (1 if most < 256 else 2)
+    if len(data) < at + 1 + need:
+        raise BadImage("short Netpbm data")
     if kind in (b"P1", b"P2", b"P3"):
         plain = re.sub(rb"#[^\n]*", b"", data[at:])
         values = np.array([c - 48 for c in plain if c in b"01"] if kind == b"P1" else plain.split(), dtype=np.int64)[:n]

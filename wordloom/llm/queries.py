@@ -1,13 +1,15 @@
 """The queries of the numbered operators, and SQL for those that SQL can express."""
 
-from wordloom.llm import decontaminate, media, packing, tokens, warc
+from wordloom.llm import decontaminate, media, packing, secrets, simhash, tokens, warc
 
 QUERIES = {
+    "op1_secrets": secrets.query,
     "op2_media": media.query,
     "op5_warc": warc.query,
     "op6_decontaminate": decontaminate.query,
     "op7_packing": packing.query,
     "op8_tokens": tokens.query,
+    "op10_simhash": simhash.query,
 }
 
 SQL = {
