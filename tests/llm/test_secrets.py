@@ -38,16 +38,15 @@ def test_empty(spark, awkward):
     assert secrets.find_secrets(awkward.limit(0)).count() == 0
 
 
-def test_random_strings_found_and_words_left(spark):
+def test_random_strings_found_and_words_left(spark, documents):
     rng = random.Random(3)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    words = "the quick brown fox jumps over a lazy dog while extraordinarily incomprehensibilities confuse nobody".split()
-    keys = ["".join(rng.choices(letters, k=32)) for _ in range(20)]
-    texts = [" ".join(rng.choices(words, k=60)) for _ in range(200)] + [f"see {k} here" for k in keys]
+    texts = [t for _, t, _ in documents] + [f"see {''.join(rng.choices(letters, k=32))} here" for _ in range(20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: [s for s in r.spans if s.kind == "random"] for r in secrets.find_secrets(docs).collect()}
-    assert not any(found[i] for i in range(200))
-    assert sum(bool(found[200 + i]) and (found[200 + i][0].start, found[200 + i][0].end) == (4, 36) for i in range(20)) >= 18
+    n = len(documents)
+    assert sum(bool(found[i]) for i in range(n)) <= n // 100
+    assert sum(bool(found[n + i]) and (found[n + i][0].start, found[n + i][0].end) == (4, 36) for i in range(20)) >= 18
 
 
 def test_redact(spark):
