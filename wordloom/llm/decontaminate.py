@@ -181,6 +181,12 @@ def find_overlaps(
     return map_texts(docs, text_col, make, FIELDS, keep)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without any occurrence, all their columns unchanged."""
+    packed = docs.select(F.struct(*docs.columns).alias("__kept"), "text")
+    return find_overlaps(packed, benchmark, keep=["__kept"]).filter("n_hit = 0").select("__kept.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(

@@ -1,14 +1,17 @@
 """The queries of the numbered operators, and SQL for those that SQL can express."""
 
-from wordloom.llm import decontaminate, media, packing, secrets, simhash, tokens, warc
+from wordloom.llm import decontaminate, langid, lm, media, packing, secrets, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secrets": secrets.query,
     "op2_media": media.query,
+    "op3_toxicity": toxicity.query,
+    "op4_langid": langid.query,
     "op5_warc": warc.query,
     "op6_decontaminate": decontaminate.query,
     "op7_packing": packing.query,
     "op8_tokens": tokens.query,
+    "op9_lm": lm.query,
     "op10_simhash": simhash.query,
 }
 
