@@ -2,7 +2,8 @@
 
 Categories are predicted one after another by linear (logistic) models. Each later model also gets the probabilities
 of the earlier categories as features; for training these are out-of-fold predictions, so that it meets them as they
-will be on unseen documents. Features are the presence of informative words and a few shape measures of the text.
+will be on unseen documents. Features are the presence of informative words and beginnings of words, and
+a few shape measures of the text.
 
 Words are chosen and models fitted on a bounded sample of labelled rows (``SAMPLE``); every document is scored over its
 whole text. A category's threshold is the one with the best F1 on out-of-fold predictions.
@@ -16,6 +17,8 @@ give none; columns named like a result are replaced.
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,21 +29,43 @@ from pyspark.sql import types as T
 from wordloom.llm.common import map_texts, sampled, table
 
 #: Labelled rows used, words chosen for each category, least documents of a word, and folds.
-SAMPLE, WORDS, LEAST, FOLDS = 8_000, 96, 3, 5
+SAMPLE, WORDS, LEAST, FOLDS = 6_000, 80, 3, 5
 RIDGE, STEPS = 1e-3, 150
 WORD = re.compile(r"\w+")
+#: Beginnings of words that are features too, so that inflected and compound forms are met.
+PREFIXES = (3, 5, 7)
+#: A feature is present from one occurrence on, and present once more from so many on.
+OFTEN = 3
 SHAPES = 4
+#: Words whose features a worker remembers.
+REMEMBERED = 300_000
 
+#: Of every byte: 0 capital, 1 other letter, digit or byte of a longer character, 2 sign, 3 white space.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
+_KIND[65:91] = 0
+_KIND[[9, 10, 11, 12, 13, 32]] = 3
 
-def distinct_words(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+
+def parts(word: str) -> list[str]:
+    """The features of a word: itself and its beginnings."""
+    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+
+
+def features_of(text: str) -> list[str]:
+    """All that are present; those that are so often once more, marked."""
+    seen: Counter = Counter()
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        for p in parts(word):
+            seen[p] += n
+    return [*seen, *(p + "#" for p, n in seen.items() if n >= OFTEN)]
 
 
 def shapes(text: str) -> list[float]:
-    """Log length, and the shares of capitals, of signs and of words in the text."""
-    n = max(1, len(text))
-    letters = sum(map(str.isalpha, text)) if n < 4096 else len(re.findall(r"[^\W\d_]", text))
-    return [np.log1p(n) / 10, len(re.findall(r"[A-Z]", text)) / max(1, letters), len(re.findall(r"[^\w\s]", text)) / n, text.count(" ") / n]
+    """Log length, and the shares of capitals, of signs and of white space."""
+    kinds = np.bincount(_KIND[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], minlength=4)
+    n = max(1, int(kinds.sum()))
+    return [np.log1p(n) / 10, kinds[0] / max(1, kinds[0] + kinds[1]), kinds[2] / n, kinds[3] / n]
 
 
 @dataclass
@@ -61,7 +86,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> Linear:
     weight = np.where(y > 0, 0.5 / yes, 0.5 / (n - yes))
     z = np.column_stack([x, np.ones(n)])
     ridge = np.append(np.full(x.shape[1], RIDGE), 0)
-    rate = 1 / (0.25 * np.linalg.norm(z * np.sqrt(weight)[:, None], 2) ** 2 + RIDGE)
+    v = np.ones(z.shape[1])
+    for _ in range(20):  # the largest curvature, by power iteration
+        v = z.T @ (weight * (z @ v))
+        top = np.linalg.norm(v)
+        v /= top
+    rate = 1 / (0.3 * top + RIDGE)
     w = ahead = np.zeros(z.shape[1])
     for k in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(z @ ahead, -30, 30)))
@@ -89,11 +119,22 @@ class Chain:
     models: list[Linear] = field(default_factory=list)
     thresholds: list[float] = field(default_factory=list)
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        x = np.zeros((len(texts), len(self.words) + SHAPES))
+    def features(self, texts: list[str], known: dict[str, tuple[int, ...]]) -> np.ndarray:
+        """known: places of the features of words, filled here."""
+        n = len(self.words)
+        x = np.zeros((len(texts), 2 * n + SHAPES))
         for i, text in enumerate(texts):
-            x[i, [self.words[w] for w in distinct_words(text) & self.words.keys()]] = 1
-            x[i, len(self.words) :] = shapes(text)
+            for word, times in Counter(WORD.findall(text.lower())).items():
+                at = known.get(word)
+                if at is None:
+                    at = known[word] = tuple(self.words[p] for p in parts(word) if p in self.words)
+                for k in at:
+                    x[i, k] += times
+            x[i, n : 2 * n] = x[i, :n] >= OFTEN
+            x[i, :n] = x[i, :n] > 0
+            x[i, 2 * n :] = shapes(text)
+        if len(known) > REMEMBERED:
+            known.clear()
         return x
 
     def fit(self, x: np.ndarray, labels: list[np.ndarray], fold: np.ndarray) -> None:
@@ -108,8 +149,8 @@ class Chain:
             self.thresholds.append(best_threshold(out[known], y[known]))
             x = np.column_stack([x, out])
 
-    def predict(self, texts: list[str]) -> list[np.ndarray]:
-        x, out = self.features(texts), []
+    def predict(self, texts: list[str], known: dict[str, tuple[int, ...]]) -> list[np.ndarray]:
+        x, out = self.features(texts, known), []
         for model in self.models:
             out.append(model.probability(x))
             x = np.column_stack([x, out[-1]])
@@ -123,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     chosen = F.broadcast(sampled(one, id_col, SAMPLE))  # about SAMPLE rows
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, id_col)
 
-    words = map_texts(rows, "text", lambda: lambda texts: [[sorted(distinct_words(x)) for x in texts]], [T.StructField("words", T.ArrayType(T.StringType()))], categories)
+    words = map_texts(rows, "text", lambda: lambda texts: [[features_of(x) for x in texts]], [T.StructField("words", T.ArrayType(T.StringType()))], categories)
     seen = words.select(*categories, F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).filter(F.col("n") >= LEAST)
     n = one.count()
     totals = chosen.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
@@ -132,21 +173,19 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
         for c in categories:
             yes, all_ = totals[c] or 0.0, totals["n"]
             lift = F.log((F.col(c) + 0.5) / (yes + 1)) - F.log((F.col("n") - F.col(c) + 0.5) / (all_ - yes + 1))
-            picked |= {r.word for r in seen.orderBy(F.desc(F.abs(lift) * F.sqrt("n")), "word").limit(WORDS).collect()}
+            picked |= {r.word.removesuffix("#") for r in seen.orderBy(F.desc(F.abs(lift) * F.sqrt("n")), "word").limit(WORDS).collect()}
     chain = Chain(categories, {w: i for i, w in enumerate(sorted(picked))})
 
     fields = [T.StructField("x", T.ArrayType(T.FloatType()))]
-    vectors = map_texts(rows, "text", lambda: lambda texts: [list(chain.features(texts))], fields, [id_col, *categories])
+    vectors = map_texts(rows, "text", lambda: lambda texts: [list(chain.features(texts, {}))], fields, [id_col, *categories])
     got = sorted(vectors.collect(), key=lambda r: r[id_col])  # about SAMPLE rows of some hundred numbers
-    x = np.array([r.x for r in got], np.float64).reshape(len(got), len(chain.words) + SHAPES)
+    x = np.array([r.x for r in got], np.float64).reshape(len(got), 2 * len(chain.words) + SHAPES)
     fold = np.array([hash_fold(r[id_col]) for r in got], np.int64)
     chain.fit(x, [np.array([np.nan if r[c] is None else float(r[c] > 0) for r in got]) for c in categories], fold)
     return chain
 
 
 def hash_fold(key: object) -> int:
-    import zlib
-
     return zlib.crc32(f"fold {key}".encode()) % FOLDS
 
 
@@ -156,9 +195,11 @@ def classify(docs: DataFrame, chain: Chain, text_col: str = "text", keep: list[s
     fields = [T.StructField(f"p_{c}", T.DoubleType()) for c in chain.categories] + [T.StructField(f"is_{c}", T.BooleanType()) for c in chain.categories]
 
     def make():
+        known: dict[str, tuple[int, ...]] = {}
+
         def work(texts: list[str]) -> list[list]:
-            parts = [shared.value.predict(texts[i : i + 256]) for i in range(0, len(texts), 256)]
-            p = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            blocks = [shared.value.predict(texts[i : i + 256], known) for i in range(0, len(texts), 256)]
+            p = [np.concatenate(x) for x in zip(*blocks, strict=True)]
             return [*(x.tolist() for x in p), *((x > t).tolist() for x, t in zip(p, shared.value.thresholds, strict=True))]
 
         return work
