@@ -1,0 +1 @@
+"""Etymology data as batch Spark jobs: every operator takes and returns DataFrames."""
