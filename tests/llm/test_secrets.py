@@ -54,6 +54,13 @@ def test_redact(spark):
     assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {1: "a [SECRET] b", 2: None, 3: "clean"}
 
 
+def test_redact_keeps_columns(spark, awkward):
+    """A column named like the result is kept, and clean rows are left as they are."""
+    clean = secrets.redact(awkward)
+    assert clean.columns == awkward.columns
+    assert {r.spans for r in clean.collect()} == {"clash"}
+
+
 def test_native(spark, awkward):
     plan = secrets.find_secrets(awkward, ratios=[0.0] * 16384)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -117,8 +117,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of every text replaced by a mark."""
-    found = find_secrets(docs, id_col, text_col)
+    """``docs`` with every span of every text replaced by a mark; all other columns stay, one named ``spans`` too."""
+    clash = "spans" in docs.columns
+    found = find_secrets(docs.withColumnRenamed("spans", "__spans") if clash else docs, id_col, text_col)
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
@@ -126,7 +127,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(before).alias("out"))
 
     clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).drop("spans")
+    redacted = found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).drop("spans")
+    return (redacted.withColumnRenamed("__spans", "spans") if clash else redacted).select(*docs.columns)
 
 
 def _listed(spans: Column) -> Column:
