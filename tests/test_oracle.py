@@ -5,6 +5,8 @@ import pytest
 
 from tests.conftest import DATA
 from wordloom import queries
+from wordloom.sources import lexicon
+from wordloom.storage import materialise
 
 SMALL = f"{DATA}/sf0.001"
 
@@ -16,6 +18,17 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def stored_lexicon(spark):
+    """The lexicon and its word counts are derived once and stored: deriving them is most of a query's time on tables this small."""
+    patch = pytest.MonkeyPatch()
+    for name in ("words", "entries"):
+        made = materialise(getattr(lexicon, name)(spark, SMALL))
+        patch.setattr(lexicon, name, lambda spark, sf_dir, made=made: made)
+    yield
+    patch.undo()
+
+
 def plain(value):
     if isinstance(value, float):
         return round(value, 9)
