@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wordloom.llm import packing, tokens
@@ -87,3 +88,14 @@ def test_tightest_window():
         before = room.get(where, 64)
         assert before == (min(fits) if fits else 64) and offset == 64 - before
         room[where] = before - need
+
+
+AWKWARD_PARTS = [*"abAB'',,..!?;:<|> \t\n 12éÉßİıſǅΣσς̧́\xa0\x85\x1c\x0b\x0c日", "<|endoftext|>", "<|startoftext|>", "'s", "'LL", "'re", "Wort, ", "Ende."]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_word_ids(seed):
+    t, rng = tokens.load(packing.TOKENIZER), random.Random(seed)
+    texts = ["", "  ", "x" * 9000 + ",", "<|ENDOFTEXT|>, Σίσυφος, İst. ﬁne, Straße."] + ["".join(rng.choices(AWKWARD_PARTS, k=rng.randint(1, 30))) for _ in range(3000)]
+    got = packing.Words(packing.TOKENIZER).of(pa.array(texts))
+    assert [x.tolist() for x in got] == [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]

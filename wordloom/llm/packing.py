@@ -15,15 +15,17 @@ tables without rows give none; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import pieces, table
-from wordloom.llm.tokens import RARE_SPACE, Remembered, load
+from wordloom.llm.tokens import Remembered, load
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW = 4096
@@ -88,25 +90,94 @@ def cut(ids: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
         yield start, ids[start : start + window]
 
 
-_IDS: dict[str, Remembered] = {}
+#: Words of these characters alone are the same in every normal form and hold no special token (no "|").
+PLAIN = re.compile("[!-{}~À-įı-ɏ]+")
+LETTERS = re.compile("[a-zß-öø-ɏ]+")
+CLOSING = ".,;:!?"
+#: Words of letters that are encoded together, and the length of words that are not remembered.
+TOGETHER, LONG = 512, 64
 
+_IDS: dict[str, Words] = {}
 
-def token_ids(tokenizer: str = TOKENIZER):
-    """A function from texts to their ids (uint32). Words between white space are encoded once in a worker's life."""
-    t = load(tokenizer)
-    if tokenizer not in _IDS:
-        _IDS[tokenizer] = Remembered(lambda words: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)])
-    memory = _IDS[tokenizer]
 
-    def ids(texts: list[str]) -> list[np.ndarray]:
-        words = [[] if RARE_SPACE.search(x) else x.split() for x in texts]
-        value = memory.of(words).__getitem__
-        return [
-            np.frombuffer(b"".join(map(value, w)), "<u4") if w else np.array(t.encode_batch_fast([x], add_special_tokens=False)[0].ids if x else [], "<u4")
-            for w, x in zip(words, texts, strict=True)
-        ]
+class Words:
+    """Ids of words (little-endian uint32), remembered in a worker's life.
+
+    The tokenizer must drop white space and lower-case, and end a word's last token with a suffix. A plain word is
+    lower-cased first, and closing punctuation after a letter is a word of its own, as the tokenizer has it too; so fewer
+    words are unseen. Words of letters alone are encoded many at a time, and told apart by the suffix.
+    """
 
-    return ids
+    def __init__(self, tokenizer: str):
+        self.tokenizer = load(tokenizer)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+        self.memory = Remembered(self._ids)
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        out = []
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(group):
+                out += self._each(group)
+                continue
+            data = ids.tobytes()
+            out += [data[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+        return out
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str]:
+        """The word, and what closes it."""
+        if not PLAIN.fullmatch(word):
+            return word, ""
+        low = word.lower()
+        core = low.rstrip(CLOSING)
+        return (core, low[len(core) :]) if core and LETTERS.fullmatch(core[-1]) else (low, "")
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        known = self.memory.known
+        others = {w: self._parts(w) for w in words if not LETTERS.fullmatch(w)}
+        unseen = {core for core, _ in others.values()}.union({closing for _, closing in others.values()}).difference(known)
+        rest = [p for p in unseen if not LETTERS.fullmatch(p)]
+        letters = list({w for w in words if w not in others}.union(unseen.difference(rest)))
+        known.update(zip(letters, self._letters(letters), strict=True))
+        known.update(zip(rest, self._each(rest), strict=True))
+        return [known[w] if w not in others else known[others[w][0]] + known[others[w][1]] for w in words]
+
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+        known = self.memory.of([distinct])
+        values = [known[w] for w in distinct]
+        for w in distinct:
+            if len(w) > LONG:
+                for p in (w, *self._parts(w)):
+                    known.pop(p, None)
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        begins, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(values), "<u4")
+        per_word = lengths[which]
+        stops = np.concatenate([[0], np.cumsum(per_word)])
+        ids = flat[np.repeat(begins[which] - stops[:-1], per_word) + np.arange(stops[-1])]
+        bounds = split.offsets.to_numpy()
+        bounds = stops[bounds - bounds[0]]
+        return [ids[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def token_ids(tokenizer: str = TOKENIZER) -> Words:
+    """The ids of words, which a worker remembers."""
+    if tokenizer not in _IDS:
+        _IDS[tokenizer] = Words(tokenizer)
+    return _IDS[tokenizer]
 
 
 def pack(
@@ -114,7 +185,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
-    The tokenizer must drop white space, so that words between blanks are encoded independently.
+    The tokenizer must drop white space and lower-case, as ``Words`` has it.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -122,7 +193,7 @@ def pack(
         from pyspark import TaskContext
 
         windows = OpenWindows(window, TaskContext.get().partitionId() << 32)
-        encode, tail = token_ids(tokenizer), np.array([end], "<u4")
+        words, tail = token_ids(tokenizer), np.array([end], "<u4")
         waiting: list[tuple[int | None, int, np.ndarray, int]] = []
         held = 0
 
@@ -133,7 +204,7 @@ def pack(
 
         for whole in batches:
             for batch in pieces(whole, 8 << 20):
-                for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), words.of(batch.column(1)), strict=True):
                     ids = np.concatenate([ids, tail])
                     for start, part in cut(ids, window):
                         waiting.append((doc, start, part, len(ids)))
