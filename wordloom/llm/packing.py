@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import pieces, table
-from wordloom.llm.tokens import Remembered, load
+from wordloom.llm.tokens import REMEMBERED, load
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW = 4096
@@ -94,8 +94,10 @@ def cut(ids: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
 PLAIN = re.compile("[!-{}~À-įı-ɏ]+")
 LETTERS = re.compile("[a-zß-öø-ɏ]+")
 CLOSING = ".,;:!?"
-#: Words of letters that are encoded together, and the length of words that are not remembered.
-TOGETHER, LONG = 512, 64
+#: Words of letters that are encoded together, words of a batch, and the length of words that are not remembered.
+TOGETHER, BATCH, LONG = 512, 8192, 64
+#: Slots, by hash, in which words are noted when first met.
+SLOTS = 1 << 22
 
 _IDS: dict[str, Words] = {}
 
@@ -105,7 +107,8 @@ class Words:
 
     The tokenizer must drop white space and lower-case, and end a word's last token with a suffix. A plain word is
     lower-cased first, and closing punctuation after a letter is a word of its own, as the tokenizer has it too; so fewer
-    words are unseen. Words of letters alone are encoded many at a time, and told apart by the suffix.
+    words are unseen. Words of letters alone are encoded many at a time, and told apart by the suffix. Most distinct words
+    of a large corpus occur once: a word is remembered from the second block on that has it.
     """
 
     def __init__(self, tokenizer: str):
@@ -115,7 +118,8 @@ class Words:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.ends[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
-        self.memory = Remembered(self._ids)
+        self.known: dict[str, bytes] = {}
+        self.met = bytearray(SLOTS)
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -142,27 +146,41 @@ class Words:
         core = low.rstrip(CLOSING)
         return (core, low[len(core) :]) if core and LETTERS.fullmatch(core[-1]) else (low, "")
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        known = self.memory.known
+    def _add(self, words: list[str], fresh: dict[str, bytes]) -> None:
+        """Put the ids of ``words``, which are not known, into ``fresh``; those of words cut from them as well."""
         others = {w: self._parts(w) for w in words if not LETTERS.fullmatch(w)}
-        unseen = {core for core, _ in others.values()}.union({closing for _, closing in others.values()}).difference(known)
+        parts = {core for core, _ in others.values()}.union({closing for _, closing in others.values()})
+        unseen = [p for p in parts if p not in self.known and p not in fresh]
         rest = [p for p in unseen if not LETTERS.fullmatch(p)]
-        letters = list({w for w in words if w not in others}.union(unseen.difference(rest)))
-        known.update(zip(letters, self._letters(letters), strict=True))
-        known.update(zip(rest, self._each(rest), strict=True))
-        return [known[w] if w not in others else known[others[w][0]] + known[others[w][1]] for w in words]
+        letters = list({w for w in words if w not in others}.union(unseen).difference(rest, fresh))
+        fresh.update(zip(letters, self._letters(letters), strict=True))
+        fresh.update(zip(rest, self._each(rest), strict=True))
+        ids = lambda p: fresh[p] if p in fresh else self.known[p]
+        fresh.update([(w, ids(core) + ids(closing)) for w, (core, closing) in others.items() if core != w])
+
+    def _remember(self, fresh: dict[str, bytes]) -> None:
+        met = self.met
+        for w, ids in fresh.items():
+            slot = hash(w) % SLOTS
+            if not met[slot]:
+                met[slot] = 1
+            elif len(w) <= LONG:
+                self.known[w] = ids
 
     def of(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
         distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
-        known = self.memory.of([distinct])
-        values = [known[w] for w in distinct]
-        for w in distinct:
-            if len(w) > LONG:
-                for p in (w, *self._parts(w)):
-                    known.pop(p, None)
+        if len(self.known) > REMEMBERED:  # go on with those in use
+            self.known = {w: self.known[w] for w in distinct if w in self.known}
+        values = list(map(self.known.get, distinct))
+        new = [w for w, ids in zip(distinct, values, strict=True) if ids is None]
+        fresh: dict[str, bytes] = {}
+        for i in range(0, len(new), BATCH):
+            self._add(new[i : i + BATCH], fresh)
+        values = [fresh[w] if ids is None else ids for w, ids in zip(distinct, values, strict=True)]
+        self._remember(fresh)
         lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
         begins, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(values), "<u4")
         per_word = lengths[which]
