@@ -29,3 +29,24 @@ def test_stages(spark):
         assert new.text == old.text or secrets.MARK in new.text
     packed = corpus_pipeline.run(spark, d).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in redacted}
+
+
+def test_stages_after_language(spark):
+    """The near-duplicates stage against all pairs of texts, and the stages after it."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    inputs = [languages := corpus_pipeline.language(spark, docs, d).collect()]
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        inputs.append(stage(spark, spark.createDataFrame(inputs[-1], docs.schema), d).collect())
+    _, distinct, clean, redacted = inputs
+    group = {r.doc_id: r.doc_id for r in languages}
+    linked = [(a.doc_id, b.doc_id) for a in languages for b in languages if a.doc_id < b.doc_id and test_simhash.similarity(a.text, b.text) >= 0.8]
+    for _ in languages:
+        for a, b in linked:
+            group[a] = group[b] = min(group[a], group[b])
+    assert sorted(r.doc_id for r in distinct) == sorted(i for i, g in group.items() if i == g)
+    hit = {r[0] for r in test_decontaminate.brute([(r.doc_id, r.text) for r in distinct], items) if r[-1]}
+    assert hit and sorted(clean) == sorted(r for r in distinct if r.doc_id not in hit)
+    assert sorted(r.doc_id for r in redacted) == sorted(r.doc_id for r in clean)
+    assert all(test_secrets.brute(r.text)[:3] == (0, 0, 0) for r in redacted)

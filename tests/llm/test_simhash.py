@@ -2,6 +2,7 @@
 
 import random
 import re
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -77,3 +78,33 @@ def test_deduplicate_keeps_one(spark, awkward):
     kept = simhash.deduplicate(awkward)
     assert kept.columns == awkward.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 6, 7, 9, 10]
+
+
+def similarity(a, b):
+    x, y = shingle_set(a), shingle_set(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@lru_cache(None)
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_deduplicate_near_copies(spark):
+    """Pairs at 0.8 to 0.99 lose one document, pairs under 0.8 lose none."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(3, 8))) for _ in range(3000)]
+    rows, levels = [], {}
+    for k in range(400):
+        words = rng.choices(vocabulary, k=rng.randint(80, 600))
+        copy = list(words)
+        for at in rng.sample(range(len(copy)), max(1, round(len(copy) * rng.uniform(0.001, 0.03)))):
+            copy[at] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        levels[2 * k + 1] = similarity(rows[-2][1], rows[-1][1])
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(i in kept for i in range(0, 800, 2)) and all(i in kept for i, s in levels.items() if s < 0.8)
+    for least, most in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.991)):
+        some = [i for i, s in levels.items() if least <= s < most]
+        assert len(some) >= 20 and sum(i not in kept for i in some) >= 0.9 * len(some)

@@ -10,6 +10,11 @@ Work runs on distinct fingerprints, so groups of copies of any size are one row;
 join, whose hot fingerprints adaptive execution can split. Components are found by alternating large-star and
 small-star steps, each written to the shared folder. A node has 2,080 possible partners at most.
 
+``deduplicate`` asks for more: five-word shingles and a Jaccard similarity of ``SIMILAR``, at which about ``TURN`` of all
+bits differ. It takes many short fingerprints (bands), each ball-hashed in the same way, as many as find a pair at
+``SIMILAR`` with a chance of 1 - ``MISSED``; bands get longer with the table, so that chance meetings stay few. Every link
+is verified by the true similarity of the two sets of shingles. Equal texts are one node.
+
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero, which links like any other; texts of
 one or two words have the hash of the whole sequence; equal rows are linked; null ids are never a component's id unless
 it has no other; tables without rows give none; other columns are ignored.
@@ -17,6 +22,8 @@ it has no other; tables without rows give none; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,22 +37,64 @@ SEED = 42
 RADIUS = 2
 #: Removed ids up to which they are broadcast (8 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Near duplicates of ``deduplicate``: words of a shingle, least Jaccard similarity, share of bits that differ there.
+NEAR_SHINGLE, SIMILAR = 5, 0.8
+TURN = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
+#: Chance that all bands miss a pair at SIMILAR; least bits of a band; bits beyond those that number the documents.
+MISSED, LEAST_BITS, SPARE_BITS = 0.02, 20, 7
 _STEP = 1 << 16
 
 
+def _hashes(words: list[bytes], shingle: int, at: int, n: int) -> np.ndarray:
+    """XXH64 of the shingles from ``at`` on, ``_STEP`` of ``n`` at most."""
+    part = words[at : min(at + _STEP, n) + shingle - 1]
+    joined = [b" ".join(words)] if n == 1 else [b" ".join(x) for x in zip(*(part[k:] for k in range(shingle)), strict=False)]
+    return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in joined), "<u8", len(joined))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """Signed 64-bit fingerprint of a whole text."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     n = max(1, len(words) - shingle + 1) if words else 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, _STEP):
-        part = words[at : min(at + _STEP, n) + shingle - 1]
-        joined = [b" ".join(words)] if n == 1 else [b" ".join(x) for x in zip(*(part[k:] for k in range(shingle)), strict=False)]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in joined), "<u8", len(joined))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(_hashes(words, shingle, at, n))
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def shingles(text: str) -> np.ndarray:
+    """Distinct hashes of the NEAR_SHINGLE-word shingles of a whole text, in order."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - NEAR_SHINGLE + 1) if words else 0
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *(_hashes(words, NEAR_SHINGLE, at, n) for at in range(0, n, _STEP))]))
+
+
+def shape(documents: int) -> tuple[int, int]:
+    """Bits of a band, and bands, for so many documents."""
+    bits = min(63, max(LEAST_BITS, SPARE_BITS + math.ceil(math.log2(max(1, documents)))))
+    found = sum(math.comb(bits, k) * TURN**k * (1 - TURN) ** (bits - k) for k in range(RADIUS + 1))
+    return bits, math.ceil(math.log(MISSED) / math.log(1 - found))
+
+
+def bands(hashes: np.ndarray, bits: int, count: int) -> list[int]:
+    """``count`` fingerprints of ``bits`` bits of a set of shingles."""
+    majority = []
+    for word in range(-(-bits * count // 64)):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), _STEP):
+            x = hashes[at : at + _STEP] + np.uint64((word * 0x9E3779B97F4A7C15) % (1 << 64))
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            ones += _ones(x ^ (x >> np.uint64(31)))
+        majority.append(2 * ones > len(hashes))
+    rows = np.concatenate(majority)[: bits * count].reshape(count, bits)
+    return (rows @ (np.int64(1) << np.arange(bits, dtype=np.int64))).tolist()
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``fingerprint`` (long)."""
     return map_texts(docs, text_col, lambda: lambda texts: [[fingerprint(x) for x in texts]], [T.StructField("fingerprint", T.LongType())], keep)
@@ -55,20 +104,22 @@ def _flip(value: Column, bit: Column) -> Column:
     return value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(u, v), u > v: stars that connect all distinct fingerprints within the radius."""
-    one = F.lit(1).cast("long")
-    variants = prints.select("fingerprint", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("bit")).select(
-        F.when(F.col("bit") < 64, _flip(F.col("fingerprint"), F.col("bit"))).otherwise(F.col("fingerprint")).alias("variant"),
-        F.when(F.col("bit") < 64, F.call_function("shiftleft", one, F.col("bit"))).otherwise(F.lit(0).cast("long")).alias("mask"),
-        (F.col("bit") == 64).alias("own"),
+def links(prints: DataFrame, width: int = 64, by: list[str] | None = None) -> DataFrame:
+    """(by, u, v), u > v: stars that connect all distinct fingerprints of ``width`` bits within the radius, among rows
+    with the same ``by``."""
+    one, by = F.lit(1).cast("long"), by or []
+    variants = prints.select(*by, "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("bit")).select(
+        *by,
+        F.when(F.col("bit") < width, _flip(F.col("fingerprint"), F.col("bit"))).otherwise(F.col("fingerprint")).alias("variant"),
+        F.when(F.col("bit") < width, F.call_function("shiftleft", one, F.col("bit"))).otherwise(F.lit(0).cast("long")).alias("mask"),
+        (F.col("bit") == width).alias("own"),
     )
-    buckets = variants.groupBy("variant").agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own")).filter(F.bit_count("mask") + F.col("own").cast("int") >= 2)
-    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(one) == 1)
+    buckets = variants.groupBy(*by, "variant").agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own")).filter(F.bit_count("mask") + F.col("own").cast("int") >= 2)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(one) == 1)
     flipped = F.transform(bits, lambda i: _flip(F.col("variant"), i))
-    members = buckets.select(F.when(F.col("own"), F.concat(F.array("variant"), flipped)).otherwise(flipped).alias("members"))
-    star = members.select(F.array_min("members").alias("v"), F.explode("members").alias("u")).filter("u > v")
-    return star.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS).select("u", "v").distinct()
+    members = buckets.select(*by, F.when(F.col("own"), F.concat(F.array("variant"), flipped)).otherwise(flipped).alias("members"))
+    star = members.select(*by, F.array_min("members").alias("v"), F.explode("members").alias("u")).filter("u > v")
+    return star.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS).select(*by, "u", "v").distinct()
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -103,10 +154,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(rooted.join(smallest, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def _node(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
+def candidates(nodes: DataFrame, bits: int) -> DataFrame:
+    """(u, v), u > v: nodes of ``nodes(node, n, bands)`` that meet in a band and whose sizes allow SIMILAR."""
+    flat = nodes.select("node", "n", F.posexplode("bands").alias("band", "fingerprint"))
+    values = materialise(flat.groupBy("band", "fingerprint").agg(F.min(F.struct("node", "n")).alias("first")), "bands")
+    same = flat.join(values.select("band", "fingerprint", "first"), ["band", "fingerprint"]).select(F.struct("node", "n").alias("a"), F.col("first").alias("b"))
+    near = links(values.select("band", "fingerprint"), bits, ["band"])
+    for end, name in (("u", "a"), ("v", "b")):
+        near = near.join(values.select("band", F.col("fingerprint").alias(end), F.col("first").alias(name)), ["band", end])
+    both = same.unionByName(near.select("a", "b"))
+    both = both.filter((F.col("a.node") != F.col("b.node")) & (F.least("a.n", "b.n") >= SIMILAR * F.greatest("a.n", "b.n")))
+    return both.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
+
+
+def similar(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(u, v), u > v: links between texts (by ``_node``) whose sets of shingles have a Jaccard similarity of SIMILAR."""
+    texts = docs.select(_node(text_col).alias("node"), F.col(f"`{text_col}`").alias("text"))
+    bits, count = shape(docs.count())
+
+    def make():
+        def work(batch: list[str]) -> list[list]:
+            sets = [shingles(x) for x in batch]
+            return [[len(x) for x in sets], [bands(x, bits, count) for x in sets]]
+
+        return work
+
+    made = map_texts(texts, "text", make, [T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))], ["node"])
+    nodes = materialise(made.dropDuplicates(["node"]), "nodes")
+    pairs = materialise(candidates(nodes, bits), "candidates")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    wanted = texts.join(asked, "node", "left_semi").dropDuplicates(["node"])
+    sets = map_texts(wanted, "text", lambda: lambda batch: [[shingles(x).view("<i8") for x in batch]], [T.StructField("set", T.ArrayType(T.LongType()))], ["node"])
+    sets = materialise(sets, "sets")
+    for end in ("u", "v"):
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
+    shared = F.size(F.array_intersect("set_u", "set_v"))
+    return pairs.filter(shared >= SIMILAR * (F.size("set_u") + F.size("set_v") - shared)).select("u", "v")
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id. Rows that share an id are one document,
-    kept once; rows without an id are kept."""
-    found = materialise(near_duplicates(docs, id_col, text_col), "components").select(F.col("doc_id").alias(id_col), F.col("component_id").alias("__component"))
+    """``docs`` with one document of each group of near duplicates: that with the smallest id. Rows that share an id are
+    one document, kept once; rows without an id are kept."""
+    linked = components(similar(docs, text_col))
+    ids = docs.select(F.col(id_col).alias("doc_id"), _node(text_col).alias("u")).join(linked, "u", "left").select("doc_id", F.coalesce("v", "u").alias("root"))
+    smallest = ids.groupBy("root").agg(F.min("doc_id").alias("component"))
+    found = materialise(ids.join(smallest, "root").select(F.col("doc_id").alias(id_col), F.col("component").alias("__component")), "components")
     drop = found.filter(F.col(id_col) != F.col("__component")).select(id_col).distinct()
     kept = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, id_col, "left_anti")
     if found.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty():
