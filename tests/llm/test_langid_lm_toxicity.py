@@ -131,3 +131,13 @@ def test_toxicity_awkward(spark, awkward):
 @pytest.mark.parametrize("p, y, want", [([0.9, 0.8, 0.2, 0.1], [1, 1, 0, 0], 0.5), ([0.5, 0.5], [1, 1], 1.0)])
 def test_threshold(p, y, want):
     assert toxicity.best_threshold(np.array(p), np.array(y, float)) == pytest.approx(want)
+
+
+def test_score_clusters_all_words_with_contexts(spark):
+    """Of 1,200 words of two kinds that take turns, all of them are in clustered classes, none with a word of the other kind."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'ab'[k % 2]}{rng.integers(600):03d}" for k in range(200)) for _ in range(400)]
+    model, _ = lm.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    of = {w: int(model.classes[i]) for w, i in model.frequent.items()}
+    assert len(of) == 1200 and max(of.values()) < model.first_length_class
+    assert not {k for w, k in of.items() if w[:1] == b"a"} & {k for w, k in of.items() if w[:1] == b"b"}
