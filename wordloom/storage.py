@@ -1,4 +1,7 @@
-"""Shared storage: tables written between the rounds of a job."""
+"""Shared storage: tables written between the rounds of a job.
+
+Everything lies in one folder of the application under ``spark.checkpoint.dir`` and goes when its JVM ends.
+"""
 
 from __future__ import annotations
 
@@ -9,16 +12,51 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, an own one, in local
+    mode only: on a cluster a folder of one machine is no shared one."""
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="wordloom-")
-        spark.sparkContext.setCheckpointDir(configured)
+        sc.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/wordloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def _folder(spark: SparkSession, path: str):
+    """A path as Hadoop has it, and its file system."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the application's folder."""
+    root = f"{shared_dir(spark)}/wordloom-{spark.sparkContext.applicationId}"
+    folder, store = _folder(spark, root)
+    if not store.exists(folder):
+        store.mkdirs(folder)
+        store.deleteOnExit(folder)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete what was written there."""
+    folder, store = _folder(spark, path)
+    store.delete(folder, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder, store = _folder(spark, path)
+    return store.exists(folder)
+
+
+def write(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` and read it back."""
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise(df: DataFrame, label: str = "table", compression: str = "zstd") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
+    return write(df, scratch_path(df.sparkSession, label), compression)
