@@ -1,9 +1,7 @@
-"""Shared helpers: shared storage, materialised tables and mapping over whole texts."""
+"""Shared helpers: input tables, samples, names of columns, and mapping over whole texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,36 +9,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom.storage import materialise, scratch_path
+
+__all__ = ["col", "free", "worker_memory", "map_cells", "map_texts", "materialise", "numbered", "pieces", "sampled", "scratch_path", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="wordloom-")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
+def col(name: str) -> Column:
+    """A column by its literal name, dots and quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/wordloom/{uuid.uuid4().hex}/{label}"
+def free(names: Iterable[str], wanted: str) -> str:
+    """``wanted``, with underscores after it as long as one of ``names`` is the same but for case."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
-def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns c0, c1, ..., the new name of a column, and the way back to the old names.
 
-
-def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z, and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    Operators that return the columns they were given work on these, so no name can clash with theirs, whatever it is.
+    """
+    names = df.columns
+    new = [f"c{i}" for i in range(len(names))]
+    return df.toDF(*new), lambda name: new[names.index(name)], lambda out: out.select(*new).toDF(*names)
 
 
 def sampled(df: DataFrame, key: str, bound: int, total: int | None = None, salt: int = 0) -> DataFrame:
@@ -49,7 +48,20 @@ def sampled(df: DataFrame, key: str, bound: int, total: int | None = None, salt:
     if total <= bound:
         return df
     cut = int(bound / total * (1 << 30))
-    return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.lit(1 << 30)) < cut)
+    return df.filter(F.pmod(F.xxhash64(col(key).cast("string"), F.lit(salt)), F.lit(1 << 30)) < cut)
+
+
+_HELD: dict[str, object] = {}
+
+
+def worker_memory(key: str, make: Callable[[], object] | None = None) -> object:
+    """What a Python worker keeps between its tasks: made once, and of one key at a time, so that a worker that goes on
+    to another operator lets go of what the last one kept."""
+    if key not in _HELD:
+        _HELD.clear()
+        if make is not None:
+            _HELD[key] = make()
+    return _HELD.get(key)
 
 
 def pieces(batch: pa.RecordBatch, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
@@ -65,24 +77,23 @@ def pieces(batch: pa.RecordBatch, most_bytes: int = 32 << 20) -> Iterator[pa.Rec
             yield part
 
 
-def map_texts(
+def map_cells(
     df: DataFrame,
-    text_col: str,
-    make: Callable[[], Callable[[list[str]], list[Iterable]]],
+    cell: Column,
+    make: Callable[[], Callable[[list], list[Iterable]]],
     fields: list[T.StructField],
-    keep: list[str] | None = None,
+    kept: list[str],
 ) -> DataFrame:
-    """Append columns computed from whole texts, in Arrow batches.
+    """The columns ``kept`` of ``df``, and ``fields`` computed from a cell in Arrow batches.
 
-    ``make()`` runs once in a task and gives a function from texts (null texts arrive as "") to one list per field.
-    Columns of ``df`` named like a new field are replaced by it. Empty input gives no rows.
+    ``make()`` runs once in a task and gives a function from cells to one list per field. Empty input gives no rows.
     """
-    new = {f.name for f in fields}
-    kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], *fields])
     from pyspark.sql.pandas.types import to_arrow_type
 
+    new = {f.name for f in fields}
+    kept = [c for c in kept if c not in new]
+    source = df.select(*map(col, kept), cell.alias(free(kept, "__cell")))
+    schema = T.StructType([*source.schema.fields[:-1], *fields])
     types = [to_arrow_type(f.dataType) for f in fields]
     names = [*kept, *(f.name for f in fields)]
 
@@ -96,3 +107,23 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=names)
 
     return source.mapInArrow(run, schema)
+
+
+def map_texts(
+    df: DataFrame,
+    text_col: str,
+    make: Callable[[], Callable[[list[str]], list[Iterable]]],
+    fields: list[T.StructField],
+    keep: list[str] | None = None,
+    holds: str = "",
+) -> DataFrame:
+    """``map_cells`` over whole texts, null texts as "". Columns of ``df`` named like a new field are replaced by it.
+
+    ``holds`` is the key of what a worker keeps for this work (see ``worker_memory``); what it keeps for other work goes.
+    """
+
+    def begin():
+        worker_memory(holds)
+        return make()
+
+    return map_cells(df, F.coalesce(col(text_col), F.lit("")), begin, fields, df.columns if keep is None else keep)

@@ -8,24 +8,39 @@ The search keeps, for each length band of patterns, a table from blocks of ``B``
 occurs in no pattern moves the position by ``m - B + 1``; a block that may end the first ``m`` bytes of a pattern
 selects a bucket, whose patterns are compared directly.
 
+The benchmark is the query set and is read in blocks of ``BLOCK_BYTES``. A worker keeps the tables of a few blocks; where
+there are more, it gathers texts and goes through block after block, so that tables are built once for many texts. What is
+broadcast at once is ``PASS_BLOCKS`` blocks at most: for a larger benchmark the documents are written once with row
+numbers, and searched in several passes whose hits meet by row.
+
 Edge cases: null or empty texts have no words and no hits; items without words are ignored; repeated items count
-once per ``item_id``; empty tables give no rows or no hits; input columns named like a result column are replaced.
+once per ``item_id``, null ids as ""; repeated rows are searched one by one; very long texts are searched whole; empty
+tables give no rows or no hits. Input columns named like a result column are replaced by ``find_overlaps``;
+``drop_contaminated`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import map_texts, table
+from pyspark.sql.pandas.types import to_arrow_type
+
+from wordloom.llm.common import col, free, materialise, numbered, pieces, table, worker_memory
 
 WINDOW = 10
-#: Text of benchmark items broadcast in one block; larger benchmarks are searched block by block.
-BLOCK_BYTES = 2 << 20
+#: Characters of benchmark items in a block, blocks whose tables a worker keeps, and blocks that are broadcast at once.
+BLOCK_BYTES, HELD_BLOCKS, PASS_BLOCKS = 1 << 19, 2, 64
+#: Bytes of texts that a worker gathers where it has to build tables again.
+GATHERED = 32 << 20
 #: Pattern lengths from which a new band of tables begins, so that one short pattern does not spoil all shifts.
 BANDS = (0, 8, 16, 32, 64)
 LONGEST_BLOCK = 8
@@ -122,7 +137,7 @@ def _merged(marks: list[tuple[int, int]]) -> list[dict[str, int]]:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    rows = benchmark.select(F.coalesce(col(id_col).cast("string"), F.lit("")).alias("id"), col(text_col).alias("text")).filter(F.col("text").isNotNull())
     block, size = [], 0
     for row in rows.toLocalIterator():
         if block and size + len(row.text) > block_bytes:
@@ -134,7 +149,52 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield block
 
 
-_TABLES: dict[tuple[str, int], Matcher] = {}
+def _one_pass(docs: DataFrame, text_col: str, blocks: list[list[tuple[str, str]]], window: int, keep: list[str]) -> DataFrame:
+    """``keep`` and FIELDS for one set of blocks."""
+    sc = docs.sparkSession.sparkContext
+    shared = [sc.broadcast(block) for block in blocks]
+    key = f"decontaminate {uuid.uuid4().hex}"
+    kept = [c for c in keep if c not in {f.name for f in FIELDS}]
+    source = docs.select(*map(col, kept), F.coalesce(col(text_col), F.lit("")).alias(free(kept, "__text")))
+    types = [to_arrow_type(f.dataType) for f in FIELDS]
+    names = [*kept, *(f.name for f in FIELDS)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, Matcher] = worker_memory(key, dict)  # type: ignore[assignment]
+
+        def matcher(k: int) -> Matcher:
+            if k not in tables:
+                while len(tables) >= HELD_BLOCKS:
+                    del tables[next(iter(tables))]
+                tables[k] = Matcher(shared[k].value, window)
+            return tables[k]
+
+        def search(gathered: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            split = [[words_of(t) for t in batch.column(batch.num_columns - 1).to_pylist()] for batch in gathered]
+            found: list[list[set[str]]] = [[set() for _ in x] for x in split]
+            marks: list[list[list[tuple[int, int]]]] = [[[] for _ in x] for x in split]
+            for k in range(len(shared)):
+                for words, f, m in zip(split, found, marks, strict=True):
+                    for i, w in enumerate(words):
+                        if w:
+                            matcher(k).hits(b" " + b" ".join(w) + b" ", f[i], m[i])
+            for batch, words, f, m in zip(gathered, split, found, marks, strict=True):
+                spans = [_merged(x) for x in m]
+                made = [[len(w) for w in words], [sum(s["end"] - s["start"] for s in x) for x in spans], [sorted(x) for x in f], spans]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(v, type=t) for v, t in zip(made, types, strict=True))], names=names)
+
+        waiting, size = [], 0
+        for whole in batches:
+            for batch in pieces(whole, GATHERED):
+                waiting.append(batch)
+                size += batch.nbytes
+                if len(shared) <= HELD_BLOCKS or size >= GATHERED:
+                    yield from search(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield from search(waiting)
+
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], *FIELDS]))
 
 
 def find_overlaps(
@@ -146,45 +206,40 @@ def find_overlaps(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
     keep: list[str] | None = None,
+    pass_blocks: int = PASS_BLOCKS,
 ) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_hit``, ``items`` (sorted as strings) and ``hit_spans`` (word ranges, end exclusive).
-
-    The benchmark is the query set: it is read in blocks of at most ``block_bytes`` characters, each broadcast by
-    itself; every text is searched for each block in turn, so no block grows with the benchmark.
-    """
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(block) for block in _blocks(benchmark, item_col, item_text_col, block_bytes)]
-
-    def make():
-        def matcher(k: int) -> Matcher:
-            key = (str(shared[k]._path), k)  # a worker outlives its task
-            if key not in _TABLES:
-                if len(_TABLES) >= 2:
-                    _TABLES.clear()
-                _TABLES[key] = Matcher(shared[k].value, window)
-            return _TABLES[key]
-
-        def work(texts: list[str]) -> list[list]:
-            split = [words_of(t) for t in texts]
-            found: list[set[str]] = [set() for _ in texts]
-            marks: list[list[tuple[int, int]]] = [[] for _ in texts]
-            for k in range(len(shared)):
-                tables = matcher(k)
-                for i, words in enumerate(split):
-                    if words:
-                        tables.hits(b" " + b" ".join(words) + b" ", found[i], marks[i])
-            spans = [_merged(m) for m in marks]
-            return [[len(w) for w in split], [sum(s["end"] - s["start"] for s in x) for x in spans], [sorted(f) for f in found], spans]
-
-        return work
-
-    return map_texts(docs, text_col, make, FIELDS, keep)
+    """``docs`` with ``n_words``, ``n_hit``, ``items`` (sorted as strings) and ``hit_spans`` (word ranges, end exclusive)."""
+    keep = docs.columns if keep is None else keep
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    first = list(islice(blocks, pass_blocks))
+    following = list(islice(blocks, pass_blocks))
+    if not following:
+        return _one_pass(docs, text_col, first, window, keep)
+
+    rows, place, _ = numbered(docs)
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    hits, group = [], first
+    while group:
+        found = _one_pass(rows, place(text_col), group, window, ["row"])
+        hits.append(materialise(found.filter("n_hit > 0").select("row", "items", "hit_spans"), "hits"))
+        group, following = following, list(islice(blocks, pass_blocks))
+    met = reduce(DataFrame.unionByName, hits).groupBy("row").agg(  # a row for each pass at most
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("marks")
+    )
+    merge = F.udf(lambda marks: _merged([(m["start"], m["end"]) for m in marks]), FIELDS[3].dataType, useArrow=True)  # hit rows only
+    met = met.select("row", "items", merge("marks").alias("hit_spans"))
+    counted = _one_pass(rows, place(text_col), [], window, ["row", *map(place, keep)]).drop("n_hit", "items", "hit_spans").join(met, "row", "left")
+    spans = F.coalesce("hit_spans", F.lit([]).cast(FIELDS[3].dataType))
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    kept = [c for c in keep if c not in {f.name for f in FIELDS}]
+    return counted.select(*map(place, kept), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.lit([]).cast("array<string>")).alias("items"), spans.alias("hit_spans")).toDF(*kept, *(f.name for f in FIELDS))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without any occurrence, all their columns unchanged."""
-    packed = docs.select(F.struct(*docs.columns).alias("__kept"), "text")
-    return find_overlaps(packed, benchmark, keep=["__kept"]).filter("n_hit = 0").select("__kept.*")
+    rows, place, back = numbered(docs)
+    packed = rows.select(F.struct(*rows.columns).alias("row"), F.col(place(text_col)).alias("text"))
+    return back(find_overlaps(packed, benchmark, keep=["row"]).filter("n_hit = 0").select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,12 @@ Images are resized by integral images: the sum over any rectangle, also with fra
 integral values, which are linear between pixel borders. Only the integral's rows next to output borders are formed,
 so memory stays a small multiple of the image.
 
+Tiles are written to the shared folder as a table of NPY files; difference hashes are taken from the tiles that are
+read back.
+
 Edge cases: null media give null results; images that cannot be decoded give an ``error`` and null results; an empty
-text is one row of 64 zero samples; tables without rows give none; columns named like a result are replaced.
+text is one row of 64 zero samples; equal rows get equal results; very long texts are tall images, resized in strips;
+tables without rows give none; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import map_texts, materialise, table
+from wordloom.llm.common import col, map_cells, map_texts, materialise, table
 
 WIDTH = 64
 TILE = (16, 16)
+#: Bit fields of red, green and blue that are those of a BMP without any.
+MASKS = (0xFF0000, 0xFF00, 0xFF)
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
@@ -89,6 +95,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     start, header, width, height, _, bits, packing = struct.unpack_from("<10xIIiiHHI", data)
     if packing not in (0, 3) or bits not in (8, 24, 32) or width < 1 or height == 0:
         raise BadImage("BMP of an unknown kind")
+    if packing == 3 and (bits != 32 or struct.unpack_from("<3I", data.ljust(66, b"\0"), 54) != MASKS):
+        raise BadImage("BMP with bit fields of its own")
     rows, stride = abs(height), -(-width * bits // 32) * 4
     if len(data) < start + rows * stride:
         raise BadImage("short BMP data")
@@ -144,6 +152,11 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def tile_hash(tile_npy: bytes) -> str:
+    """The difference hash of an NPY file."""
+    return difference_hash(np.lib.format.read_array(io.BytesIO(tile_npy), allow_pickle=False))
+
+
 FIELDS = [
     T.StructField("media_bytes", T.LongType()),
     T.StructField("media_sha256", T.StringType()),
@@ -157,8 +170,8 @@ FIELDS = [
 
 
 def tiles(media: DataFrame, media_col: str = "media", tile: tuple[int, int] = TILE, keep: list[str] | None = None) -> DataFrame:
-    """Decode each image and append the fields above: digests of the stored bytes and of the samples, an NPY tile of
-    ``tile`` uint8 cells, and the difference hash (``feature``)."""
+    """Decode each image and append the fields above: digests of the stored bytes and of the samples, and an NPY tile of
+    ``tile`` cells in the samples' type."""
 
     def one(data: bytes | None) -> tuple:
         if data is None:
@@ -169,33 +182,27 @@ def tiles(media: DataFrame, media_col: str = "media", tile: tuple[int, int] = TI
         except (ValueError, struct.error) as e:
             return (*stored, None, None, None, None, None, str(e)[:200])
         raw = image.tobytes()
-        small = np.rint(area_resize(image, *tile)).astype(image.dtype)
-        return (*stored, hashlib.sha256(raw).hexdigest(), len(raw), zlib.crc32(raw[-64:]), npy(small), difference_hash(image), None)
+        small = npy(np.rint(area_resize(image, *tile)).astype(image.dtype))
+        return (*stored, hashlib.sha256(raw).hexdigest(), len(raw), zlib.crc32(raw[-64:]), small, tile_hash(small), None)
+
+    def work(cells: list[bytes | None]) -> list[list]:
+        return [list(x) for x in zip(*map(one, cells), strict=True)] if cells else [[] for _ in FIELDS]
 
-    return _map_binary(media, media_col, lambda: lambda cells: [list(x) for x in zip(*map(one, cells), strict=True)], FIELDS, keep)
+    return map_cells(media, col(media_col), lambda: work, FIELDS, _rest(media, media_col, keep))
 
 
-def _map_binary(df, column, make, fields, keep):
-    """map_texts for a binary column, nulls kept."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
+def _rest(media: DataFrame, media_col: str, keep: list[str] | None) -> list[str]:
+    return [c for c in (media.columns if keep is None else keep) if c != media_col]
 
-    from wordloom.llm.common import pieces
 
-    new = {f.name for f in fields}
-    kept = [c for c in (df.columns if keep is None else keep) if c not in new and c != column]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(column).alias("__data"))
-    types, names = [to_arrow_type(f.dataType) for f in fields], [*kept, *(f.name for f in fields)]
+def hash_tiles(tiled: DataFrame, tile_col: str = "tile_npy", keep: list[str] | None = None) -> DataFrame:
+    """``tiled`` with the difference hash of each NPY tile (``feature``), and the tile's digest (``tile_sha256``)."""
 
-    def run(batches):
-        work = make()
-        for whole in batches:
-            for batch in pieces(whole):
-                if batch.num_rows:
-                    made = work(batch.column(batch.num_columns - 1).to_pylist())
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(v, type=k) for v, k in zip(made, types, strict=True))], names=names)
+    def work(cells: list[bytes | None]) -> list[list]:
+        return [[None if x is None else tile_hash(x) for x in cells], [None if x is None else hashlib.sha256(x).hexdigest() for x in cells]]
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], *fields]))
+    fields = [T.StructField("feature", T.StringType()), T.StructField("tile_sha256", T.StringType())]
+    return map_cells(tiled, col(tile_col), lambda: work, fields, _rest(tiled, tile_col, keep))
 
 
 def store_texts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -219,6 +226,15 @@ def store_texts(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = materialise(store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]), "media")
-    return tiles(stored, keep=["doc_id", "n_bytes"]).select(
-        "doc_id", "n_bytes", F.col("samples_bytes").alias("payload_bytes"), F.col("samples_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature"
+    tiled = materialise(tiles(stored, keep=["doc_id", "n_bytes"]).drop("feature", "error"), "tiles")
+    return hash_tiles(tiled).select(
+        "doc_id",
+        "n_bytes",
+        F.col("samples_bytes").alias("payload_bytes"),
+        F.col("samples_sha256").alias("payload_sha256"),
+        "tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        "feature",
+        "tile_sha256",
     )

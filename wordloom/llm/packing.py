@@ -9,12 +9,15 @@ part is the partition. Nothing is shuffled.
 Sequences are padded to the window by whoever reads them, unless their length is a power of two.
 
 The packing follows the order of rows within partitions, so the input should be a table scan or otherwise give the same
-partitions when a task is run again. Edge cases: null and empty texts are one end id; equal rows are packed one by one;
+partitions when a task is run again. Ids are those of the library on whole texts: word by word where the tokenizer's
+normaliser and pre-tokenizer allow it (``by_words``), else text by text. Edge cases: very long texts are cut into windows
+of one task; null and empty texts are one end id; equal rows are packed one by one;
 tables without rows give none; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 
@@ -24,8 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import pieces, table
-from wordloom.llm.tokens import REMEMBERED, load
+from wordloom.llm.common import col, pieces, table, worker_memory
+from wordloom.llm.tokens import load
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW = 4096
@@ -96,10 +99,21 @@ LETTERS = re.compile("[a-zß-öø-ɏ]+")
 CLOSING = ".,;:!?"
 #: Words of letters that are encoded together, words of a batch, and the length of words that are not remembered.
 TOGETHER, BATCH, LONG = 512, 8192, 64
+#: Fixed value: the pre-tokens for which all of this holds.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words that a worker remembers; beyond, it keeps those of the texts at hand.
+REMEMBERED = 200_000
 #: Slots, by hash, in which words are noted when first met.
 SLOTS = 1 << 22
 
-_IDS: dict[str, Words] = {}
+
+def by_words(tokenizer) -> bool:
+    """Are the ids of a text those of its words, one after another? So they are if white space is collapsed and dropped,
+    letters are lower-cased, and pre-tokens are runs of letters, single digits, or runs of other signs, as here."""
+    about = json.loads(tokenizer.to_str())
+    steps = [x["type"] for x in (about["normalizer"] or {}).get("normalizers", [])]
+    cut = (about["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cut] == ["Split", "ByteLevel"] and cut[0]["pattern"] == {"Regex": PATTERN} and bool(about["model"].get("end_of_word_suffix"))
 
 
 class Words:
@@ -113,6 +127,7 @@ class Words:
 
     def __init__(self, tokenizer: str):
         self.tokenizer = load(tokenizer)
+        self.by_words = by_words(self.tokenizer)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -169,6 +184,8 @@ class Words:
 
     def of(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
+        if not self.by_words:
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
         distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
@@ -193,19 +210,14 @@ class Words:
 
 def token_ids(tokenizer: str = TOKENIZER) -> Words:
     """The ids of words, which a worker remembers."""
-    if tokenizer not in _IDS:
-        _IDS[tokenizer] = Words(tokenizer)
-    return _IDS[tokenizer]
+    return worker_memory(f"packing {tokenizer}", lambda: Words(tokenizer))  # type: ignore[return-value]
 
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, window: int = WINDOW, end: int = END
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
-
-    The tokenizer must drop white space and lower-case, as ``Words`` has it.
-    """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset."""
+    source = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -1,60 +1,80 @@
 """Secret scans with DataFrame functions only.
 
 Three patterns give the base spans. Beyond them, two character Markov models score every other long run of key-like
-characters: one of random strings, one of ordinary identifiers. A run is a secret if the log-likelihood ratio of its
-character transitions exceeds ``THRESHOLD``. The samples are labelled by the patterns themselves: values of base spans
-are random strings, shorter words outside them are identifiers. Both are bounded samples of documents.
-
-Positions come from splitting a text at the matches: the lengths of gaps and matches add up to code-point offsets.
-
-Edge cases: null and empty texts have no spans; without samples both models are uniform or nearly so; equal rows get
-equal results; tables without rows give none; a column named ``spans`` is replaced.
+characters: one of random strings, one of ordinary identifiers. The log-likelihood ratio is summed along a run; where its
+sum from some character on exceeds ``THRESHOLD``, until it has fallen to nothing or by as much again, a part of the run is
+a secret, whatever else the run holds. The part goes on to the next sign on either side. Runs are what base spans leave.
+The samples are labelled by the patterns themselves: values of base spans are random strings, shorter words outside them
+are identifiers. Both are bounded samples of documents.
+
+Positions come from splitting a text at the matches: the lengths of gaps and matches add up to code-point offsets, in
+blocks of ``BLOCK`` matches, so that a text full of matches takes no more than its share.
+
+Edge cases: null and empty texts have no spans and stay as they are; without samples both models are uniform or nearly
+so; equal rows get equal results; rows without an id are scanned but not sampled; very long texts and runs are read
+whole; tables without rows give none. ``find_secrets`` replaces a column named ``spans``; ``redact`` keeps all columns,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import sampled, table
+from wordloom.llm.common import col, free, numbered, sampled, table
 
-#: Kind, pattern, group whose length counts, least length: fixed by the contract.
+#: Kind, pattern, group whose length counts, least length: fixed by the contract. The least lengths of the last two stand in
+#: their patterns too: their matches are whole runs, so a shorter one holds no other.
 BASE = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
 #: What a text must hold for the pattern to give a span: a quick test that most texts fail.
 QUICK = {"assign": BASE[0][1].replace("]+)", "]{6})"), "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
-RUN, RUN_LEAST = r"[A-Za-z0-9+/_=-]+", 20
+RUN, RUN_LEAST = r"[A-Za-z0-9+/_=-]{20,}", 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Natural log of the odds that a run must beat.
+#: Natural log of the odds that a part of a run must beat.
 THRESHOLD = 14.0
 #: Documents searched for labelled random strings, and those whose words are labelled identifiers.
 RANDOM_DOCS, WORD_DOCS = 20_000, 1_000
 MARK = "[SECRET]"
+BLOCK = 256
+_SPANS = "array<struct<start:int,`order`:int,`end`:int,kind:string,value:string>>"
+
+
+def _none(kind: str) -> Column:
+    return F.expr(f"CAST(array() AS {kind})")
 
 
 def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
     """array<struct<start, order, end, kind, value>> of the matches that are long enough."""
     regex = F.lit(pattern)
-    gaps, hits, values = F.split(text, pattern, -1), F.regexp_extract_all(text, regex, F.lit(0)), F.regexp_extract_all(text, regex, F.lit(group))
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("g"), hits.alias("h"), values.alias("v"))
-    parts = F.transform(zipped, lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["h"]).alias("h"), x["v"].alias("v")))
-    empty = F.expr("CAST(array() AS array<struct<start:int,`order`:int,`end`:int,kind:string,value:string>>)")
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, regex, F.lit(0)).alias("h"), F.regexp_extract_all(text, regex, F.lit(group)).alias("v"))
+    matches = F.filter(F.transform(zipped, lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["h"]).alias("h"), x["v"].alias("v"))), lambda x: x["h"].isNotNull())
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["g"]
         span = F.struct(start.alias("start"), F.lit(order).alias("order"), (start + x["h"]).alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
         return F.struct((start + x["h"]).alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda acc: acc["spans"])
+    def moved(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["order"].alias("order"), (s["end"] + by).alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
+
+    def of_all(found: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK)), lambda k: F.aggregate(F.slice(found, k * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), _none(_SPANS).alias("spans")), add))
+        join = lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["all"], F.array(moved(b["spans"], acc["at"]))).alias("all"))
+        placed = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), _none(f"array<{_SPANS}>").alias("all")), join, lambda acc: F.flatten(acc["all"]))
+        return F.when(F.size(found) > 0, placed).otherwise(_none(_SPANS))
+
+    return F.transform(F.array(matches), of_all)[0]  # the matches as a variable: found once
 
 
 def _if(test: Column, spans: Column) -> Column:
-    return F.when(test, spans).otherwise(F.expr("CAST(array() AS array<struct<start:int,`order`:int,`end`:int,kind:string,value:string>>)"))
+    return F.when(test, spans).otherwise(_none(_SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -89,12 +109,12 @@ def _log_probabilities(counts: dict[int, int], mix: float) -> dict[tuple[int, in
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """Log-likelihood ratios by ``previous * 128 + next``, from two bounded samples of documents."""
     total = docs.count()
-    some = sampled(docs, id_col, RANDOM_DOCS, total, 1).select(F.explode(base_spans(F.coalesce(F.col(text_col), F.lit("")))).alias("s"))
+    some = sampled(docs, id_col, RANDOM_DOCS, total, 1).select(F.explode(base_spans(F.coalesce(col(text_col), F.lit("")))).alias("s"))
     random = _counts(some.select(F.col("s.value").alias("token")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    for _, pattern, _, _ in BASE[:2]:
+    text = F.coalesce(col(text_col), F.lit(""))
+    for _, pattern, _, _ in BASE:
         text = F.regexp_replace(text, pattern, " ")
-    words = F.regexp_extract_all(F.regexp_replace(text, r"[0-9a-f]{24,}", " "), F.lit(r"[A-Za-z_][A-Za-z0-9_]+"), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]+"), F.lit(0))
     ordinary = _counts(sampled(docs, id_col, WORD_DOCS, total, 2).select(F.explode(words).alias("token")).filter(F.length("token") < RUN_LEAST))
     secret, plain = _log_probabilities(random, 0.5), _log_probabilities(ordinary, 0.02)
     ratios = [0.0] * 16384
@@ -103,32 +123,92 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     return ratios
 
 
+def _parts(run: Column, weights: Column) -> Column:
+    """Spans of kind ``random`` within a run (a span): where the running sum of the ratios exceeds THRESHOLD."""
+    no_parts = _none("array<struct<first:int,last:int>>")
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0).alias("since"), F.lit(0.0).alias("best"), F.lit(0).alias("until"), no_parts.alias("found"))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["best"] > THRESHOLD, F.concat(acc["found"], F.array(F.struct(acc["since"].alias("first"), acc["until"].alias("last"))))).otherwise(acc["found"])
+
+    def step(acc: Column, k: Column) -> Column:
+        total = acc["sum"] + F.element_at(weights, k + 1)
+        over = (total <= 0) | (total < acc["best"] - THRESHOLD)
+        higher = ~over & (total > acc["best"])
+        return F.struct(
+            (acc["i"] + 1).alias("i"),
+            F.when(over, 0.0).otherwise(total).alias("sum"),
+            F.when(over, acc["i"] + 1).otherwise(acc["since"]).alias("since"),
+            F.when(over, 0.0).when(higher, total).otherwise(acc["best"]).alias("best"),
+            F.when(higher, acc["i"] + 2).otherwise(acc["until"]).alias("until"),
+            F.when(over, closed(acc)).otherwise(acc["found"]).alias("found"),
+        )
+
+    value = run["value"]
+    left = lambda p: F.length(F.element_at(F.split(F.substring(value, F.lit(1), p["first"]), "[^A-Za-z0-9]", -1), -1))
+    right = lambda p: F.length(F.element_at(F.split(F.substring(value, p["last"] + 1, F.length(value)), "[^A-Za-z0-9]", 2), 1))
+    wide = F.transform(F.aggregate(_transitions(value), start, step, closed), lambda p: F.struct((p["first"] - left(p)).alias("first"), (p["last"] + right(p)).alias("last")))
+    long = F.filter(F.array_distinct(wide), lambda p: p["last"] - p["first"] >= RUN_LEAST)
+    return F.transform(
+        long,
+        lambda p: F.struct((run["start"] + p["first"]).alias("start"), F.lit(len(BASE)).alias("order"), (run["start"] + p["last"]).alias("end"), F.lit("random").alias("kind"), F.substring(value, p["first"] + 1, p["last"] - p["first"]).alias("value")),
+    )
+
+
+def _covered(spans: Column) -> Column:
+    """array<struct<start, end>>: what spans (by start) cover, once."""
+    empty = _none("array<struct<start:int,`end`:int>>")
+
+    def step(acc: Column, s: Column) -> Column:
+        own = F.struct(s["start"].alias("start"), s["end"].alias("end"))
+        return F.struct(
+            F.when(s["start"] < acc["end"], acc["done"]).otherwise(F.concat(acc["done"], F.filter(F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))), lambda x: x["start"] >= 0))).alias("done"),
+            F.when(s["start"] < acc["end"], acc["start"]).otherwise(own["start"]).alias("start"),
+            F.when(s["start"] < acc["end"], F.greatest(acc["end"], own["end"])).otherwise(own["end"]).alias("end"),
+        )
+
+    last = lambda acc: F.concat(acc["done"], F.filter(F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))), lambda x: x["start"] >= 0))
+    return F.aggregate(spans, F.struct(empty.alias("done"), F.lit(-1).alias("start"), F.lit(-1).alias("end")), step, last)
+
+
+def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """``text`` with what spans cover replaced."""
+
+    def pieces(covered: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.try_element_at(covered, i)["end"]).otherwise(0)
+        parts = F.transform(covered, lambda c, i: F.concat(F.substring(text, before(i) + 1, c["start"] - before(i)), by(c)))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(covered, -1)["end"] + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, F.transform(F.array(_covered(spans)), pieces)[0]).otherwise(text)
+
+
+def _scanned(docs: DataFrame, text: Column, ratios: list[float], name: str) -> DataFrame:
+    """``docs`` with base spans and those of kind ``random``, by start, as a column of a free name."""
+    weights = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ",").cast("array<double>")  # a constant: folded once
+    base, runs = free(docs.columns, f"{name}_base"), free(docs.columns, f"{name}_runs")
+    based = docs.withColumn(base, base_spans(text))
+    masked = _replaced(text, col(base), lambda c: F.repeat(F.lit(" "), c["end"] - c["start"]))
+    scanned = based.withColumn(runs, _if(text.rlike(RUN), _spans(masked, "random", len(BASE), RUN, 0, RUN_LEAST)))
+    likely = F.flatten(F.transform(col(runs), lambda r: _parts(r, weights)))
+    return scanned.withColumn(name, F.when(F.size(col(runs)) == 0, col(base)).otherwise(F.array_sort(F.concat(col(base), likely)))).drop(base, runs)
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratios: list[float] | None = None) -> DataFrame:
     """``docs`` with ``spans``: base spans and those of kind ``random``, by start; none of the latter overlaps a base span."""
     ratios = train(docs, id_col, text_col) if ratios is None else ratios
-    weights = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ",").cast("array<double>")  # a constant: folded once
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rest = [c for c in docs.columns if c != "spans"]
-    based = docs.select(*[F.col(f"`{c}`") for c in rest], base_spans(text).alias("spans"), _if(text.rlike(r"[A-Za-z0-9+/_=-]{20}"), _spans(text, "random", len(BASE), RUN, 0, RUN_LEAST)).alias("__runs"))
-    base = F.col("spans")
-    free = F.filter(F.col("__runs"), lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    likely = F.filter(free, lambda r: F.aggregate(_transitions(r["value"]), F.lit(0.0), lambda acc, k: acc + F.element_at(weights, k + 1)) > THRESHOLD)
-    return based.select(*[F.col(f"`{c}`") for c in rest], F.when(F.size("__runs") == 0, base).otherwise(F.array_sort(F.concat(base, likely))).alias("spans"))
+    rows, place, _ = numbered(docs)
+    kept = [c for c in docs.columns if c.lower() != "spans"]
+    found = _scanned(rows, F.coalesce(F.col(place(text_col)), F.lit("")), ratios, "spans")
+    return found.select(*map(place, kept), "spans").toDF(*kept, "spans")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of every text replaced by a mark; all other columns stay, one named ``spans`` too."""
-    clash = "spans" in docs.columns
-    found = find_secrets(docs.withColumnRenamed("spans", "__spans") if clash else docs, id_col, text_col)
-    text = F.col(text_col)
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(before).alias("out"))
-
-    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    redacted = found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).drop("spans")
-    return (redacted.withColumnRenamed("__spans", "spans") if clash else redacted).select(*docs.columns)
+    """``docs`` with every span of every text replaced by a mark; all other columns stay."""
+    ratios = train(docs, id_col, text_col)
+    rows, place, back = numbered(docs)
+    text = F.col(place(text_col))
+    found = _scanned(rows, F.coalesce(text, F.lit("")), ratios, "spans")
+    return back(found.withColumn(place(text_col), _replaced(text, F.col("spans"), lambda _: F.lit(MARK))))
 
 
 def _listed(spans: Column) -> Column:

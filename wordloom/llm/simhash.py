@@ -10,14 +10,19 @@ Work runs on distinct fingerprints, so groups of copies of any size are one row;
 join, whose hot fingerprints adaptive execution can split. Components are found by alternating large-star and
 small-star steps, each written to the shared folder. A node has 2,080 possible partners at most.
 
-``deduplicate`` asks for more: five-word shingles and a Jaccard similarity of ``SIMILAR``, at which about ``TURN`` of all
-bits differ. It takes many short fingerprints (bands), each ball-hashed in the same way, as many as find a pair at
-``SIMILAR`` with a chance of 1 - ``MISSED``; bands get longer with the table, so that chance meetings stay few. Every link
-is verified by the true similarity of the two sets of shingles. Equal texts are one node.
-
-Edge cases: null and empty texts, and texts of white space, have fingerprint zero, which links like any other; texts of
-one or two words have the hash of the whole sequence; equal rows are linked; null ids are never a component's id unless
-it has no other; tables without rows give none; other columns are ignored.
+``deduplicate`` asks for more: five-word shingles and a Jaccard similarity of ``SIMILAR``, at which a share of ``TURN`` of
+all bits differs, so that two of 64 bits would miss nearly all. Fingerprints are therefore short, and hashed in the same
+way among the texts that have an anchor in common: the smallest shingle hash under one of ``ANCHORS`` mixings, which two
+texts share with a chance of their similarity. A fingerprint's length follows the number of texts at its anchor, so that
+chance meetings stay few; where it gets long, several are taken (``BANDS``). An anchor of one text emits nothing. What
+meets is compared by all ``ANCHORS`` fingerprints of 64 bits, and verified by the true similarity of the two sets of
+shingles: first each text with one partner, then all pairs that these links have not yet brought together. Equal texts
+are one node.
+
+Edge cases: null and empty texts, and texts of white space, have fingerprint zero, which links like any other (for
+``deduplicate`` their sets of shingles are equal); texts of fewer words than a shingle have the hash of the whole
+sequence; equal rows are linked; null ids are never a component's id unless it has no other; tables without rows give
+none; other columns are ignored by ``near_duplicates`` and kept by ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,21 +35,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import map_texts, materialise, table
+from wordloom.llm.common import map_texts, materialise, numbered, scratch_path, table
+from wordloom.storage import drop, write
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Removed ids up to which they are broadcast (8 bytes each).
+#: Ids or nodes up to which they are broadcast (8 bytes each); beyond, a shuffle join.
 BROADCAST_ROWS = 1_000_000
+#: Fingerprints of a task that emits variants.
+SPREAD = 50_000
 #: Near duplicates of ``deduplicate``: words of a shingle, least Jaccard similarity, share of bits that differ there.
 NEAR_SHINGLE, SIMILAR = 5, 0.8
 TURN = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
-#: Chance that all bands miss a pair at SIMILAR; least bits of a band; bits beyond those that number the documents.
-MISSED, LEAST_BITS, SPARE_BITS = 0.02, 20, 7
+#: Anchors of a text, each with a fingerprint of 64 bits; bits of a band beyond those that number an anchor's texts, and most bits.
+ANCHORS, SPARE_BITS, MOST_BITS = 4, 6, 32
+#: Chance that all bands of all anchors miss a pair at SIMILAR; most bands of an anchor.
+MISSED, MOST_BANDS = 0.02, 8
+#: Bits of all fingerprints up to which a pair is verified: the mean at SIMILAR and 4.5 deviations.
+COMPARED = 64 * ANCHORS
+NEAR_BITS = round(TURN * COMPARED + 4.5 * math.sqrt(COMPARED * TURN * (1 - TURN)))
 _STEP = 1 << 16
 
 
+def _found(bits: int) -> float:
+    """Chance that two fingerprints of so many bits, of texts at SIMILAR, are within the radius."""
+    return sum(math.comb(bits, k) * TURN**k * (1 - TURN) ** (bits - k) for k in range(RADIUS + 1))
+
+
+def _bands(bits: int) -> int:
+    """Fingerprints of so many bits that an anchor needs, for all anchors together to miss no more than MISSED."""
+    each = (1 - MISSED ** (1 / ANCHORS)) / SIMILAR
+    return min(MOST_BANDS, max(1, math.ceil(math.log(1 - each) / math.log(1 - _found(bits)))))
+
+
+#: Bands by the number of bits.
+BANDS = [*[1] * (RADIUS + 1), *map(_bands, range(RADIUS + 1, MOST_BITS + 1))]
+
+
 def _hashes(words: list[bytes], shingle: int, at: int, n: int) -> np.ndarray:
     """XXH64 of the shingles from ``at`` on, ``_STEP`` of ``n`` at most."""
     part = words[at : min(at + _STEP, n) + shingle - 1]
@@ -73,26 +101,21 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, "<u8"), *(_hashes(words, NEAR_SHINGLE, at, n) for at in range(0, n, _STEP))]))
 
 
-def shape(documents: int) -> tuple[int, int]:
-    """Bits of a band, and bands, for so many documents."""
-    bits = min(63, max(LEAST_BITS, SPARE_BITS + math.ceil(math.log2(max(1, documents)))))
-    found = sum(math.comb(bits, k) * TURN**k * (1 - TURN) ** (bits - k) for k in range(RADIUS + 1))
-    return bits, math.ceil(math.log(MISSED) / math.log(1 - found))
-
-
-def bands(hashes: np.ndarray, bits: int, count: int) -> list[int]:
-    """``count`` fingerprints of ``bits`` bits of a set of shingles."""
-    majority = []
-    for word in range(-(-bits * count // 64)):
-        ones = np.zeros(64, np.int64)
+def sketch(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    """For each anchor, the smallest of a set of hashes after a mixing of its own, and the majority bits after it."""
+    anchors, prints = [], []
+    for k in range(ANCHORS):
+        least, ones = np.uint64((1 << 64) - 1), np.zeros(64, np.int64)
         for at in range(0, len(hashes), _STEP):
-            x = hashes[at : at + _STEP] + np.uint64((word * 0x9E3779B97F4A7C15) % (1 << 64))
+            x = hashes[at : at + _STEP] + np.uint64(((k + 1) * 0x9E3779B97F4A7C15) % (1 << 64))
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            ones += _ones(x ^ (x >> np.uint64(31)))
-        majority.append(2 * ones > len(hashes))
-    rows = np.concatenate(majority)[: bits * count].reshape(count, bits)
-    return (rows @ (np.int64(1) << np.arange(bits, dtype=np.int64))).tolist()
+            x ^= x >> np.uint64(31)
+            least = min(least, x.min())
+            ones += _ones(x)
+        anchors.append(int(least.view(np.int64)))
+        prints.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
+    return anchors, prints
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -104,18 +127,20 @@ def _flip(value: Column, bit: Column) -> Column:
     return value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
 
 
-def links(prints: DataFrame, width: int = 64, by: list[str] | None = None) -> DataFrame:
+def links(prints: DataFrame, width: Column | int = 64, by: list[str] | None = None) -> DataFrame:
     """(by, u, v), u > v: stars that connect all distinct fingerprints of ``width`` bits within the radius, among rows
-    with the same ``by``."""
-    one, by = F.lit(1).cast("long"), by or []
-    variants = prints.select(*by, "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("bit")).select(
+    with the same ``by`` (and so the same width)."""
+    one, by, width = F.lit(1).cast("long"), by or [], F.lit(width) if isinstance(width, int) else width
+    tasks = math.ceil(prints.count() / SPREAD)
+    spread = prints.repartition(tasks, *by, "fingerprint") if tasks > 1 else prints
+    variants = spread.select(*by, "fingerprint", width.alias("width"), F.explode(F.sequence(F.lit(0), width)).alias("bit")).select(
         *by,
-        F.when(F.col("bit") < width, _flip(F.col("fingerprint"), F.col("bit"))).otherwise(F.col("fingerprint")).alias("variant"),
-        F.when(F.col("bit") < width, F.call_function("shiftleft", one, F.col("bit"))).otherwise(F.lit(0).cast("long")).alias("mask"),
-        (F.col("bit") == width).alias("own"),
+        F.when(F.col("bit") < F.col("width"), _flip(F.col("fingerprint"), F.col("bit"))).otherwise(F.col("fingerprint")).alias("variant"),
+        F.when(F.col("bit") < F.col("width"), F.call_function("shiftleft", one, F.col("bit"))).otherwise(F.lit(0).cast("long")).alias("mask"),
+        (F.col("bit") == F.col("width")).alias("own"),
     )
     buckets = variants.groupBy(*by, "variant").agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own")).filter(F.bit_count("mask") + F.col("own").cast("int") >= 2)
-    bits = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(one) == 1)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(one) == 1)
     flipped = F.transform(bits, lambda i: _flip(F.col("variant"), i))
     members = buckets.select(*by, F.when(F.col("own"), F.concat(F.array("variant"), flipped)).otherwise(flipped).alias("members"))
     star = members.select(*by, F.array_min("members").alias("v"), F.explode("members").alias("u")).filter("u > v")
@@ -134,9 +159,13 @@ def _round(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): v is the smallest node of u's component, for every u that is not that itself."""
-    seen = None
+    spark, seen, before = edges.sparkSession, None, None
     while True:
-        edges = materialise(edges, "edges")
+        path = scratch_path(spark, "edges")
+        edges = write(edges, path)
+        if before:
+            drop(spark, before)
+        before = path
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == seen or not state.n:
             return edges
@@ -154,61 +183,96 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(rooted.join(smallest, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def _node(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-
-
-def candidates(nodes: DataFrame, bits: int) -> DataFrame:
-    """(u, v), u > v: nodes of ``nodes(node, n, bands)`` that meet in a band and whose sizes allow SIMILAR."""
-    flat = nodes.select("node", "n", F.posexplode("bands").alias("band", "fingerprint"))
-    values = materialise(flat.groupBy("band", "fingerprint").agg(F.min(F.struct("node", "n")).alias("first")), "bands")
-    same = flat.join(values.select("band", "fingerprint", "first"), ["band", "fingerprint"]).select(F.struct("node", "n").alias("a"), F.col("first").alias("b"))
-    near = links(values.select("band", "fingerprint"), bits, ["band"])
-    for end, name in (("u", "a"), ("v", "b")):
-        near = near.join(values.select("band", F.col("fingerprint").alias(end), F.col("first").alias(name)), ["band", end])
-    both = same.unionByName(near.select("a", "b"))
-    both = both.filter((F.col("a.node") != F.col("b.node")) & (F.least("a.n", "b.n") >= SIMILAR * F.greatest("a.n", "b.n")))
-    return both.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
-
-
-def similar(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(u, v), u > v: links between texts (by ``_node``) whose sets of shingles have a Jaccard similarity of SIMILAR."""
-    texts = docs.select(_node(text_col).alias("node"), F.col(f"`{text_col}`").alias("text"))
-    bits, count = shape(docs.count())
+def sketches(texts: DataFrame) -> DataFrame:
+    """One row per distinct text of ``texts(node, doc, text)``: node, doc (the smallest), n (shingles), anchors, prints."""
 
     def make():
         def work(batch: list[str]) -> list[list]:
             sets = [shingles(x) for x in batch]
-            return [[len(x) for x in sets], [bands(x, bits, count) for x in sets]]
+            made = [sketch(x) for x in sets]
+            return [[len(x) for x in sets], [a for a, _ in made], [p for _, p in made]]
 
         return work
 
-    made = map_texts(texts, "text", make, [T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))], ["node"])
-    nodes = materialise(made.dropDuplicates(["node"]), "nodes")
-    pairs = materialise(candidates(nodes, bits), "candidates")
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    wanted = texts.join(asked, "node", "left_semi").dropDuplicates(["node"])
-    sets = map_texts(wanted, "text", lambda: lambda batch: [[shingles(x).view("<i8") for x in batch]], [T.StructField("set", T.ArrayType(T.LongType()))], ["node"])
-    sets = materialise(sets, "sets")
+    longs = T.ArrayType(T.LongType())
+    made = map_texts(texts, "text", make, [T.StructField("n", T.LongType()), T.StructField("anchors", longs), T.StructField("prints", longs)], ["node", "doc"])
+    return made.groupBy("node").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("n", "anchors", "prints")))
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v), u > v: nodes that meet in a band, whose sizes allow SIMILAR and of whose bits NEAR_BITS differ at most.
+
+    Stars from the smallest node of each band's fingerprint, and between these nodes those of ``links``.
+    """
+    flat = nodes.select("node", "n", "prints", F.posexplode("anchors").alias("place", "anchor"))
+    shared = flat.groupBy("place", "anchor").agg(F.count("*").alias("m")).filter("m > 1")
+    bits = F.least(F.lit(MOST_BITS), F.ceil(F.log2("m")).cast("int") + SPARE_BITS)
+    count = F.element_at(F.array(*map(F.lit, BANDS)), F.col("bits") + 1)
+    met = flat.join(shared, ["place", "anchor"]).withColumn("bits", bits).withColumn("band", F.explode(F.sequence(F.lit(0), count - 1)))
+    print_ = F.element_at("prints", (F.col("place") + F.col("band")) % ANCHORS + 1)
+    cut = F.call_function("shiftright", print_, F.floor(F.col("band") / ANCHORS).cast("int") * MOST_BITS)
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
+    banded = materialise(met.select(F.xxhash64("place", "anchor", "band").alias("group"), "bits", cut.bitwiseAND(mask).alias("fingerprint"), F.struct("node", "n").alias("own")), "banded")
+
+    values = materialise(banded.groupBy("group", "bits", "fingerprint").agg(F.min("own").alias("first"), F.count("*").alias("m")), "values")
+    same = banded.join(values.filter("m > 1").select("group", "fingerprint", "first"), ["group", "fingerprint"]).select(F.col("own").alias("a"), F.col("first").alias("b"))
+    near = links(values.select("group", "bits", "fingerprint"), F.col("bits"), ["group"])
+    for end, name in (("u", "a"), ("v", "b")):
+        near = near.join(values.select("group", F.col("fingerprint").alias(end), F.col("first").alias(name)), ["group", end])
+    both = same.unionByName(near.select("a", "b")).filter((F.col("a.node") != F.col("b.node")) & (F.least("a.n", "b.n") >= SIMILAR * F.greatest("a.n", "b.n")))
+    pairs = both.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
+    for end in ("u", "v"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("prints").alias(f"prints_{end}")), end)
+    differing = F.aggregate(F.zip_with("prints_u", "prints_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return pairs.filter(differing <= NEAR_BITS).select("u", "v")
+
+
+def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs(u, v)`` whose sets of shingles have a Jaccard similarity of SIMILAR. Sets are made of one row of each
+    text that is asked for."""
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "doc"), "node")
+    asked = materialise(asked.select(F.col("node").alias("wanted"), F.col("doc").alias("one")), "asked")
+    chosen = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, (F.col("node") == F.col("wanted")) & F.col("doc").eqNullSafe(F.col("one")), "left_semi")
+    sets = map_texts(chosen, "text", lambda: lambda batch: [[shingles(x).view("<i8") for x in batch]], [T.StructField("set", T.ArrayType(T.LongType()))], ["node"])
+    sets = materialise(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
     for end in ("u", "v"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
     shared = F.size(F.array_intersect("set_u", "set_v"))
     return pairs.filter(shared >= SIMILAR * (F.size("set_u") + F.size("set_v") - shared)).select("u", "v")
 
 
+def near_components(texts: DataFrame) -> DataFrame:
+    """(u, v): the smallest node of u's component, for every text of ``texts(node, doc, text)`` that is not that itself."""
+    nodes = materialise(sketches(texts), "nodes")
+    pairs = materialise(candidates(nodes), "candidates")
+    first = materialise(verified(texts, nodes, pairs.groupBy("u").agg(F.min("v").alias("v"))), "verified")
+    linked = components(first)
+    apart = pairs
+    for end in ("u", "v"):
+        root = linked.select(F.col("u").alias(end), F.col("v").alias(f"root_{end}"))
+        apart = apart.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    apart = materialise(apart.filter("root_u <> root_v").select("u", "v").join(pairs.groupBy("u").agg(F.min("v").alias("v")), ["u", "v"], "left_anti"), "apart")
+    if apart.isEmpty():
+        return linked
+    return components(first.unionByName(verified(texts, nodes, apart)))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates: that with the smallest id. Rows that share an id are
     one document, kept once; rows without an id are kept."""
-    linked = components(similar(docs, text_col))
-    ids = docs.select(F.col(id_col).alias("doc_id"), _node(text_col).alias("u")).join(linked, "u", "left").select("doc_id", F.coalesce("v", "u").alias("root"))
-    smallest = ids.groupBy("root").agg(F.min("doc_id").alias("component"))
-    found = materialise(ids.join(smallest, "root").select(F.col("doc_id").alias(id_col), F.col("component").alias("__component")), "components")
-    drop = found.filter(F.col(id_col) != F.col("__component")).select(id_col).distinct()
-    kept = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, id_col, "left_anti")
-    if found.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty():
-        return kept.select(*docs.columns)
-    named = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.filter(F.col(id_col).isNull())).select(*docs.columns)
+    docs, place, back = numbered(docs)
+    key, text = F.col(place(id_col)), F.col(place(text_col))
+    texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"), key.alias("doc"), text.alias("text"))
+    linked = near_components(texts)
+    ids = texts.select("doc", F.col("node").alias("u")).join(linked, "u", "left").select("doc", F.coalesce("v", "u").alias("root"))
+    smallest = ids.groupBy("root").agg(F.min("doc").alias("component"))
+    found = materialise(ids.join(smallest, "root").select("doc", "component"), "components")
+    lost = found.filter("doc <> component").select(F.col("doc").alias("lost")).distinct()
+    kept = docs.join(F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost, key == F.col("lost"), "left_anti")
+    if found.filter("doc IS NOT NULL").groupBy("doc").count().filter("count > 1").isEmpty():
+        return back(kept)
+    named = kept.filter(key.isNotNull()).dropDuplicates([place(id_col)])
+    return back(named.unionByName(kept.filter(key.isNull())))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,16 @@ however the text goes on. If the overlap has no such place, it is widened, up to
 
 Other documents fall apart at the same places into units of white space and one word; the count of a unit is
 remembered, so the tokenizer itself sees each unit once in a worker's life. Texts with white space other than blank,
-tab and line ends are encoded whole.
+tab and line ends are encoded whole. So are all texts by a tokenizer for which these places are not proven: one with a
+normaliser, or with another pre-tokenizer than byte-level (``splits``).
 
-Edge cases: null and empty texts have 0 tokens; strings of special tokens inside texts are tokens, as the library has
+Edge cases: equal rows get equal counts; null and empty texts have 0 tokens; strings of special tokens inside texts are tokens, as the library has
 it by default; tables without rows give none; columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from bisect import bisect_left
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import map_texts, table
+from wordloom.llm.common import map_texts, table, worker_memory
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -38,25 +40,29 @@ REMEMBERED = 800_000
 RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　]")
 UNIT = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 
-_LOADED: dict[str, object] = {}
+def load(name: str):
+    """The tokenizer of a file: a path, or a name that ``public_tokenizers`` knows."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
+    path = name
+    if not os.path.isabs(name):
+        import public_tokenizers
 
-def load(name: str):
-    """The tokenizer of a file: a path, or a name that ``public_tokenizers`` knows. Loaded once in a process."""
-    if name not in _LOADED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        path = public_tokenizers.path(name)
+    tokenizer = Tokenizer.from_file(str(path))
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    return tokenizer
 
-        path = name
-        if not os.path.isabs(name):
-            import public_tokenizers
 
-            path = public_tokenizers.path(name)
-        tokenizer = Tokenizer.from_file(str(path))
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
-        _LOADED[name] = tokenizer
-    return _LOADED[name]
+def splits(tokenizer) -> bool:
+    """Do boundaries of pre-tokens follow from the characters beside them, as ``stable`` has it? So they do without a
+    normaliser, in byte-level pre-tokens by the usual pattern, if no added token takes white space with it."""
+    about = json.loads(tokenizer.to_str())
+    before = about["pre_tokenizer"] or {}
+    plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in about["added_tokens"])
+    return plain and about["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
 
 
 def stable(text: str, at: int) -> bool:
@@ -111,35 +117,37 @@ class Remembered:
         return known
 
 
-_COUNTS: dict[str, Remembered] = {}
+class Counts:
+    """A tokenizer, and the counts of units that a worker remembers."""
 
+    def __init__(self, tokenizer: str):
+        self.tokenizer = load(tokenizer)
+        self.splits = splits(self.tokenizer)
+        self.memory = Remembered(lambda units: [len(e.ids) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)])
 
-def token_counts(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER, chunk: int = CHUNK, overlap: int = OVERLAP, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``n_bytes`` (UTF-8) and ``n_tokens``. For byte-level tokenizers without a normaliser."""
+    def starts(self, text: str) -> list[int]:
+        return [a for a, _ in self.tokenizer.encode(text, add_special_tokens=False).offsets]
 
-    def make():
-        t = load(tokenizer)
-        if tokenizer not in _COUNTS:
-            _COUNTS[tokenizer] = Remembered(lambda units: [len(e.ids) for e in t.encode_batch_fast(units, add_special_tokens=False)])
-        memory = _COUNTS[tokenizer]
+    def whole(self, text: str, chunk: int, overlap: int) -> int:
+        if self.splits and len(text) > chunk:
+            return resynchronised(self.starts, text, chunk, overlap)
+        return len(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
-        def starts(text: str) -> list[int]:
-            return [a for a, _ in t.encode(text, add_special_tokens=False).offsets]
+    def of(self, texts: list[str], chunk: int, overlap: int) -> list[int]:
+        units = [[] if not self.splits or len(x) > chunk or RARE_SPACE.search(x) else UNIT.findall(x) for x in texts]
+        value = self.memory.of(units).__getitem__
+        return [sum(map(value, u)) if u else self.whole(x, chunk, overlap) if x else 0 for u, x in zip(units, texts, strict=True)]
 
-        def whole(text: str) -> int:
-            if len(text) > chunk:
-                return resynchronised(starts, text, chunk, overlap)
-            return len(t.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
-        def work(texts: list[str]) -> list[list]:
-            units = [[] if len(x) > chunk or RARE_SPACE.search(x) else UNIT.findall(x) for x in texts]
-            value = memory.of(units).__getitem__
-            counts = [sum(map(value, u)) if u else whole(x) if x else 0 for u, x in zip(units, texts, strict=True)]
-            return [[len(x.encode("utf-8", "surrogatepass")) for x in texts], counts]
+def token_counts(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER, chunk: int = CHUNK, overlap: int = OVERLAP, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``n_bytes`` (UTF-8) and ``n_tokens``."""
+    key = f"tokens {tokenizer}"
 
-        return work
+    def make():
+        counts: Counts = worker_memory(key, lambda: Counts(tokenizer))  # type: ignore[assignment]
+        return lambda texts: [[len(x.encode("utf-8", "surrogatepass")) for x in texts], counts.of(texts, chunk, overlap)]
 
-    return map_texts(docs, text_col, make, [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())], keep)
+    return map_texts(docs, text_col, make, [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())], keep, key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import map_texts, sampled, table
+from wordloom.llm.common import col, map_texts, sampled, table
 
 #: Labelled rows used, words chosen for each category, least documents of a word, and folds.
 SAMPLE, WORDS, LEAST, FOLDS = 6_000, 80, 3, 5
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     spark = docs.sparkSession
     one = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(*[F.max(c).cast("double").alias(c) for c in categories])
     chosen = F.broadcast(sampled(one, id_col, SAMPLE))  # about SAMPLE rows
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, id_col)
+    rows = docs.select(col(id_col).alias(id_col), F.coalesce(col(text_col), F.lit("")).alias("text")).join(chosen, id_col)
 
     words = map_texts(rows, "text", lambda: lambda texts: [[features_of(x) for x in texts]], [T.StructField("words", T.ArrayType(T.StringType()))], categories)
     seen = words.select(*categories, F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).filter(F.col("n") >= LEAST)

@@ -6,11 +6,13 @@ of (archive, part, data), each ``data`` a run of whole gzip members, so any stor
 Spark's commit protocol covers lost executors.
 
 The reader goes through the bytes once: incremental zlib decompression with a bounded output step, record headers up
-to the empty line, content framed by ``Content-Length``, and payloads verified against ``WARC-Payload-Digest``.
+to the empty line, content framed by ``Content-Length``, and payloads verified against ``WARC-Payload-Digest`` and their
+stated length. A revisit has the digest and the length of the response that it names, or reading fails (``checked``).
 
 Edge cases: null html is an empty payload; a null url gives ``urn:page``; rows that repeat the smallest id of a group
 are all responses; a null id is never chosen while others exist, and a group of null ids only is all responses;
-empty tables give no rows; other columns are ignored.
+repeated rows are a record each; very long pages are parts of their own; empty tables give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import materialise, pieces, scratch_path, table
+from wordloom.llm.common import col, materialise, pieces, scratch_path, table, worker_memory
 
 MIN_REVISIT = 100
 #: Compressed bytes after which a writer starts a new part.
@@ -104,8 +106,11 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if len(body) != length + 4 or body[length:] != b"\r\n\r\n":
             raise CorruptRecord("content does not fill its frame")
         payload = bytes(body[:length])
-        if headers["WARC-Type"] != "revisit" and f"sha256:{hashlib.sha256(payload).hexdigest()}" != headers["WARC-Payload-Digest"]:
-            raise CorruptRecord("payload digest differs")
+        if headers["WARC-Type"] != "revisit":
+            if f"sha256:{hashlib.sha256(payload).hexdigest()}" != headers["WARC-Payload-Digest"]:
+                raise CorruptRecord("payload digest differs")
+            if int(headers["X-Payload-Length"]) != len(payload):
+                raise CorruptRecord("payload length differs")
         yield headers, payload
 
 
@@ -114,8 +119,8 @@ def decide(pages: DataFrame, id_col: str, uri_col: str, html_col: str) -> DataFr
 
     Only ids and digests are grouped; payloads are shuffled only when there are too many repeated ones to broadcast.
     """
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(uri_col).alias("uri"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    payload = F.coalesce(col(html_col), F.lit("")).cast("binary")
+    rows = pages.select(col(id_col).cast("long").alias("page_id"), col(uri_col).alias("uri"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     repeated = materialise(
         rows.filter(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first"),
         "repeated",
@@ -130,6 +135,7 @@ def write_archives(decided: DataFrame, path: str) -> None:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        worker_memory("")
         archive, part, members_, size = f"{TaskContext.get().partitionId():08d}.warc.gz", 0, [], 0
 
         def out() -> pa.RecordBatch:
@@ -175,6 +181,20 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("data").mapInArrow(run, "page_id long, uri string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
+def checked(records: DataFrame) -> DataFrame:
+    """``records``, whose revisits name a response of their digest and length; raises where one does not.
+
+    Responses and revisits meet in one row for each page that is named, narrow and combined before the shuffle."""
+    name = F.coalesce("refers_to", "page_id")
+    print_ = F.struct("payload_digest", "payload_bytes")
+    response = F.col("record_type") == "response"
+    named = records.groupBy(name.alias("page"), print_.alias("print")).agg(F.bool_or(response).alias("there"), F.bool_or(~response).alias("wanted"))
+    lost = named.filter("wanted AND NOT there").select("page").limit(1).collect()
+    if lost:
+        raise CorruptRecord(f"a revisit names page {lost[0].page}, which has no such payload")
+    return records
+
+
 def archive_pages(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html", path: str | None = None) -> DataFrame:
     """Archive all pages under ``path`` (the shared folder if None) and read the archives back."""
     spark = pages.sparkSession
@@ -184,7 +204,8 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return checked(materialise(records, "records"))
 
 
 SQL = """
