@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from wordloom.storage import materialise, scratch_path
 
-__all__ = ["col", "free", "worker_memory", "map_cells", "map_texts", "materialise", "numbered", "pieces", "sampled", "scratch_path", "table"]
+__all__ = ["col", "free", "worker_memory", "map_cells", "map_texts", "materialise", "numbered", "pieces", "sampled", "scratch_path", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,19 @@ def sampled(df: DataFrame, key: str, bound: int, total: int | None = None, salt:
     return df.filter(F.pmod(F.xxhash64(col(key).cast("string"), F.lit(salt)), F.lit(1 << 30)) < cut)
 
 
+#: Bytes of a batch in which rows go to Python and come back, and Spark's own setting, which this replaces.
+BATCH_BYTES, DEFAULT_BATCH = 4 << 20, "64MB"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose batches for Python are of BATCH_BYTES, unless it has a setting of its own: each task
+    holds some of them outside the heap, on either side."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == DEFAULT_BATCH:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 _HELD: dict[str, object] = {}
 
 
@@ -92,7 +105,7 @@ def map_cells(
 
     new = {f.name for f in fields}
     kept = [c for c in kept if c not in new]
-    source = df.select(*map(col, kept), cell.alias(free(kept, "__cell")))
+    source = small_batches(df).select(*map(col, kept), cell.alias(free(kept, "__cell")))
     schema = T.StructType([*source.schema.fields[:-1], *fields])
     types = [to_arrow_type(f.dataType) for f in fields]
     names = [*kept, *(f.name for f in fields)]

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wordloom.llm.common import col, free, materialise, numbered, pieces, table, worker_memory
+from wordloom.llm.common import col, free, materialise, numbered, pieces, small_batches, table, worker_memory
 
 WINDOW = 10
 #: Characters of benchmark items in a block, blocks whose tables a worker keeps, and blocks that are broadcast at once.
@@ -194,7 +194,7 @@ def _one_pass(docs: DataFrame, text_col: str, blocks: list[list[tuple[str, str]]
         if waiting:
             yield from search(waiting)
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], *FIELDS]))
+    return small_batches(source).mapInArrow(run, T.StructType([*source.schema.fields[:-1], *FIELDS]))
 
 
 def find_overlaps(

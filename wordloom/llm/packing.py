@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import col, pieces, table, worker_memory
+from wordloom.llm.common import col, pieces, small_batches, table, worker_memory
 from wordloom.llm.tokens import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,8 @@ WINDOW = 4096
 END = 2
 #: Pieces and ids of a block.
 BLOCK_PIECES, BLOCK_IDS = 20_000, 4 << 20
+#: Bytes of texts whose words are looked up together.
+GATHERED = 8 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -213,6 +215,20 @@ def token_ids(tokenizer: str = TOKENIZER) -> Words:
     return worker_memory(f"packing {tokenizer}", lambda: Words(tokenizer))  # type: ignore[return-value]
 
 
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about GATHERED bytes, in which a word is looked up once."""
+    waiting, size = [], 0
+    for whole in batches:
+        for batch in pieces(whole, GATHERED):
+            waiting.append(batch)
+            size += batch.nbytes
+            if size >= GATHERED:
+                yield pa.concat_batches(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, window: int = WINDOW, end: int = END
 ) -> DataFrame:
@@ -232,20 +248,19 @@ def pack(
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for whole in batches:
-            for batch in pieces(whole, 8 << 20):
-                for doc, ids in zip(batch.column(0).to_pylist(), words.of(batch.column(1)), strict=True):
-                    ids = np.concatenate([ids, tail])
-                    for start, part in cut(ids, window):
-                        waiting.append((doc, start, part, len(ids)))
-                        held += len(part)
-                        if held >= BLOCK_IDS or len(waiting) >= BLOCK_PIECES:
-                            yield placed()
-                            waiting, held = [], 0
+        for batch in _gathered(batches):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.of(batch.column(1)), strict=True):
+                ids = np.concatenate([ids, tail])
+                for start, part in cut(ids, window):
+                    waiting.append((doc, start, part, len(ids)))
+                    held += len(part)
+                    if held >= BLOCK_IDS or len(waiting) >= BLOCK_PIECES:
+                        yield placed()
+                        waiting, held = [], 0
         if waiting:
             yield placed()
 
-    return source.mapInArrow(run, SCHEMA)
+    return small_batches(source).mapInArrow(run, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import col, materialise, pieces, scratch_path, table, worker_memory
+from wordloom.llm.common import col, materialise, pieces, scratch_path, small_batches, table, worker_memory
 
 MIN_REVISIT = 100
 #: Compressed bytes after which a writer starts a new part.
@@ -152,7 +152,7 @@ def write_archives(decided: DataFrame, path: str) -> None:
         if members_:
             yield out()
 
-    decided.mapInArrow(run, "archive string, part long, data binary").write.option("compression", "none").parquet(path)
+    small_batches(decided).mapInArrow(run, "archive string, part long, data binary").write.option("compression", "none").parquet(path)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return archives.select("data").mapInArrow(run, "page_id long, uri string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
+    return small_batches(archives).select("data").mapInArrow(run, "page_id long, uri string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
 def checked(records: DataFrame) -> DataFrame:
