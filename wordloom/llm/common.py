@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import types as T
 
 from wordloom.storage import materialise, scratch_path
 
-__all__ = ["col", "free", "worker_memory", "map_cells", "map_texts", "materialise", "numbered", "pieces", "sampled", "scratch_path", "small_batches", "table"]
+__all__ = ["col", "flagged", "free", "worker_memory", "map_cells", "map_texts", "materialise", "numbered", "pieces", "sampled", "scratch_path", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,14 +72,33 @@ _HELD: dict[str, object] = {}
 
 def worker_memory(key: str, make: Callable[[], object] | None = None) -> object:
     """What a Python worker keeps between its tasks: made once, and of one key at a time, so that a worker that goes on
-    to another operator lets go of what the last one kept."""
+    to another operator lets go of what the last one kept, and gives free memory back."""
     if key not in _HELD:
         _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries give it back by themselves
+            ctypes.CDLL(None).malloc_trim(0)
         if make is not None:
             _HELD[key] = make()
     return _HELD.get(key)
 
 
+def flagged(text: Column, make: Callable[[], Callable[[list[str]], list[bool]]], holds: str = "") -> Column:
+    """A truth value for each whole text, null texts as "". Only texts go to Python; the other columns of a row do not.
+    ``holds``: as in ``map_texts``."""
+
+    @F.arrow_udf("boolean")
+    def flag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_memory(holds)
+        work = None
+        for batch in batches:
+            work = work or make()
+            yield pa.array(work(batch.to_pylist()), pa.bool_())
+
+    return flag(F.coalesce(text, F.lit("")))
+
+
 def pieces(batch: pa.RecordBatch, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most_bytes`` at most, one row at least."""
     if batch.nbytes <= most_bytes or batch.num_rows < 2:

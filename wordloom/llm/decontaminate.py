@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wordloom.llm.common import col, free, materialise, numbered, pieces, small_batches, table, worker_memory
+from wordloom.llm.common import col, flagged, free, materialise, numbered, pieces, small_batches, table, worker_memory
 
 WINDOW = 10
 #: Characters of benchmark items in a block, blocks whose tables a worker keeps, and blocks that are broadcast at once.
@@ -60,6 +60,12 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().translate(_TO_SPACE).split()
 
 
+def _normal(text: str) -> tuple[int, bytes]:
+    """How many words a text has, and the form in which it is searched."""
+    words = words_of(text)
+    return len(words), b" " + b" ".join(words) + b" "
+
+
 def windows_of(text: str, window: int = WINDOW) -> set[bytes]:
     """The distinct patterns of an item."""
     words = words_of(text)
@@ -125,6 +131,10 @@ class Matcher:
                 found.update(items)
                 marks.append((words, words + n))
 
+    def occurs(self, text: bytes) -> bool:
+        """Does any window occur?"""
+        return any(next(tables.search(text), None) is not None for tables, _ in self.bands)
+
 
 def _merged(marks: list[tuple[int, int]]) -> list[dict[str, int]]:
     out: list[list[int]] = []
@@ -136,6 +146,10 @@ def _merged(marks: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": a, "end": b} for a, b in out]
 
 
+def _width(spans: list[dict[str, int]]) -> int:
+    return sum(s["end"] - s["start"] for s in spans)
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     rows = benchmark.select(F.coalesce(col(id_col).cast("string"), F.lit("")).alias("id"), col(text_col).alias("text")).filter(F.col("text").isNotNull())
     block, size = [], 0
@@ -170,17 +184,20 @@ def _one_pass(docs: DataFrame, text_col: str, blocks: list[list[tuple[str, str]]
             return tables[k]
 
         def search(gathered: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            split = [[words_of(t) for t in batch.column(batch.num_columns - 1).to_pylist()] for batch in gathered]
-            found: list[list[set[str]]] = [[set() for _ in x] for x in split]
-            marks: list[list[list[tuple[int, int]]]] = [[[] for _ in x] for x in split]
+            texts = [_normal(t) for batch in gathered for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found: list[set[str]] = [set() for _ in texts]
+            marks: list[list[tuple[int, int]]] = [[] for _ in texts]
             for k in range(len(shared)):
-                for words, f, m in zip(split, found, marks, strict=True):
-                    for i, w in enumerate(words):
-                        if w:
-                            matcher(k).hits(b" " + b" ".join(w) + b" ", f[i], m[i])
-            for batch, words, f, m in zip(gathered, split, found, marks, strict=True):
-                spans = [_merged(x) for x in m]
-                made = [[len(w) for w in words], [sum(s["end"] - s["start"] for s in x) for x in spans], [sorted(x) for x in f], spans]
+                tables_k = matcher(k)
+                for (n, text), f, m in zip(texts, found, marks, strict=True):
+                    if n:
+                        tables_k.hits(text, f, m)
+            at = 0
+            for batch in gathered:
+                own = slice(at, at + batch.num_rows)
+                at += batch.num_rows
+                spans = [_merged(m) for m in marks[own]]
+                made = [[n for n, _ in texts[own]], [_width(x) for x in spans], [sorted(f) for f in found[own]], spans]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(v, type=t) for v, t in zip(made, types, strict=True))], names=names)
 
         waiting, size = [], 0
@@ -235,11 +252,28 @@ def find_overlaps(
     return counted.select(*map(place, kept), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.lit([]).cast("array<string>")).alias("items"), spans.alias("hit_spans")).toDF(*kept, *(f.name for f in FIELDS))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents without any occurrence, all their columns unchanged."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES, held: int = HELD_BLOCKS) -> DataFrame:
+    """The documents without any occurrence, all their columns unchanged. Where a worker can keep all tables, only texts
+    go to Python."""
     rows, place, back = numbered(docs)
-    packed = rows.select(F.struct(*rows.columns).alias("row"), F.col(place(text_col)).alias("text"))
-    return back(find_overlaps(packed, benchmark, keep=["row"]).filter("n_hit = 0").select("row.*"))
+    text = F.col(place(text_col))
+    blocks = list(islice(_blocks(benchmark, "item_id", "text", block_bytes), held + 1))
+    if len(blocks) > held:
+        packed = rows.select(F.struct(*rows.columns).alias("row"), text.alias("text"))
+        return back(find_overlaps(packed, benchmark, block_bytes=block_bytes, keep=["row"]).filter("n_hit = 0").select("row.*"))
+    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+    key = f"decontaminate {uuid.uuid4().hex}"
+
+    def make():
+        tables: list[Matcher] = worker_memory(key, lambda: [Matcher(block) for block in shared.value])  # type: ignore[assignment]
+
+        def clean(text: str) -> bool:
+            n, normal = _normal(text)
+            return not n or not any(t.occurs(normal) for t in tables)
+
+        return lambda texts: [clean(x) for x in texts]
+
+    return back(small_batches(rows).filter(flagged(text, make, key)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
