@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,16 @@ def arg(template: Column, key: str) -> Column:
     return F.coalesce(F.element_at(template["args"], key), F.lit(""))
 
 
+def has_some(array: str) -> Column:
+    """Is an array there, and not empty?"""
+    return F.size(F.coalesce(F.col(array), F.array())) > 0
+
+
+def has_template(names: Iterable[str]) -> Column:
+    """Does an entry have a template of one of these names?"""
+    return F.exists(templates(), lambda t: t["name"].isin(*names))
+
+
 def node_id(word: Column, lang: Column) -> Column:
     return F.concat_ws(":", word, lang)
 

@@ -12,8 +12,9 @@ FORMS = ("exact", "asterisk", "macron", "both")
 
 def chain_audit(ancestry: DataFrame, entries: DataFrame) -> DataFrame:
     """``ancestry`` with ``form``: the first of exact, without asterisks, without accents, without both, in which the
-    ancestor is a word of that language code; else missing. One join over all candidate forms."""
-    bare = fold(fold(ancestry.withColumn("__ast", strip_stars(F.col("anc_word"))), "anc_word", "__mac"), "__ast", "__both")
+    ancestor is a word of that language code; else missing. One join over all candidate forms of the distinct ancestors."""
+    named = ancestry.select("anc_word", "anc_code").distinct()
+    bare = fold(fold(named.withColumn("__ast", strip_stars(F.col("anc_word"))), "anc_word", "__mac"), "__ast", "__both")
     forms = F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).alias("w")) for k, c in enumerate(("anc_word", "__ast", "__mac", "__both"))))
     wanted = bare.select("anc_word", "anc_code", F.explode(forms).alias("f")).distinct()
     known = entries.select(F.col("word").alias("__w"), F.col("lang_code").alias("__c")).distinct()

@@ -13,6 +13,8 @@ from wordloom.schema import COGNATE
 #: Hub words below which glosses are searched too.
 ENOUGH = 10
 THRESHOLD = 0.3
+#: Strings of a concept's symbol that one task compares with all others of it.
+TOGETHER = 1000
 
 
 def hubs(entries: DataFrame) -> DataFrame:
@@ -31,8 +33,10 @@ def suggest(prefixes: DataFrame, entries: DataFrame, limit: int = 10) -> DataFra
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("q", "rank", "concept", "pos", "translation_count")
 
 
-def spoken(entries: DataFrame, phonetics: DataFrame) -> DataFrame:
-    """Entries with an IPA, one per (word, lang), with their classes."""
+def spoken(entries: DataFrame, phonetics: DataFrame, pos: str | None = None) -> DataFrame:
+    """Entries with an IPA, one per (word, lang), with their classes; of one part of speech if ``pos`` is given. The words
+    of a concept are found among these, so this is also how a concept is asked for as a noun or a verb."""
+    entries = entries if pos is None else entries.filter(F.col("pos") == pos)
     voiced = phonetics.filter("ipa IS NOT NULL").select("entry_id", "ipa", "dolgo_classes", "dolgo_consonants", "dolgo_first2")
     return one_entry(entries.drop("ipa").join(voiced, "entry_id"))
 
@@ -78,12 +82,20 @@ def word_rows(members_: DataFrame, voiced: DataFrame) -> DataFrame:
 def pairs(words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Similar pairs within a concept: concept, source, target (ordered), similarity (3 places), turchin_match, shared_classes.
 
-    Distinct consonant strings are compared once per concept, in blocks of the concept; words come back by equality.
+    Distinct consonant strings are compared once per concept; words come back by equality. Strings without a symbol in
+    common have a similarity of nothing, so strings meet by symbol, under the first that both have; large groups of one
+    symbol are dealt over several tasks. (A threshold of 0 asks for all pairs: one group.)
     """
     usable = words.filter("dolgo_consonants <> ''").select("concept", "id", F.col("dolgo_consonants").alias("c"))
-    strings = usable.select("concept", "c").distinct()
-    a, b = strings.select("concept", F.col("c").alias("a")), strings.select("concept", F.col("c").alias("b"))
-    scored = a.join(b, (a["concept"] == b["concept"]) & (F.col("a") <= F.col("b"))).select(a["concept"], "a", "b")
+    symbols = F.array_sort(F.array_distinct(F.split("c", ""))) if threshold > 0 else F.array(F.lit(""))
+    strings = usable.select("concept", "c").distinct().withColumn("symbols", symbols)
+    keyed = strings.select("concept", "c", "symbols", F.explode("symbols").alias("symbol"))
+    sizes = keyed.groupBy("concept", "symbol").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("shares"))
+    keyed = keyed.join(sizes, ["concept", "symbol"])
+    a = keyed.select("concept", "symbol", F.pmod(F.xxhash64("c"), F.col("shares")).cast("int").alias("share"), F.col("c").alias("a"), F.col("symbols").alias("sa"))
+    b = keyed.select("concept", "symbol", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("c").alias("b"), F.col("symbols").alias("sb"))
+    met = a.join(b, ["concept", "symbol", "share"]).filter((F.col("a") <= F.col("b")) & (F.array_min(F.array_intersect("sa", "sb")) == F.col("symbol")))
+    scored = met.select("concept", "a", "b")
     two = lambda c: F.substring(c, 1, 2)
     scored = scored.withColumns({"sim": s.similarity(F.col("a"), F.col("b")), "turchin_match": s.first_two_match(two("a"), two("b"))}).filter((F.col("sim") >= threshold) | F.col("turchin_match"))
     left = usable.select("concept", F.col("c").alias("a"), F.col("id").alias("x"))
@@ -113,10 +125,16 @@ def cognate_links(members_: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def mention_links(members_: DataFrame, entries: DataFrame, least: int = 3) -> DataFrame:
-    """Members whose spelling (three letters or more) a member's text contains: concept, source, target."""
-    texts = members_.select("concept", "entry_id", node_id(F.col("word"), F.col("lang")).alias("source")).join(entries.select("entry_id", "etymology_text").filter("etymology_text <> ''"), "entry_id")
-    spelled = members_.filter(F.length("word") >= least).select("concept", F.col("word").alias("spelling"), node_id(F.col("word"), F.col("lang")).alias("target"))
-    return texts.join(spelled, "concept").filter(F.col("etymology_text").contains(F.col("spelling")) & (F.col("source") != F.col("target"))).select("concept", "source", "target").distinct()
+    """Members whose spelling (three letters or more) a member's text contains: concept, source, target.
+
+    Spellings meet texts by their first letters, which must occur in the text; only what so meets is looked up in it."""
+    texts = entries.select("entry_id", "etymology_text").filter(F.length("etymology_text") >= least)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("etymology_text") - least + 1), lambda i: F.substring(F.col("etymology_text"), i, F.lit(least))))
+    beginnings = texts.select("entry_id", F.explode(grams).alias("gram"))
+    sources = members_.select("concept", "entry_id", node_id(F.col("word"), F.col("lang")).alias("source")).join(beginnings, "entry_id")
+    spelled = members_.filter(F.length("word") >= least).select("concept", F.substring("word", 1, least).alias("gram"), F.col("word").alias("spelling"), node_id(F.col("word"), F.col("lang")).alias("target"))
+    met = sources.join(spelled, ["concept", "gram"]).filter("source <> target").select("concept", "entry_id", "source", "spelling", "target")
+    return met.join(texts, "entry_id").filter(F.col("etymology_text").contains(F.col("spelling"))).select("concept", "source", "target").distinct()
 
 
 def etymology_links(cognate: DataFrame, mention: DataFrame) -> DataFrame:

@@ -219,15 +219,15 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.select("seed_id", F.col("to_id").alias("id"), F.col("from_id").alias("other"), "label"))
 
 
-def hop_distances(starts: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """(seed_id, id, hops) from the start (seed_id, id) over undirected edges; stops when nothing new is reached."""
+def hop_distances(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seed_id, id, hops) from the start (seed_id, id) over undirected edges, until nothing new is reached."""
     steps = materialise(both_ways(edges).select("seed_id", "id", "other").distinct())
     reached = frontier = materialise(starts.select("seed_id", "id", F.lit(0).alias("hops")))
-    for k in range(1, most + 1):
+    k = 0
+    while not frontier.isEmpty():
+        k += 1
         new = frontier.join(steps, ["seed_id", "id"]).select("seed_id", F.col("other").alias("id")).distinct().join(reached, ["seed_id", "id"], "left_anti")
         frontier = materialise(new.withColumn("hops", F.lit(k)))
-        if frontier.isEmpty():
-            break
         reached = reached.unionByName(frontier)
     return reached
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import entries as of
 from wordloom.functions.normalise import normalise
 from wordloom.functions.uncertainty import classify
+from wordloom.operators.templates import mentions
 
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -28,6 +29,11 @@ def resolve(wanted: DataFrame, entries: DataFrame, word: str = "word", lang: str
     The exact form first; the normalised form of the wanted word only where that fails. Stored words are not changed.
     """
     known = one_entry(entries).select(F.col("word").alias("__w"), F.col("lang").alias("__l"), F.col("entry_id").alias("__id"))
+    return _located(wanted, known, word, lang)
+
+
+def _located(wanted: DataFrame, known: DataFrame, word: str, lang: str) -> DataFrame:
+    """``wanted`` with what ``known(__w, __l, __id)`` has for its word, or else for its normalised form."""
     both = normalise(wanted, word, "__norm")
     tries = F.when(F.col("__norm") == F.col(word), F.array(F.struct(F.lit(0).alias("k"), F.col(word).alias("w")))).otherwise(
         F.array(F.struct(F.lit(0).alias("k"), F.col(word).alias("w")), F.struct(F.lit(1).alias("k"), F.col("__norm").alias("w")))
@@ -41,11 +47,18 @@ def resolve(wanted: DataFrame, entries: DataFrame, word: str = "word", lang: str
 
 
 def with_etymology(wanted: DataFrame, entries: DataFrame, strict: bool) -> DataFrame:
-    """``wanted(word, lang, etym)`` with ``found_id``: the entry of that number; any entry instead unless ``strict``."""
+    """``wanted(word, lang, etym)`` with ``found_id``: the entry of that number, and without a number any.
+
+    ``strict``: the number holds for the word as it is and for its normalised form, and nothing else is found. Otherwise
+    for the word as it is, and any entry is found instead."""
     numbered = first_per(entries.filter("etymology_number IS NOT NULL"), ["word", "lang", "etymology_number"], [F.asc_nulls_first("pos"), "entry_id"])
+    if strict:  # the number is a part of the language's name, for those that have one
+        key = lambda lang, number: F.concat(lang, F.lit("\n"), number.cast("string"))
+        known = numbered.select(F.col("word").alias("__w"), key(F.col("lang"), F.col("etymology_number")).alias("__l"), F.col("entry_id").alias("__id"))
+        known = known.unionByName(one_entry(entries).select(F.col("word").alias("__w"), F.col("lang").alias("__l"), F.col("entry_id").alias("__id")))
+        asked = wanted.withColumn("__key", F.coalesce(key(F.col("lang"), F.col("etym")), "lang"))
+        return _located(asked, known, "word", "__key").drop("__key", "found_word", "how")
     exact = wanted.join(numbered.select("word", "lang", F.col("etymology_number").alias("etym"), F.col("entry_id").alias("__numbered")), ["word", "lang", "etym"], "left")
-    if strict:
-        return exact.withColumnRenamed("__numbered", "found_id")
     return resolve(exact, entries).withColumn("found_id", F.coalesce("__numbered", "found_id")).drop("__numbered", "found_word", "how")
 
 
@@ -87,15 +100,32 @@ def best_match(hits: DataFrame) -> DataFrame:
     return hits.groupBy("q").agg(F.min_by(F.struct("word", "lang"), F.struct((F.lower("word") != F.lower("q")), "rank", F.coalesce("etymology_number", F.lit(0)))).alias("b")).select("q", "b.word", "b.lang")
 
 
-def details(entries: DataFrame) -> DataFrame:
-    """What is shown of an entry: classification, glosses, first IPA, recordings."""
-    return entries.select(
+def details(entries: DataFrame, names: DataFrame, phonetics: DataFrame) -> DataFrame:
+    """What is shown of an entry: glosses, first IPA, etymology text and templates, classification, mentions in their
+    order, recordings, and its phonetic IPA and classes."""
+    said = mentions(entries, names).select("entry_id", F.struct("ord", F.col("mention").alias("word"), F.col("mention_lang").alias("lang"), F.col("mention_code").alias("lang_code"), "source_template", "role").alias("m"))
+    listed = said.groupBy("entry_id").agg(F.sort_array(F.collect_list("m")).alias("mentions"))  # of one entry
+    shown = entries.select(
         "entry_id",
         "word",
         "lang",
         "pos",
-        classify().alias("uncertainty"),
         of.all_glosses(F.col("senses")).alias("glosses"),
         of.first_ipa(F.col("sounds")).alias("ipa"),
+        "etymology_text",
+        of.templates().alias("etymology_templates"),
+        classify().alias("uncertainty"),
         of.audio(F.col("sounds")).alias("audio"),
     )
+    phonetic = phonetics.select("entry_id", F.col("ipa").alias("phonetic_ipa"), "dolgo_classes", "dolgo_consonants")
+    return shown.join(listed, "entry_id", "left").join(phonetic, "entry_id", "left")
+
+
+def word_details(wanted: DataFrame, entries: DataFrame, names: DataFrame, phonetics: DataFrame) -> DataFrame:
+    """``details`` of each of ``wanted(word, lang[, etym])`` that is found, strictly by its number if it has one, with
+    ``asked_word`` and ``asked_lang``."""
+    asked = wanted if "etym" in wanted.columns else wanted.withColumn("etym", F.lit(None).cast("int"))
+    found = with_etymology(asked, entries, strict=True).filter("found_id IS NOT NULL")
+    found = found.select(F.col("word").alias("asked_word"), F.col("lang").alias("asked_lang"), F.col("found_id").alias("entry_id")).distinct()
+    met = entries.join(found.select("entry_id").distinct(), "entry_id", "left_semi")
+    return found.join(details(met, names, phonetics), "entry_id")

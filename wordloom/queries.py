@@ -14,8 +14,9 @@ from wordloom.functions.languages import ERAS, FAMILIES, era_tier, family
 from wordloom.functions.normalise import fold, normalise, strip_stars
 from wordloom.functions.phonetics import sound_classes
 from wordloom.operators import audit, concepts, edges, graph, lookup, templates
+from wordloom.schema import AFFIXES
 from wordloom.sources import lexicon, tables
-from wordloom.storage import materialise, shared_dir
+from wordloom.storage import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,14 +33,9 @@ def query(name: str, sql: str | None = None):
 
 
 def _lex(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entries and the names of languages."""
     entries = lexicon.entries(spark, sf_dir)
-    return entries, tables.language_names(entries)
-
-
-def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The same as written tables, for jobs that read them again and again."""
-    entries = materialise(lexicon.entries(spark, sf_dir))
-    return entries, materialise(tables.language_names(entries))
+    return entries, lexicon.once(spark, sf_dir, "names", lambda: tables.language_names(entries))
 
 
 # SQL fragments, each a list of common table expressions.
@@ -50,7 +46,10 @@ ANC = """, anc AS (
 """
 ONE = """, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word, lang ORDER BY pos NULLS FIRST, etym NULLS FIRST, entry_id) AS k FROM ent) WHERE k = 1)
 """
-SEEDS = ONE + """, seeds AS (SELECT 'en:' || word AS seed_id, word, 'English' AS lang FROM rk WHERE lc = 'en' AND length(word) >= 5 ORDER BY r LIMIT 200)
+EVERY = ONE + f""", seeds AS (SELECT lc || ':' || word AS seed_id, word, {lexicon._NAME.format('lc')} AS lang, lc AS code FROM wc)
+"""
+SEEDS = ONE + f""", seeds AS (SELECT lc || ':' || word AS seed_id, word, {lexicon._NAME.format('lc')} AS lang, lc AS code FROM wc
+  WHERE length(word) >= {lexicon.SEED_LENGTH} AND left(md5(lc || ':' || word), 2) < '{lexicon.SEED_MD5}')
 """
 NORM = "strip_accents(regexp_replace({}, '^\\*', ''))"
 COMP = """, comp AS (
@@ -64,13 +63,14 @@ compx AS (
   LEFT JOIN (SELECT DISTINCT word, lang FROM ent) w ON w.word = from_word AND w.lang = from_lang
   LEFT JOIN (SELECT DISTINCT word, lang FROM ent) v ON v.word = strip_accents(from_word) AND v.lang = from_lang WHERE k = 1)
 """
-CHAIN = ANC + SEEDS + """, chain AS (
+_CHAIN = """, chain AS (
   SELECT s.seed_id, s.word, s.lang, ord, anc_word, anc_code, anc_lang, type, anc_word || ':' || anc_lang AS id,
          coalesce(lag(anc_word || ':' || anc_lang) OVER (PARTITION BY s.seed_id ORDER BY ord), s.word || ':' || s.lang) AS previous
   FROM seeds s JOIN one o USING (word, lang) JOIN anc ON anc.entry_id = o.entry_id),
 chain_nodes AS (
-  SELECT seed_id, word, lang, 'en' AS code, 0 AS level FROM seeds UNION SELECT seed_id, anc_word, anc_lang, anc_code, CAST(-ord AS INT) FROM chain)
+  SELECT seed_id, word, lang, code, 0 AS level FROM seeds UNION SELECT seed_id, anc_word, anc_lang, anc_code, CAST(-ord AS INT) FROM chain)
 """
+CHAIN, EVERY_CHAIN = ANC + SEEDS + _CHAIN, ANC + EVERY + _CHAIN
 KIDS = """, cand AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pw, pc ORDER BY word NULLS FIRST, lang NULLS FIRST, pos NULLS FIRST, etym NULLS FIRST, entry_id) AS place
     FROM (SELECT DISTINCT anc_word AS pw, anc_code AS pc, word, lang, pos, etym, lang_code, entry_id FROM anc)) WHERE place <= 50),
@@ -111,6 +111,7 @@ resolved AS (
   FROM (SELECT * FROM by_hub UNION ALL SELECT * FROM added) m JOIN counted USING (concept)),
 cwords AS (SELECT r.concept, v.word || ':' || v.lang AS id, v.* FROM resolved r JOIN voiced v USING (entry_id))
 """
+VERBS = MEMB.replace("FROM phon WHERE ipa IS NOT NULL", "FROM phon WHERE ipa IS NOT NULL AND pos = 'verb'")
 PAIRS = MEMB + """, pr AS (
   SELECT a.concept, a.id AS source, b.id AS target, a.cons AS ca, b.cons AS cb,
          1 - levenshtein(a.cons, b.cons) / greatest(length(a.cons), length(b.cons)) AS sim,
@@ -139,20 +140,20 @@ el AS (
 # Sources and sinks.
 
 
-@query("a01_parse_lines", "SELECT lang_code, count(*) AS entries, count(DISTINCT word) AS words, count(etym) AS numbered FROM ent GROUP BY lang_code")
+@query("a01_parse_lines", "SELECT word, lang, lang_code, pos, etym AS etymology_number, etymology_text FROM ent")
 def a01(spark, sf_dir):
     entries = lexicon.entries(spark, sf_dir)
     lines = entries.select(F.concat(F.lit("  "), F.to_json(F.struct(*[c for c in entries.columns if c != "entry_id"]))).alias("value"))
     noise = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("value"))
     broken = noise.unionByName(noise.select(F.concat(F.lit("{"), "value").alias("value"))).unionByName(noise.select(F.lit(" ").alias("value")))
-    return tables.parse_lines(lines.unionByName(broken)).groupBy("lang_code").agg(F.count("*").alias("entries"), F.countDistinct("word").alias("words"), F.count("etymology_number").alias("numbered"))
+    return tables.parse_lines(lines.unionByName(broken)).select("word", "lang", "lang_code", "pos", "etymology_number", "etymology_text")
 
 
-@query("a02_word_table", "SELECT lang, count(*) AS entries, min(word) AS first_word, max(word) AS last_word FROM ent GROUP BY lang")
+@query("a02_word_table", "SELECT entry_id, word, lang, pos FROM ent")
 def a02(spark, sf_dir):
-    path = f"{shared_dir(spark)}/wordloom/words"
+    path = scratch_path(spark, "words")
     tables.write_entries(lexicon.entries(spark, sf_dir), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("entries"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
+    return spark.read.parquet(path).select("entry_id", "word", "lang", "pos")
 
 
 @query("a03_languages", "SELECT DISTINCT lang_code, lang FROM ent")
@@ -160,27 +161,26 @@ def a03(spark, sf_dir):
     return tables.languages(lexicon.entries(spark, sf_dir))
 
 
-@query("a04_component_table", COMP + "SELECT to_lang, source_template, count(*) AS edges, sum(from_exists::INT) AS matched FROM compx GROUP BY ALL")
+@query("a04_component_table", COMP + "SELECT entry_id, from_word, from_lang, to_word, to_lang, source_template, from_exists FROM compx")
 def a04(spark, sf_dir):
     entries, names = _lex(spark, sf_dir)
-    path = f"{shared_dir(spark)}/wordloom/component_edges"
+    path = scratch_path(spark, "component_edges")
     found = edges.with_existence(templates.component_edges(entries, names), entries)
     tables.write_component_edges(found, path, reprocess=True)
     tables.write_component_edges(found.limit(0), path)  # there are some: left alone
-    return spark.read.parquet(path).groupBy("to_lang", "source_template").agg(F.count("*").alias("edges"), F.sum(F.col("from_exists").cast("int")).alias("matched"))
+    return spark.read.parquet(path).select("entry_id", "from_word", "from_lang", "to_word", "to_lang", "source_template", "from_exists")
 
 
-@query("a05_new_phonetics", PHON + "SELECT lang, count(*) AS processed, count(ipa) AS enriched FROM phon WHERE length(word) % 2 = 1 GROUP BY lang")
+@query("a05_new_phonetics", PHON + "SELECT entry_id, ipa, classes AS dolgo_classes, replace(classes, 'V', '') AS dolgo_consonants FROM phon WHERE length(word) % 2 = 1")
 def a05(spark, sf_dir):
     entries = lexicon.entries(spark, sf_dir)
     done = entries.filter(F.length("word") % 2 == 0).select("entry_id")
-    rows = tables.missing_phonetics(entries, done).join(entries.select("entry_id", "lang"), "entry_id")
-    return rows.groupBy("lang").agg(F.count("*").alias("processed"), F.count_if(F.col("ipa").isNotNull() & ~F.col("error")).alias("enriched"))
+    return tables.missing_phonetics(entries, done).select("entry_id", "ipa", "dolgo_classes", "dolgo_consonants")
 
 
-def _chain(spark, sf_dir, types=()):
-    entries, names = _stored(spark, sf_dir)
-    found = lookup.resolve(lexicon.seeds(spark, sf_dir), entries).withColumn("level", F.lit(0))
+def _chain(spark, sf_dir, types=(), seeds=lexicon.seeds):
+    entries, names = _lex(spark, sf_dir)
+    found = lookup.resolve(seeds(spark, sf_dir), entries).withColumn("level", F.lit(0))
     return found, entries, names, *graph.chain_graph(found, entries, names, types)
 
 
@@ -198,11 +198,13 @@ def _graph(spark, sf_dir):
     return all_nodes, all_edges
 
 
-@query("a06_graphs", GRAPH + "SELECT seed_id, n_nodes, coalesce(n_edges, 0) AS n_edges FROM (SELECT seed_id, count(*) AS n_nodes FROM g_nodes GROUP BY 1) LEFT JOIN (SELECT seed_id, count(*) AS n_edges FROM g_edges GROUP BY 1) USING (seed_id)")
+@query("a06_graphs", GRAPH + "SELECT seed_id, nodes, coalesce(edges, '') AS edges FROM (SELECT seed_id, string_agg(level || ' ' || id, '|' ORDER BY level, id) AS nodes FROM g_nodes GROUP BY 1) LEFT JOIN (SELECT seed_id, string_agg(from_id || ' ' || to_id || ' ' || label, '|' ORDER BY from_id, to_id) AS edges FROM g_edges GROUP BY 1) USING (seed_id)")
 def a06(spark, sf_dir):
-    path = f"{shared_dir(spark)}/wordloom/graphs"
+    path = scratch_path(spark, "graphs")
     tables.write_graphs(*_graph(spark, sf_dir), path)
-    return spark.read.json(path).select("seed_id", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"))
+    nodes = F.array_join(F.transform("nodes", lambda n: F.concat_ws(" ", n["level"].cast("string"), n["id"])), "|")
+    links = F.array_join(F.transform("edges", lambda e: F.concat_ws(" ", e["from"], e["to"], e["label"])), "|")
+    return spark.read.json(path).select("seed_id", nodes.alias("nodes"), links.alias("edges"))
 
 
 # Templates and text.
@@ -253,16 +255,15 @@ def b08(spark, sf_dir):
     return templates.component_edges(*_lex(spark, sf_dir))
 
 
-@query(
-    "b09_mentions",
-    ANC + """, said AS (
+MENTIONED = """said AS (
   SELECT entry_id, p, unnest([1, 2, 3]) AS q, unnest([a2, a3, a4]) AS mention, a1 AS code, name, 'component' AS role FROM tmpl WHERE name IN ('af', 'compound')
   UNION ALL SELECT entry_id, p, 1, a2, a1, name, 'mention' FROM tmpl WHERE name IN ('m', 'm+', 'l')),
 free AS (SELECT * FROM said WHERE coalesce(mention, '') <> '' AND (role = 'mention' OR (NOT starts_with(mention, '-') AND NOT ends_with(mention, '-')))
-  AND NOT EXISTS (SELECT 1 FROM anc WHERE anc.entry_id = said.entry_id AND anc_word = mention AND anc_code = code))
-SELECT entry_id, mention, code AS mention_code, coalesce(names.name, code) AS mention_lang, source_template, role FROM (
-  SELECT entry_id, mention, code, first(name ORDER BY p, q) AS source_template, first(role ORDER BY p, q) AS role FROM free GROUP BY entry_id, mention, code) LEFT JOIN names USING (code)""",
-)
+  AND NOT EXISTS (SELECT 1 FROM anc WHERE anc.entry_id = said.entry_id AND anc_word = mention AND anc_code = code)),
+mentioned AS (SELECT entry_id, mention, code, first(name ORDER BY p, q) AS source_template, first(role ORDER BY p, q) AS role, min(p * 10 + q) AS spot FROM free GROUP BY entry_id, mention, code)"""
+
+
+@query("b09_mentions", ANC + f", {MENTIONED} SELECT entry_id, mention, code AS mention_code, coalesce(names.name, code) AS mention_lang, source_template, role FROM mentioned LEFT JOIN names USING (code)")
 def b09(spark, sf_dir):
     return templates.mentions(*_lex(spark, sf_dir)).select("entry_id", "mention", "mention_code", "mention_lang", "source_template", "role")
 
@@ -327,25 +328,29 @@ def b17(spark, sf_dir):
     return lexicon.entries(spark, sf_dir).select("entry_id", fe.summary().alias("summary"))
 
 
-def _voiced(spark, sf_dir):
-    entries = materialise(lexicon.entries(spark, sf_dir))
-    return entries, materialise(concepts.spoken(entries, tables.phonetic_rows(entries)))
+def _phonetics(spark, sf_dir):
+    return lexicon.once(spark, sf_dir, "phonetics", lambda: tables.phonetic_rows(lexicon.entries(spark, sf_dir)))
+
+
+def _voiced(spark, sf_dir, pos=None):
+    entries = lexicon.entries(spark, sf_dir)
+    return entries, lexicon.once(spark, sf_dir, f"spoken_{pos}", lambda: concepts.spoken(entries, _phonetics(spark, sf_dir), pos))
 
 
 def _asked(spark, sf_dir):
-    """The concepts: every tenth English word by rank."""
+    """The concepts: English words at every tenth rank."""
     top = lexicon.ranked(lexicon.words(spark, sf_dir))
     return top.filter((F.col("lang_code") == "en") & (F.col("r") % lexicon.PER_CONCEPT == 0)).select(F.col("word").alias("concept"))
 
 
-def _resolved(spark, sf_dir):
-    entries, voiced = _voiced(spark, sf_dir)
-    return entries, voiced, materialise(concepts.resolve_concepts(_asked(spark, sf_dir), entries, voiced))
+def _resolved(spark, sf_dir, pos=None):
+    entries, voiced = _voiced(spark, sf_dir, pos)
+    return entries, voiced, lexicon.once(spark, sf_dir, f"resolved_{pos}", lambda: concepts.resolve_concepts(_asked(spark, sf_dir), entries, voiced))
 
 
 def _concept_words(spark, sf_dir):
     _, voiced, found = _resolved(spark, sf_dir)
-    return concepts.word_rows(found, voiced)
+    return lexicon.once(spark, sf_dir, "concept_words", lambda: concepts.word_rows(found, voiced))
 
 
 @query("b18_word_rows", MEMB + f"SELECT c.concept, id, c.word, c.lang, c.lang_code, c.pos, c.ipa, classes AS dolgo_classes, cons AS dolgo_consonants, first2 AS dolgo_first2, EXISTS (SELECT 1 FROM tmpl WHERE tmpl.entry_id = c.entry_id) AS has_etymology, {_SUMMARY.format('ent')} AS etymology_summary FROM cwords c JOIN ent USING (entry_id)")
@@ -426,12 +431,18 @@ def c01(spark, sf_dir):
     return lookup.resolve(wanted, entries, "anc_word", "anc_lang")
 
 
-@query("c02_etymology_number", SEEDS + """, w AS (SELECT seed_id, word, lang, 2 AS etym FROM seeds),
-num AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word, lang, etym ORDER BY pos, entry_id) AS k2 FROM ent WHERE etym IS NOT NULL) WHERE k2 = 1)
-SELECT seed_id, n.entry_id AS strict_id, coalesce(n.entry_id, o.entry_id) AS loose_id FROM w LEFT JOIN num n USING (word, lang, etym) LEFT JOIN one o ON o.word = w.word AND o.lang = w.lang""")
+@query("c02_etymology_number", EVERY + f""", w AS (SELECT CASE WHEN length(word) % 2 = 0 THEN '*' ELSE '' END || word AS word, lang, CASE length(word) % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS etym, seed_id FROM seeds),
+num AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word, lang, etym ORDER BY pos, entry_id) AS k2 FROM ent WHERE etym IS NOT NULL) WHERE k2 = 1),
+t AS (SELECT w.*, {NORM.format('w.word')} AS norm FROM w)
+SELECT seed_id, CASE WHEN t.etym IS NULL THEN coalesce(o.entry_id, p.entry_id) ELSE coalesce(n.entry_id, m.entry_id) END AS strict_id, coalesce(n.entry_id, o.entry_id, p.entry_id) AS loose_id
+FROM t LEFT JOIN num n ON n.word = t.word AND n.lang = t.lang AND n.etym = t.etym LEFT JOIN num m ON m.word = norm AND m.lang = t.lang AND m.etym = t.etym
+LEFT JOIN one o ON o.word = t.word AND o.lang = t.lang LEFT JOIN one p ON p.word = norm AND p.lang = t.lang""")
 def c02(spark, sf_dir):
+    """All words, every other one in a reconstructed form; of number 1, 2 or none."""
     entries = lexicon.entries(spark, sf_dir)
-    wanted = lexicon.seeds(spark, sf_dir).withColumn("etym", F.lit(2))
+    n = F.length("word")
+    wanted = lexicon.every_word(spark, sf_dir).withColumn("etym", F.when(n % 3 == 0, 1).when(n % 3 == 1, 2))
+    wanted = wanted.withColumn("word", F.when(n % 2 == 0, F.concat(F.lit("*"), "word")).otherwise(F.col("word")))
     strict = lookup.with_etymology(wanted, entries, True).select("seed_id", F.col("found_id").alias("strict_id"))
     return strict.join(lookup.with_etymology(wanted, entries, False).select("seed_id", F.col("found_id").alias("loose_id")), "seed_id")
 
@@ -444,15 +455,14 @@ def _queries(spark, sf_dir):
     return seeds.select(F.substring("word", 1, 4).alias("q")).unionByName(seeds.select(F.col("word").alias("q"))).distinct()
 
 
-@query("c03_prefix", _ASKED + " SELECT q, count(*) AS hits, sum(exact::INT) AS exact_hits FROM hit GROUP BY q")
+@query("c03_prefix", _ASKED + " SELECT q, word, lang, exact FROM hit")
 def c03(spark, sf_dir):
-    hits = lookup.prefix_hits(_queries(spark, sf_dir), lookup.one_entry(lexicon.entries(spark, sf_dir)).select("word", "lang"))
-    return hits.groupBy("q").agg(F.count("*").alias("hits"), F.sum(F.col("exact").cast("int")).alias("exact_hits"))
+    return lookup.prefix_hits(_queries(spark, sf_dir), lookup.one_entry(lexicon.entries(spark, sf_dir)).select("word", "lang")).select("q", "word", "lang", "exact")
 
 
-@query("c04_naming", ANC + "SELECT anc_word AS parent_word, anc_code AS parent_code, count(DISTINCT entry_id) AS entries FROM anc GROUP BY ALL")
+@query("c04_naming", ANC + "SELECT DISTINCT anc_word AS parent_word, anc_code AS parent_code, entry_id FROM anc")
 def c04(spark, sf_dir):
-    return graph.naming(lexicon.entries(spark, sf_dir)).groupBy("parent_word", "parent_code").agg(F.count("*").alias("entries"))
+    return graph.naming(lexicon.entries(spark, sf_dir)).select("parent_word", "parent_code", "entry_id")
 
 
 _SUGGEST = """, q AS (SELECT DISTINCT upper(left(concept_word, 2)) AS q FROM trans), c AS (SELECT e.word AS concept, pos, e.entry_id, (SELECT count(*) FROM trans t WHERE t.hub_id = e.entry_id) AS translation_count FROM ent e WHERE is_hub),
@@ -463,10 +473,10 @@ def _prefixes(spark, sf_dir):
     return concepts.hubs(lexicon.entries(spark, sf_dir)).select(F.upper(F.substring("concept", 1, 2)).alias("q")).distinct()
 
 
-@query("c05_suggest", _SUGGEST + " SELECT q, count(*) AS n, min(concept) AS first_concept FROM s GROUP BY q")
+@query("c05_suggest", _SUGGEST + " SELECT q, concept, pos, translation_count FROM s")
 def c05(spark, sf_dir):
     found = concepts.suggest(_prefixes(spark, sf_dir), lexicon.entries(spark, sf_dir), 1 << 30)
-    return found.groupBy("q").agg(F.count("*").alias("n"), F.min("concept").alias("first_concept"))
+    return found.select("q", "concept", "pos", F.col("translation_count").cast("long").alias("translation_count"))
 
 
 @query("c06_gloss_match", MEMB + "SELECT concept, word, lang FROM by_gloss")
@@ -474,14 +484,10 @@ def c06(spark, sf_dir):
     return concepts.gloss_members(_asked(spark, sf_dir), _voiced(spark, sf_dir)[1]).select("concept", "word", "lang")
 
 
-@query("c07_predicates", "SELECT pos, count(*) AS entries, sum(has_sounds::INT) AS with_sounds, sum(is_hub::INT) AS with_translations, sum((EXISTS (SELECT 1 FROM tmpl t WHERE t.entry_id = ent.entry_id AND t.name IN ('af', 'compound')))::INT) AS with_affixes FROM ent GROUP BY pos")
+@query("c07_predicates", "SELECT entry_id, has_sounds AS with_sounds, is_hub AS with_translations, EXISTS (SELECT 1 FROM tmpl t WHERE t.entry_id = ent.entry_id AND t.name IN ('af', 'compound')) AS with_affixes, pos = 'verb' AS verb FROM ent")
 def c07(spark, sf_dir):
-    from wordloom.schema import AFFIXES
-
-    affixed = F.exists(fe.templates(), lambda t: t["name"].isin(*AFFIXES))
-    some = lambda c: F.size(F.coalesce(F.col(c), F.array())) > 0
-    one = lambda test, name: F.sum(test.cast("int")).alias(name)
-    return lexicon.entries(spark, sf_dir).groupBy("pos").agg(F.count("*").alias("entries"), one(some("sounds"), "with_sounds"), one(some("translations"), "with_translations"), one(affixed, "with_affixes"))
+    shown = lexicon.entries(spark, sf_dir).select("entry_id", fe.has_some("sounds").alias("with_sounds"), fe.has_some("translations").alias("with_translations"), fe.has_template(AFFIXES).alias("with_affixes"), (F.col("pos") == "verb").alias("verb"))
+    return shown
 
 
 @query("c08_select_pairs", PAIRS + "SELECT concept, source, target, similarity FROM pe WHERE similarity >= 0.5 OR turchin_match")
@@ -489,10 +495,25 @@ def c08(spark, sf_dir):
     return concepts.select_pairs(concepts.pairs(_concept_words(spark, sf_dir)), 0.5).select("concept", "source", "target", "similarity")
 
 
-@query("c09_details", ONE + f"SELECT o.entry_id, CASE WHEN o.pos = 'root' THEN '' ELSE {_GLOSSES} END AS glosses, CASE WHEN has_sounds THEN {_FIRST_IPA} END AS ipa, coalesce(a.type, b.type) AS type FROM one o LEFT JOIN ({_TEMPLATE_SAYS}) a USING (entry_id) LEFT JOIN ({_TEXT_SAYS}) b USING (entry_id)")
+@query("c09_details", EVERY + ANC + f""", w AS (SELECT CASE WHEN length(word) % 2 = 0 THEN '*' ELSE '' END || word AS asked_word, lang AS asked_lang, word AS base FROM seeds),
+ph AS (SELECT entry_id, ipa, classes, replace(classes, 'V', '') AS cons FROM (SELECT entry_id, ipa, translate(ipa, 'aeiouybdfpgckqxhjlrmnstvwz', 'VVVVVVPTPPKKKKKHJRRMNSTWWS') AS classes FROM ent WHERE has_sounds)),
+tl AS (SELECT entry_id, string_agg(name, '|' ORDER BY p) AS ns FROM tmpl GROUP BY 1),
+{MENTIONED},
+ml AS (SELECT entry_id, string_agg(mention || ' ' || coalesce(names.name, code) || ' ' || role, '|' ORDER BY spot) AS said FROM mentioned LEFT JOIN names USING (code) GROUP BY 1)
+SELECT asked_word, asked_lang, o.entry_id, o.word, o.pos, {_GLOSSES} AS glosses, CASE WHEN has_sounds THEN {_FIRST_IPA} END AS ipa, o.etymology_text, coalesce(ns, '') AS template_names,
+  coalesce(a.type, b.type) AS type, coalesce(a.source, b.source) AS source, CASE WHEN has_sounds THEN coalesce({_AUDIO}, '') ELSE '' END AS audio, ph.ipa AS phonetic_ipa, ph.classes AS dolgo_classes, ph.cons AS dolgo_consonants, coalesce(said, '') AS mentions
+FROM w JOIN one o ON o.word = base AND o.lang = asked_lang LEFT JOIN ({_TEMPLATE_SAYS}) a USING (entry_id) LEFT JOIN ({_TEXT_SAYS}) b USING (entry_id) LEFT JOIN ph USING (entry_id) LEFT JOIN tl USING (entry_id) LEFT JOIN ml USING (entry_id)""")
 def c09(spark, sf_dir):
-    shown = lookup.details(lookup.one_entry(lexicon.entries(spark, sf_dir)))
-    return shown.select("entry_id", F.array_join("glosses", "|").alias("glosses"), "ipa", F.col("uncertainty.type").alias("type"))
+    """All words, every other one asked for in a reconstructed form."""
+    entries, names = _lex(spark, sf_dir)
+    wanted = lexicon.every_word(spark, sf_dir).select(F.when(F.length("word") % 2 == 0, F.concat(F.lit("*"), "word")).otherwise(F.col("word")).alias("word"), "lang")
+    shown = lookup.word_details(wanted, entries, names, _phonetics(spark, sf_dir))
+    joined = lambda c, of: F.coalesce(F.array_join(F.transform(c, of), "|"), F.lit(""))
+    return shown.select(
+        "asked_word", "asked_lang", "entry_id", "word", "pos", F.array_join("glosses", "|").alias("glosses"), "ipa", "etymology_text", joined("etymology_templates", lambda t: t["name"]).alias("template_names"),
+        F.col("uncertainty.type").alias("type"), F.col("uncertainty.source").alias("source"), joined("audio", lambda a: a["ogg_url"]).alias("audio"), "phonetic_ipa", "dolgo_classes", "dolgo_consonants",
+        joined("mentions", lambda m: F.concat_ws(" ", m["word"], m["lang"], m["role"])).alias("mentions"),
+    )
 
 
 # Joins.
@@ -519,9 +540,9 @@ def d02(spark, sf_dir):
     return graph.mention_edges(all_words, entries, names).select("word", "lang", "mention", "mention_lang", "role")
 
 
-@query("d03_chain_components", CHAIN + COMP + "SELECT DISTINCT seed_id, n.word, n.lang, from_word, from_lang FROM chain_nodes n JOIN compx c ON c.to_word = n.word AND c.to_lang = n.lang AND from_exists")
+@query("d03_chain_components", EVERY_CHAIN + COMP + "SELECT DISTINCT seed_id, n.word, n.lang, from_word, from_lang FROM chain_nodes n JOIN compx c ON c.to_word = n.word AND c.to_lang = n.lang AND from_exists")
 def d03(spark, sf_dir):
-    _, entries, names, nodes, _ = _chain(spark, sf_dir)
+    _, entries, names, nodes, _ = _chain(spark, sf_dir, seeds=lexicon.every_word)
     found = edges.with_existence(templates.component_edges(entries, names), entries)
     words = nodes.select("seed_id", F.col("label").alias("word"), F.col("language").alias("lang"))
     return edges.leading_to(words, found).select("seed_id", "word", "lang", "from_word", "from_lang").distinct()
@@ -538,6 +559,12 @@ def d05(spark, sf_dir):
     return concepts.members(concepts.hubs(entries), voiced).select("concept", "word", "lang")
 
 
+@query("d05_members_verb", VERBS + "SELECT concept, word, lang FROM by_hub")
+def d05_verb(spark, sf_dir):
+    entries, voiced = _voiced(spark, sf_dir, "verb")
+    return concepts.members(concepts.hubs(entries), voiced).select("concept", "word", "lang")
+
+
 @query("d06_gloss_added", MEMB + "SELECT concept, word, lang FROM added")
 def d06(spark, sf_dir):
     entries, voiced, found = _resolved(spark, sf_dir)
@@ -578,23 +605,25 @@ def d10(spark, sf_dir):
     return _audit(spark, sf_dir).select("entry_id", F.col("ord").cast("long").alias("ord"), "anc_word", "anc_code", "form")
 
 
-@query("d11_named_templates", ANC + "SELECT anc_lang, type, count(*) AS n FROM anc GROUP BY ALL")
+@query("d11_named_templates", "SELECT t.entry_id, t.name AS template, a1 AS code, coalesce(n.name, a1) AS lang FROM tmpl t LEFT JOIN names n ON n.code = a1")
 def d11(spark, sf_dir):
-    return templates.ancestry(*_lex(spark, sf_dir)).groupBy("anc_lang", "type").agg(F.count("*").alias("n"))
+    entries, names = _lex(spark, sf_dir)
+    rows = entries.select("entry_id", F.explode(fe.templates()).alias("t")).select("entry_id", F.col("t.name").alias("template"), fe.arg(F.col("t"), "1").alias("code"))
+    return templates.with_names(rows, names, "code", "lang")
 
 
 # Graphs.
 
 
-@query("g01_chain", CHAIN + "SELECT seed_id, id AS from_id, previous AS to_id, type AS label, ord FROM chain WHERE ord <= 10")
+@query("g01_chain", EVERY_CHAIN + "SELECT seed_id, id AS from_id, previous AS to_id, type AS label, ord FROM chain WHERE ord <= 10")
 def g01(spark, sf_dir):
-    return _chain(spark, sf_dir)[4].select("seed_id", "from_id", "to_id", "label", F.col("ord").cast("long").alias("ord"))
+    return _chain(spark, sf_dir, seeds=lexicon.every_word)[4].select("seed_id", "from_id", "to_id", "label", F.col("ord").cast("long").alias("ord"))
 
 
-@query("g02_tree_chain", ANC + SEEDS + """, t AS (SELECT s.seed_id, s.word, s.lang, anc_word || ':' || anc_lang AS id, type, row_number() OVER (PARTITION BY s.seed_id ORDER BY ord) AS n FROM seeds s JOIN one o USING (word, lang) JOIN anc ON anc.entry_id = o.entry_id AND type IN ('inh', 'der'))
+@query("g02_tree_chain", ANC + EVERY + """, t AS (SELECT s.seed_id, s.word, s.lang, anc_word || ':' || anc_lang AS id, type, row_number() OVER (PARTITION BY s.seed_id ORDER BY ord) AS n FROM seeds s JOIN one o USING (word, lang) JOIN anc ON anc.entry_id = o.entry_id AND type IN ('inh', 'der'))
 SELECT DISTINCT seed_id, id AS from_id, coalesce(lag(id) OVER (PARTITION BY seed_id ORDER BY n), word || ':' || lang) AS to_id, type AS label FROM t""")
 def g02(spark, sf_dir):
-    return graph.merge_edges(_chain(spark, sf_dir, ("inh", "der"))[4].withColumn("at", F.col("ord")))
+    return graph.merge_edges(_chain(spark, sf_dir, ("inh", "der"), lexicon.every_word)[4].withColumn("at", F.col("ord")))
 
 
 @query("g03_descendants", CHAIN + KIDS + """, d1 AS (SELECT DISTINCT seed_id, n.word || ':' || n.lang AS from_id, k.word || ':' || k.lang AS to_id, k.type AS label, k.word, k.lang_code FROM chain_nodes n JOIN kids k ON pw = n.word AND pc = n.code),
@@ -610,7 +639,7 @@ def g03(spark, sf_dir):
 
 
 def _trees(spark, sf_dir, types):
-    entries, names = _stored(spark, sf_dir)
+    entries, names = _lex(spark, sf_dir)
     found = materialise(edges.with_existence(templates.component_edges(entries, names), entries))
     return graph.Trees(entries, found, names, types).build(lexicon.seeds(spark, sf_dir))
 
@@ -640,13 +669,13 @@ def g07(spark, sf_dir):
 @query("g08_hops")
 def g08(spark, sf_dir):
     start = lexicon.seeds(spark, sf_dir).select("seed_id", fe.node_id(F.col("word"), F.col("lang")).alias("id"))
-    return graph.hop_distances(start, _graph(spark, sf_dir)[1], 4)
+    return graph.hop_distances(start, _graph(spark, sf_dir)[1])
 
 
-SQL["g08_hops"] = lexicon.oracle(GRAPH + """, h0 AS (SELECT seed_id, word || ':' || lang AS id, 0 AS hops FROM seeds),
-h1 AS (SELECT * FROM h0 UNION SELECT seed_id, other, 1 FROM h0 JOIN both_ways USING (seed_id, id)), h2 AS (SELECT * FROM h1 UNION SELECT seed_id, other, 2 FROM h1 JOIN both_ways USING (seed_id, id)),
-h3 AS (SELECT * FROM h2 UNION SELECT seed_id, other, 3 FROM h2 JOIN both_ways USING (seed_id, id) WHERE hops = 2), h4 AS (SELECT * FROM h3 UNION SELECT seed_id, other, 4 FROM h3 JOIN both_ways USING (seed_id, id) WHERE hops = 3)
-SELECT seed_id, id, min(hops) AS hops FROM h4 GROUP BY ALL""")
+# A chain has three words at most and all children hang on it: five hops reach all of a graph.
+SQL["g08_hops"] = lexicon.oracle(GRAPH + ", h0 AS (SELECT seed_id, word || ':' || lang AS id, 0 AS hops FROM seeds)" + "".join(
+    f", h{k} AS (SELECT * FROM h{k - 1} UNION SELECT seed_id, other, {k} FROM h{k - 1} JOIN both_ways USING (seed_id, id) WHERE hops = {k - 1})" for k in range(1, 8)
+) + " SELECT seed_id, id, min(hops) AS hops FROM h7 GROUP BY ALL")
 
 
 @query("g09_neighbours", GRAPH + "SELECT DISTINCT b.seed_id, id, other FROM both_ways b JOIN seeds s ON s.seed_id = b.seed_id AND s.word || ':' || s.lang = id")
@@ -739,9 +768,9 @@ def f02(spark, sf_dir):
     return graph.candidates(lexicon.entries(spark, sf_dir)).select("parent_word", "parent_code", "entry_id", "place")
 
 
-@query("f03_previous", CHAIN + "SELECT seed_id, ord, previous FROM chain")
+@query("f03_previous", EVERY_CHAIN + "SELECT seed_id, ord, previous FROM chain")
 def f03(spark, sf_dir):
-    return _chain(spark, sf_dir)[4].select("seed_id", F.col("ord").cast("long").alias("ord"), F.col("to_id").alias("previous"))
+    return _chain(spark, sf_dir, seeds=lexicon.every_word)[4].select("seed_id", F.col("ord").cast("long").alias("ord"), F.col("to_id").alias("previous"))
 
 
 SEARCH = _ASKED + POLY + """, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY exact DESC, word, lang, pos) AS rank FROM hit) WHERE rank <= 20),
@@ -772,9 +801,9 @@ def f07(spark, sf_dir):
 # Set operations.
 
 
-@query("h01_search_union", SEARCH + "SELECT q, count(DISTINCT (word, lang)) AS words FROM res GROUP BY q")
+@query("h01_search_union", SEARCH + "SELECT DISTINCT q, word, lang FROM res")
 def h01(spark, sf_dir):
-    return lookup.search(_queries(spark, sf_dir), lexicon.entries(spark, sf_dir)).groupBy("q").agg(F.countDistinct("word", "lang").alias("words"))
+    return lookup.search(_queries(spark, sf_dir), lexicon.entries(spark, sf_dir)).select("q", "word", "lang").distinct()
 
 
 @query("h02_resolution", MEMB + "SELECT concept, word, lang, method FROM resolved")
@@ -782,6 +811,11 @@ def h02(spark, sf_dir):
     return _resolved(spark, sf_dir)[2].select("concept", "word", "lang", "method")
 
 
+@query("h02_resolution_verb", VERBS + "SELECT concept, word, lang, method FROM resolved")
+def h02_verb(spark, sf_dir):
+    return _resolved(spark, sf_dir, "verb")[2].select("concept", "word", "lang", "method")
+
+
 @query("h03_links", LINKS + "SELECT * FROM el")
 def h03(spark, sf_dir):
     entries, _, found = _resolved(spark, sf_dir)
@@ -823,13 +857,14 @@ def h07(spark, sf_dir):
 
 
 def _string_pairs(spark, sf_dir):
-    """Pairs of consonant strings that words of a concept have."""
-    strings = _concept_words(spark, sf_dir).select("concept", "dolgo_consonants").distinct()
-    a, b = strings.select("concept", F.col("dolgo_consonants").alias("a")), strings.select("concept", F.col("dolgo_consonants").alias("b"))
-    return a.join(b, "concept").select("a", "b").distinct()
+    """The plain letters of words beside those of each of their ancestors, and the consonants alone. (DuckDB measures
+    distances in bytes.)"""
+    rows = templates.ancestry(*_lex(spark, sf_dir)).select("word", F.col("anc_word").alias("other"))
+    cut = lambda of: rows.select(F.regexp_replace("word", of, "").alias("a"), F.regexp_replace("other", of, "").alias("b"))
+    return cut("[^a-z]").unionByName(cut("[^b-df-hj-np-tv-xz]")).distinct()
 
 
-STRINGS = MEMB + ", st AS (SELECT DISTINCT x.cons AS a, y.cons AS b FROM cwords x JOIN cwords y USING (concept)) "
+STRINGS = ANC + "".join(f", st{k} AS (SELECT regexp_replace(word, '{of}', '', 'g') AS a, regexp_replace(anc_word, '{of}', '', 'g') AS b FROM anc)" for k, of in enumerate(("[^a-z]", "[^b-df-hj-np-tv-xz]"))) + ", st AS (SELECT * FROM st0 UNION SELECT * FROM st1) "
 _DISTANCE = "CASE WHEN greatest(length(a), length(b)) = 0 THEN 0.0::DOUBLE ELSE levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END"
 
 

@@ -1,19 +1,38 @@
 """A dictionary derived from the ``documents`` table by fixed rules, for running the operators on the test data.
 
 ``entries`` builds it with DataFrames; ``SQL`` says the same for DuckDB, in tables ``ent`` (one row per entry), ``tmpl``
-(one row per template) and ``trans`` (translations).
+(one row per template) and ``trans`` (translations). Both are derived once in a session and kept as tables in the shared
+folder, as a dictionary is loaded once and asked many times.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordloom.storage import exists, scratch_path, write
+
 NAMES = {"en": "English", "fr": "French", "de": "German", "es": "Spanish"}
 NEXT = {"en": "de", "de": "fr", "fr": "es", "es": "en"}
-#: Ranks from which concepts are made, and words of a language in each.
-RANKED, PER_CONCEPT = 3000, 10
+#: Words of a language in each concept.
+PER_CONCEPT = 10
 COMMON = 50
+#: Seeds are the words whose MD5 begins with less than this, about 1.2 % of all, and of this length at least.
+SEED_MD5, SEED_LENGTH = "03", 5
+
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made once for each input in a session, and read from the shared folder afterwards."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT or not exists(spark, _KEPT[key]):
+        path = scratch_path(spark, name)
+        write(make(), path)
+        _KEPT[key] = path
+    return spark.read.parquet(_KEPT[key])
 
 
 def _named(code: Column, names: dict[str, str]) -> Column:
@@ -22,15 +41,27 @@ def _named(code: Column, names: dict[str, str]) -> Column:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(lang_code, word, n): words of three letters or more with their counts."""
+    return once(spark, sf_dir, "words", lambda: _words(spark, sf_dir))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text")
     found = docs.select(F.col("lang").alias("lang_code"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     return found.filter(F.length("word") >= 3).groupBy("lang_code", "word").agg(F.count("*").alias("n"))
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """(lang_code, word, r): the most frequent words of each language, ranked from 0."""
-    order = Window.partitionBy("lang_code").orderBy(F.desc("n"), "word")
-    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= RANKED).select("lang_code", "word", (F.col("r") - 1).alias("r"))
+    """(lang_code, word, r): all words of each language, ranked from 0 by falling count and then by word.
+
+    Words are ranked among those of the same count and first two letters, and moved by how many stand before these: no
+    language is sorted in one task, only its table of such groups."""
+    keyed = found.withColumn("b", F.substring("word", 1, 2))
+    within = Window.partitionBy("lang_code", "n", "b").orderBy("word")
+    before = Window.partitionBy("lang_code").orderBy(F.desc("n"), "b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy("lang_code", "n", "b").agg(F.count("*").alias("m"))
+    starts = sizes.select("lang_code", "n", "b", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
+    placed = keyed.withColumn("k", F.row_number().over(within) - 1).join(starts, ["lang_code", "n", "b"])
+    return placed.select("lang_code", "word", (F.col("start") + F.col("k")).cast("int").alias("r"))
 
 
 def _template(when: Column, name: Column | str, args: dict[str, Column], expansion: Column | None = None) -> Column:
@@ -44,12 +75,18 @@ def _template(when: Column, name: Column | str, args: dict[str, Column], expansi
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries in the schema of ``wordloom.schema.ENTRY``, with ``entry_id``."""
+    return once(spark, sf_dir, "entries", lambda: _entries(spark, sf_dir))
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = words(spark, sf_dir)
     top = ranked(found)
     hubs = top.filter((F.col("lang_code") == "en") & (F.col("r") % PER_CONCEPT == 0)).select((F.col("r") / PER_CONCEPT).cast("int").alias("concept"), F.col("word").alias("hub"))
     members = top.select((F.floor(F.col("r") / PER_CONCEPT)).cast("int").alias("concept"), "word", _named(F.col("lang_code"), NAMES).alias("lang"))
-    translations = members.groupBy("concept").agg(F.sort_array(F.collect_list(F.struct("word", "lang"))).alias("translations"))
-    top = top.withColumn("concept", F.floor(F.col("r") / PER_CONCEPT).cast("int")).join(F.broadcast(hubs), "concept", "left").join(F.broadcast(translations), "concept", "left")
+    translations = members.join(hubs.select("concept"), "concept", "left_semi").groupBy("concept").agg(F.sort_array(F.collect_list(F.struct("word", "lang"))).alias("translations"))
+    top = top.withColumn("concept", F.floor(F.col("r") / PER_CONCEPT).cast("int")).join(hubs, "concept", "left")
+    heads = (F.col("lang_code") == "en") & (F.col("r") % PER_CONCEPT == 0)
+    top = top.join(translations.withColumnRenamed("concept", "of"), (F.col("concept") == F.col("of")) & heads, "left").drop("of")
 
     w, n, lc = F.col("word"), F.length("word"), F.col("lang_code")
     lang, after = _named(lc, NAMES), _named(lc, NEXT)
@@ -127,10 +164,15 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.unionByName(roots, allowMissingColumns=True)
 
 
-def seeds(spark: SparkSession, sf_dir: str, count: int = 200) -> DataFrame:
-    """(seed_id, word, lang): the first English words by rank of five letters or more. A query set of fixed size."""
-    top = ranked(words(spark, sf_dir)).filter((F.col("lang_code") == "en") & (F.length("word") >= 5)).orderBy("r").limit(count)
-    return top.select("word", F.lit("English").alias("lang"), F.concat(F.lit("en:"), F.col("word")).alias("seed_id"))
+def every_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seed_id, word, lang): all words of all languages."""
+    found = words(spark, sf_dir)
+    return found.select("word", _named(F.col("lang_code"), NAMES).alias("lang"), F.concat_ws(":", "lang_code", "word").alias("seed_id"))
+
+
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seed_id, word, lang): a query set of words of all languages, by a fixed rule on the id. It grows with the table."""
+    return every_word(spark, sf_dir).filter((F.length("word") >= SEED_LENGTH) & (F.substring(F.md5("seed_id"), 1, 2) < SEED_MD5))
 
 
 _NAME = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items()) + " END"
@@ -139,7 +181,7 @@ _NEXT = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NEXT.items())
 SQL = f"""
 tok AS (SELECT lang AS lc, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents),
 wc AS (SELECT lc, word, count(*) AS n FROM tok WHERE length(word) >= 3 GROUP BY lc, word),
-rk AS (SELECT lc, word, r, r // 10 AS concept FROM (SELECT lc, word, row_number() OVER (PARTITION BY lc ORDER BY n DESC, word) - 1 AS r FROM wc) WHERE r < {RANKED}),
+rk AS (SELECT lc, word, r, r // 10 AS concept FROM (SELECT lc, word, row_number() OVER (PARTITION BY lc ORDER BY n DESC, word) - 1 AS r FROM wc)),
 hubs AS (SELECT concept, word AS hub FROM rk WHERE lc = 'en' AND r % 10 = 0),
 ent0 AS (
   SELECT wc.lc AS lang_code, wc.word, {_NAME.format('wc.lc')} AS lang, {_NEXT.format('wc.lc')} AS nx, length(wc.word) AS len, n, r, concept, hub,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions.entries import best_ipa
 from wordloom.functions.phonetics import sound_classes
 from wordloom.schema import ENTRY
+from wordloom.storage import exists
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -64,9 +65,7 @@ def missing_phonetics(entries: DataFrame, done: DataFrame | None) -> DataFrame:
 def append_phonetics(entries: DataFrame, path: str, reprocess: bool = False) -> None:
     """Enrich what is new and append it to the table at ``path``; ``reprocess`` does all again."""
     spark = entries.sparkSession
-    exists = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = exists.getFileSystem(spark._jsc.hadoopConfiguration()).exists(exists)
-    if reprocess or not there:
+    if reprocess or not exists(spark, path):
         phonetic_rows(entries).write.mode("overwrite").parquet(path)
     else:
         missing_phonetics(entries, spark.read.parquet(path)).write.mode("append").parquet(path)
