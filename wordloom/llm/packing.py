@@ -34,9 +34,9 @@ TOKENIZER = "word_bpe_49k.json"
 WINDOW = 4096
 END = 2
 #: Pieces and ids of a block.
-BLOCK_PIECES, BLOCK_IDS = 20_000, 4 << 20
+BLOCK_PIECES, BLOCK_IDS = 20_000, 1 << 20
 #: Bytes of texts whose words are looked up together.
-GATHERED = 8 << 20
+GATHERED = 4 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -104,7 +104,7 @@ TOGETHER, BATCH, LONG = 512, 8192, 64
 #: Fixed value: the pre-tokens for which all of this holds.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that a worker remembers; beyond, it keeps those of the texts at hand.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Slots, by hash, in which words are noted when first met.
 SLOTS = 1 << 22
 
