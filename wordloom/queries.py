@@ -502,7 +502,7 @@ tl AS (SELECT entry_id, string_agg(name, '|' ORDER BY p) AS ns FROM tmpl GROUP B
 ml AS (SELECT entry_id, string_agg(mention || ' ' || coalesce(names.name, code) || ' ' || role, '|' ORDER BY spot) AS said FROM mentioned LEFT JOIN names USING (code) GROUP BY 1)
 SELECT asked_word, asked_lang, o.entry_id, o.word, o.pos, {_GLOSSES} AS glosses, CASE WHEN has_sounds THEN {_FIRST_IPA} END AS ipa, o.etymology_text, coalesce(ns, '') AS template_names,
   coalesce(a.type, b.type) AS type, coalesce(a.source, b.source) AS source, CASE WHEN has_sounds THEN coalesce({_AUDIO}, '') ELSE '' END AS audio, ph.ipa AS phonetic_ipa, ph.classes AS dolgo_classes, ph.cons AS dolgo_consonants, coalesce(said, '') AS mentions
-FROM w JOIN one o ON o.word = base AND o.lang = asked_lang LEFT JOIN ({_TEMPLATE_SAYS}) a USING (entry_id) LEFT JOIN ({_TEXT_SAYS}) b USING (entry_id) LEFT JOIN ph USING (entry_id) LEFT JOIN tl USING (entry_id) LEFT JOIN ml USING (entry_id)""")
+FROM w JOIN one o ON o.word = CASE WHEN asked_word = base THEN base ELSE strip_accents(base) END AND o.lang = asked_lang LEFT JOIN ({_TEMPLATE_SAYS}) a USING (entry_id) LEFT JOIN ({_TEXT_SAYS}) b USING (entry_id) LEFT JOIN ph USING (entry_id) LEFT JOIN tl USING (entry_id) LEFT JOIN ml USING (entry_id)""")
 def c09(spark, sf_dir):
     """All words, every other one asked for in a reconstructed form."""
     entries, names = _lex(spark, sf_dir)
