@@ -49,6 +49,11 @@ def test_awkward(spark, awkward, write_tables):
     assert sorted((tuple(r) for r in rows), key=repr) == brute([(r.doc_id, r.text) for r in awkward.collect()], items)
     in_blocks = decontaminate.find_overlaps(awkward.select("doc_id", "text"), bench, block_bytes=20, keep=["doc_id"])
     assert sorted((r.doc_id, r.n_hit, len(r["items"])) for r in in_blocks.collect() if r.doc_id) == sorted((r.doc_id, r.n_hit, r.n_items) for r in rows if r.doc_id)
+    in_passes = decontaminate.find_overlaps(awkward.select("doc_id", "text"), bench, block_bytes=20, keep=["doc_id"], pass_blocks=2)
+    assert sorted(map(repr, in_passes.collect())) == sorted(map(repr, in_blocks.collect()))
+    assert in_passes.dtypes == in_blocks.dtypes
+    clean = {r.doc_id for r in decontaminate.drop_contaminated(awkward, bench).collect()}
+    assert clean == {r.doc_id for r in rows if not r.contaminated} == {r.doc_id for r in decontaminate.drop_contaminated(awkward, bench, block_bytes=20).collect()}
     assert decontaminate.find_overlaps(awkward.limit(0), bench).count() == 0
     assert decontaminate.find_overlaps(awkward, bench.limit(0)).filter("n_hit > 0").count() == 0
 

@@ -141,3 +141,77 @@ def test_score_clusters_all_words_with_contexts(spark):
     of = {w: int(model.classes[i]) for w, i in model.frequent.items()}
     assert len(of) == 1200 and max(of.values()) < model.first_length_class
     assert not {k for w, k in of.items() if w[:1] == b"a"} & {k for w, k in of.items() if w[:1] == b"b"}
+
+
+FOREIGN = {
+    "it": "Il sole era appena sorto quando la famiglia decise di lasciare la vecchia casa in collina e scendere verso il mare. Nessuno parlava molto, perché tutti sapevano che quel viaggio avrebbe cambiato ogni cosa. La strada correva tra gli ulivi e i muri a secco, e ogni tanto si vedeva un contadino che alzava la mano per salutare.",
+    "fi": "Aurinko oli juuri noussut, kun perhe päätti lähteä vanhasta talosta ja kulkea kohti merta. Kukaan ei puhunut paljon, koska kaikki tiesivät matkan muuttavan elämän täysin. Tie kulki metsien ja peltojen halki, ja välillä näkyi maanviljelijä, joka nosti kätensä tervehdykseen.",
+    "pl": "Słońce dopiero wzeszło, kiedy rodzina postanowiła opuścić stary dom na wzgórzu i zejść w stronę morza. Nikt nie mówił wiele, bo wszyscy wiedzieli, że ta podróż zmieni całe ich życie. Droga biegła wśród pól i kamiennych murów, a czasem było widać rolnika, który podnosił rękę na powitanie.",
+    "random": " ".join("".join(np.random.default_rng(k).choice(list("abcdefghijklmnopqrstuvwxyz"), 2 + k % 8)) for k in range(700)),
+}
+
+
+def test_language_rejects_unseen_languages(spark):
+    """In Latin script too: passages of 80 characters nearly always, longer ones always; own documents hardly ever."""
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    model = langid.train(docs)
+    rows = [(n, t[a : a + n]) for t in FOREIGN.values() for n in (80, 200, 3000) for a in range(0, max(1, len(t) - n), 40)]
+    found = langid.identify(spark.createDataFrame(rows, "n int, text string"), model).collect()
+    assert all(r.rejected for r in found if r.n >= 200) and sum(r.rejected for r in found if r.n == 80) >= 0.9 * sum(r.n == 80 for r in found)
+    assert langid.identify(docs, model).filter("rejected").count() <= 10
+
+
+def test_language_written_out(spark, documents):
+    """Cosines of all centroids, from counts in Python dictionaries."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs)
+    sizes = {lang: model.langs.count(lang) for lang in model.langs}
+    assert all(1 <= n <= langid.CLUSTERS for n in sizes.values())
+    rows = {r.doc_id: r for r in langid.identify(docs, model, keep=["doc_id"]).collect()}
+    for i, text, _ in documents[:40]:
+        c = langid.counts(text)
+        v = {k: math.log1p(int(c[k])) * float(model.idf[k]) for k in np.flatnonzero(c)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(centroid[k]) for k, x in v.items()) / norm for centroid in model.centroids]
+        best = int(np.argmax(cosines))
+        assert rows[i].lang_pred == model.langs[best] and math.isclose(rows[i].score, min(1.0, cosines[best]), abs_tol=1e-4)
+        limit = model.least[model.langs[best]][langid.band(c)]
+        assert rows[i].rejected == (cosines[best] < limit) or math.isclose(cosines[best], limit, abs_tol=1e-4)
+
+
+def test_clusters_are_no_outliers():
+    rng = np.random.default_rng(2)
+    v = np.abs(rng.normal(size=(200, 16))) + np.repeat(np.eye(16)[:4] * 8, 50, axis=0)
+    v[:3] = np.eye(16)[9:12]  # three rows that are like nothing else
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    found = langid.k_means(v, 4)
+    sizes = np.bincount((v @ found.T).argmax(axis=1), minlength=len(found))
+    assert len(found) == 4 and sizes.min() >= langid.LEAST_SHARE * len(v)
+
+
+def test_frequent_words_of_a_flat_vocabulary(spark, monkeypatch):
+    """Words of one count are taken as far as there is room, and have classes."""
+    monkeypatch.setattr(lm, "FREQUENT", 1000)
+    texts = [" ".join(f"w{k:05d}" for k in range(at, at + 50)) for at in range(0, 3000, 50)]
+    model, counts = lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert 900 <= len(model.frequent) <= 1000 and model.first_length_class == lm.CLASSES
+    some = spark.createDataFrame([(b"a", 5), (b"b", 5), (b"c", 2), (b"d", 9)], "word binary, c long")
+    assert {bytes(r.word) for r in lm.most_frequent(some, 4).collect()} == {b"a", b"b", b"c", b"d"}
+    assert {bytes(r.word) for r in lm.most_frequent(some, 3).collect()} == {b"a", b"b", b"d"}
+    assert {bytes(r.word) for r in lm.most_frequent(some, 2).collect()} > {b"d"} and lm.most_frequent(some, 0).count() == 0
+
+
+def test_toxicity_chain_written_out(spark, documents):
+    """The chain of the query, one category after the other, by sums in Python."""
+    docs, labels = spark.read.parquet(f"{MEDIUM}/documents.parquet"), spark.read.parquet(f"{MEDIUM}/labels.parquet")
+    chain = toxicity.train(docs, labels.selectExpr("doc_id", "1 - quality AS poor", "toxic"), ["poor", "toxic"])
+    some = [(i, t or "") for i, t, _ in documents[:60]] + [(-1, "")]
+    rows = {r.doc_id: r for r in toxicity.classify(spark.createDataFrame(some, "doc_id long, text string"), chain).collect()}
+    for i, text in some:
+        present = set(toxicity.features_of(text))
+        x = [float(w in present) for w in chain.words] + [float(w + "#" in present) for w in chain.words] + list(toxicity.shapes(text))
+        for c, model, threshold in zip(chain.categories, chain.models, chain.thresholds, strict=True):
+            z = sum(a * b for a, b in zip(x, model.weights.tolist(), strict=True)) + model.bias
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+            assert math.isclose(rows[i][f"p_{c}"], p, rel_tol=1e-6) and (rows[i][f"is_{c}"] == (p > threshold) or math.isclose(p, threshold, rel_tol=1e-6))
+            x.append(p)

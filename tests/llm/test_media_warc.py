@@ -1,6 +1,8 @@
 """op2 and op5: exact round trips and brute force."""
 
 import hashlib
+import io
+import struct
 import zlib
 
 import duckdb
@@ -61,6 +63,47 @@ def test_bad_media_rows(spark):
     assert rows[2].media_bytes == 4 and rows[2].feature is None and rows[2].error
 
 
+def plain_means(image, height, width):
+    """Means over equal areas, by oversampling each side."""
+    h, w = image.shape
+    return np.repeat(np.repeat(image.astype(float), height, axis=0), width, axis=1).reshape(height, h, width, w).mean(axis=(1, 3))
+
+
+def test_media_features(spark, documents):
+    """The tile and its difference hash by plain means, for whole texts; the query hashes the tile that it has written."""
+    rows = {r.doc_id: r for r in media.query(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    tiles = {r.doc_id: r for r in media.tiles(media.store_texts(docs), keep=["doc_id"]).collect()}
+    for i, text, _ in documents:
+        data = text.encode()
+        image = np.frombuffer(data.ljust(max(64, -(-len(data) // 64) * 64), b"\0"), np.uint8).reshape(-1, 64)
+        tile = np.load(io.BytesIO(tiles[i].tile_npy))
+        assert tile.shape == (16, 16) and tile.dtype == np.uint8
+        assert np.abs(tile - plain_means(image, 16, 16)).max() <= 0.5 + 1e-6
+        small = plain_means(tile, 8, 9)
+        darker = small[:, 1:] - small[:, :-1]
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(rows[i].feature), np.uint8)).reshape(8, 8)
+        assert ((darker > 0) == bits)[np.abs(darker) > 1e-9].all()
+        assert rows[i].tile_sha256 == hashlib.sha256(tiles[i].tile_npy).hexdigest() and rows[i].feature == tiles[i].feature
+
+
+def test_bmp_bit_fields():
+    image = np.arange(16, dtype=np.uint8).reshape(2, 2, 4)
+    head = lambda masks: struct.pack("<2sIHHI", b"BM", 66 + 16, 0, 0, 66) + struct.pack("<IiiHHIIiiII", 40, 2, -2, 1, 32, 3, 16, 0, 0, 0, 0) + struct.pack("<3I", *masks)
+    assert (media.decode(head(media.MASKS) + image.tobytes()) == image[:, :, 2::-1]).all()
+    with pytest.raises(media.BadImage):
+        media.decode(head((0xFF, 0xFF00, 0xFF0000)) + image.tobytes())
+
+
+def test_revisits_are_checked(spark):
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    good = [(1, 200, "d", "response", None), (2, 200, "d", "revisit", 1), (3, 9, "e", "response", None)]
+    assert warc.checked(spark.createDataFrame(good, schema)).count() == 3
+    for bad in ((4, 200, "x", "revisit", 1), (4, 100, "d", "revisit", 1), (4, 200, "d", "revisit", 9)):
+        with pytest.raises(warc.CorruptRecord):
+            warc.checked(spark.createDataFrame([*good, bad], schema))
+
+
 def pages(spark):
     same, short = "<p>" + "x" * 120, "short"
     rows = [(5, "u", same), (3, None, same), (9, "a\r\nb", same), (3, "u", same), (1, "u", short), (2, "u", short), (4, "u", None), (6, "u", ""), (7, "u", "é" * 50), (8, "u", "é" * 50), (None, "u", same), (10, "u", "y" * 3_000_000)]

@@ -64,3 +64,60 @@ def test_redact_keeps_columns(spark, awkward):
 def test_native(spark, awkward):
     plan = secrets.find_secrets(awkward, ratios=[0.0] * 16384)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def brute_random(text, ratios):
+    """The spans that the method adds, written out."""
+    masked = list(text)
+    for _, regex, group, least in KINDS:
+        for m in regex.finditer(text):
+            if len(m[group]) >= least:
+                masked[m.start() : m.end()] = " " * (m.end() - m.start())
+    out = []
+    for run in re.finditer("[A-Za-z0-9+/_=-]{20,}", "".join(masked)):
+        value, found, total, since, best, until = run[0], [], 0.0, 0, 0.0, 0
+        for i in range(len(value) - 1):
+            total += float(f"{ratios[ord(value[i]) * 128 + ord(value[i + 1])]:.6g}")
+            if total <= 0 or total < best - secrets.THRESHOLD:
+                found += [(since, until)] if best > secrets.THRESHOLD else []
+                total, since, best = 0.0, i + 1, 0.0
+            elif total > best:
+                best, until = total, i + 2
+        found += [(since, until)] if best > secrets.THRESHOLD else []
+        for a, b in dict.fromkeys(found):
+            while a and value[a - 1].isalnum():
+                a -= 1
+            while b < len(value) and value[b].isalnum():
+                b += 1
+            if b - a >= secrets.RUN_LEAST and (run.start() + a, run.start() + b) not in out:
+                out.append((run.start() + a, run.start() + b))
+    return sorted(out)
+
+
+def test_added_spans(spark, documents):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choices(letters, k=n))
+    words = [w for _, t, lang in documents if lang == "en" and t for w in re.findall(r"\b[a-z]{7,12}\b", t)]
+    path = "/".join(dict.fromkeys(words[:6]))
+    planted = [f"{path}/{key(24)}" for _ in range(30)] + [f"{key(32)}/{path}" for _ in range(30)] + [f"token=abcdef {key(40)} deadbeefdeadbeefdeadbeef_{key(30)}" for _ in range(10)]
+    texts = [t or "" for _, t, _ in documents] + planted + [path, "x" * 300, ""] + [f"https//downloads/customers/documents/{key(30)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ratios = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in secrets.find_secrets(docs, ratios=ratios).collect()}
+    assert got == {i: brute_random(t, ratios) for i, t in enumerate(texts)}
+    n = len(documents)
+    assert sum(bool(got[i]) for i in range(n)) <= n // 100
+    covered = lambda i, start, end: any(a <= start and end <= b for a, b in got[i])
+    assert sum(covered(n + i, len(path) + 1, len(path) + 25) for i in range(30)) >= 27
+    assert sum(covered(n + 30 + i, 0, 32) for i in range(30)) >= 27
+    assert covered(len(texts) - 1, len(texts[-1]) - 30, len(texts[-1])) and not got[len(texts) - 4]
+
+
+def test_many_matches(spark):
+    """A text full of matches, in several blocks, and its redaction."""
+    text = " ".join(f"token=secret{i:05d} é" for i in range(700))
+    r = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), ratios=[0.0] * 16384).first()
+    assert [(s.start, s.end) for s in r.spans] == [m.span() for m in re.finditer("token=secret[0-9]{5}", text)]
+    clean = secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert clean == re.sub("token=secret[0-9]{5}", lambda _: secrets.MARK, text)

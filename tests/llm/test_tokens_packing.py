@@ -99,3 +99,22 @@ def test_word_ids(seed):
     texts = ["", "  ", "x" * 9000 + ",", "<|ENDOFTEXT|>, Σίσυφος, İst. ﬁne, Straße."] + ["".join(rng.choices(AWKWARD_PARTS, k=rng.randint(1, 30))) for _ in range(3000)]
     got = packing.Words(packing.TOKENIZER).of(pa.array(texts))
     assert [x.tolist() for x in got] == [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_other_tokenizers(spark, awkward):
+    """Tokenizers of another kind are given whole texts."""
+    named = awkward.filter("doc_id is not null").select("doc_id", "text").distinct()
+    t = tokens.load(packing.TOKENIZER)
+    got = {r.doc_id: r.n_tokens for r in tokens.token_counts(named, tokenizer=packing.TOKENIZER, chunk=100).collect()}
+    assert got == {r.doc_id: len(t.encode(r.text or "", add_special_tokens=False).ids) for r in named.collect()}
+    t = tokens.load(tokens.TOKENIZER)
+    got = {r.doc_id: r.doc_tokens for r in packing.pack(named, tokenizer=tokens.TOKENIZER, end=50256).collect()}
+    assert got == {r.doc_id: len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in named.collect()}
+
+
+def test_packing_ids_of_long_documents(spark, awkward):
+    """The pieces of a document beyond one window, put together."""
+    t = tokens.load(packing.TOKENIZER)
+    text = awkward.filter("doc_id = 7").first().text
+    rows = sorted(packing.pack(awkward.filter("doc_id = 7")).collect(), key=lambda r: r.start)
+    assert len(rows) > 5 and np.concatenate([np.frombuffer(r.ids, "<u4") for r in rows]).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
