@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from wordloom.storage import materialise, scratch_path
 
-__all__ = ["col", "flagged", "free", "worker_memory", "map_cells", "map_texts", "materialise", "numbered", "pieces", "sampled", "scratch_path", "small_batches", "table"]
+__all__ = ["col", "flagged", "free", "give_back", "worker_memory", "map_cells", "map_texts", "materialise", "numbered", "pieces", "sampled", "scratch_path", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,15 +75,20 @@ def worker_memory(key: str, make: Callable[[], object] | None = None) -> object:
     to another operator lets go of what the last one kept, and gives free memory back."""
     if key not in _HELD:
         _HELD.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries give it back by themselves
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
         if make is not None:
             _HELD[key] = make()
     return _HELD.get(key)
 
 
+def give_back() -> None:
+    """Give memory that a worker has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries give it back by themselves
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def flagged(text: Column, make: Callable[[], Callable[[list[str]], list[bool]]], holds: str = "") -> Column:
     """A truth value for each whole text, null texts as "". Only texts go to Python; the other columns of a row do not.
     ``holds``: as in ``map_texts``."""

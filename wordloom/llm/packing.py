@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import col, pieces, small_batches, table, worker_memory
+from wordloom.llm.common import col, give_back, pieces, small_batches, table, worker_memory
 from wordloom.llm.tokens import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -100,7 +100,7 @@ PLAIN = re.compile("[!-{}~À-įı-ɏ]+")
 LETTERS = re.compile("[a-zß-öø-ɏ]+")
 CLOSING = ".,;:!?"
 #: Words of letters that are encoded together, words of a batch, and the length of words that are not remembered.
-TOGETHER, BATCH, LONG = 512, 8192, 64
+TOGETHER, BATCH, LONG = 512, 4096, 64
 #: Fixed value: the pre-tokens for which all of this holds.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that a worker remembers; beyond, it keeps those of the texts at hand.
@@ -259,6 +259,8 @@ def pack(
                         waiting, held = [], 0
         if waiting:
             yield placed()
+        del waiting
+        give_back()
 
     return small_batches(source).mapInArrow(run, SCHEMA)
 
