@@ -187,6 +187,23 @@ def test_polysemy_and_details(spark):
     assert [(r.q, r.etymology_number) for r in hits.collect() if r.q == "ba"] == [("ba", None)]
 
 
+def test_strict_etymology(spark):
+    """The number holds for the normalised form too; without a number any entry will do."""
+    e = kept(spark, [entry("win", number=1), entry("win", number=2), entry("plain")])
+    asked = [("a", "*wīn", 1), ("b", "*wīn", 3), ("c", "*wīn", None), ("d", "win", 2), ("e", "plain", None), ("f", "plain", 1), ("g", "nothing", None)]
+    wanted = spark.createDataFrame([(k, w, "English", n) for k, w, n in asked], "k string, word string, lang string, etym int")
+    strict = {r.k: r.found_id for r in lookup.with_etymology(wanted, e, True).collect()}
+    assert strict == {"a": "0000", "b": None, "c": "0000", "d": "0001", "e": "0002", "f": None, "g": None}
+    loose = {r.k: r.found_id for r in lookup.with_etymology(wanted, e, False).collect()}
+    assert loose == {"a": "0000", "b": "0000", "c": "0000", "d": "0001", "e": "0002", "f": "0002", "g": None}
+
+
+def test_hops_have_no_limit(spark):
+    line = spark.createDataFrame([("s", f"n{i}", f"n{i + 1}", "x") for i in range(9)], "seed_id string, from_id string, to_id string, label string")
+    start = spark.createDataFrame([("s", "n0")], "seed_id string, id string")
+    assert {r.id: r.hops for r in graph.hop_distances(start, line).collect()} == {f"n{i}": i for i in range(10)}
+
+
 def build(spark, rows, seeds, **options):
     e = kept(spark, rows)
     n = tables.language_names(e)
