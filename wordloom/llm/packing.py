@@ -17,7 +17,6 @@ tables without rows give none; other columns are ignored.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterable, Iterator
 
@@ -28,15 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import col, give_back, pieces, small_batches, table, worker_memory
-from wordloom.llm.tokens import load
+from wordloom.llm.tokens import described, load
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW = 4096
 END = 2
 #: Pieces and ids of a block.
 BLOCK_PIECES, BLOCK_IDS = 20_000, 1 << 20
-#: Bytes of texts whose words are looked up together.
-GATHERED = 4 << 20
+#: Bytes of texts whose words are looked up together; a task takes some 80 MB for that (150 MB for 4 MB of texts).
+GATHERED = 1 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -112,10 +111,10 @@ SLOTS = 1 << 22
 def by_words(tokenizer) -> bool:
     """Are the ids of a text those of its words, one after another? So they are if white space is collapsed and dropped,
     letters are lower-cased, and pre-tokens are runs of letters, single digits, or runs of other signs, as here."""
-    about = json.loads(tokenizer.to_str())
-    steps = [x["type"] for x in (about["normalizer"] or {}).get("normalizers", [])]
-    cut = (about["pre_tokenizer"] or {}).get("pretokenizers", [])
-    return steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cut] == ["Split", "ByteLevel"] and cut[0]["pattern"] == {"Regex": PATTERN} and bool(about["model"].get("end_of_word_suffix"))
+    steps = [x["type"] for x in described(tokenizer.normalizer).get("normalizers", [])]
+    cut = described(tokenizer.pre_tokenizer).get("pretokenizers", [])
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    return steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cut] == ["Split", "ByteLevel"] and cut[0]["pattern"] == {"Regex": PATTERN} and bool(suffix)
 
 
 class Words:

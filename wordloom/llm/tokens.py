@@ -40,6 +40,7 @@ REMEMBERED = 800_000
 RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　]")
 UNIT = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 
+
 def load(name: str):
     """The tokenizer of a file: a path, or a name that ``public_tokenizers`` knows."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,13 +57,17 @@ def load(name: str):
     return tokenizer
 
 
+def described(part) -> dict:
+    """A tokenizer's normaliser or pre-tokenizer as its file has it; the whole file would be its vocabulary too."""
+    return json.loads(part.__getstate__()) if part is not None else {}
+
+
 def splits(tokenizer) -> bool:
     """Do boundaries of pre-tokens follow from the characters beside them, as ``stable`` has it? So they do without a
     normaliser, in byte-level pre-tokens by the usual pattern, if no added token takes white space with it."""
-    about = json.loads(tokenizer.to_str())
-    before = about["pre_tokenizer"] or {}
-    plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in about["added_tokens"])
-    return plain and about["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    before = described(tokenizer.pre_tokenizer)
+    plain = not any(t.lstrip or t.rstrip or t.single_word or any(c.isspace() for c in t.content) for t in tokenizer.get_added_tokens_decoder().values())
+    return plain and tokenizer.normalizer is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
 
 
 def stable(text: str, at: int) -> bool:
