@@ -118,3 +118,10 @@ def test_packing_ids_of_long_documents(spark, awkward):
     text = awkward.filter("doc_id = 7").first().text
     rows = sorted(packing.pack(awkward.filter("doc_id = 7")).collect(), key=lambda r: r.start)
     assert len(rows) > 5 and np.concatenate([np.frombuffer(r.ids, "<u4") for r in rows]).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_packing_in_blocks_of_any_size(spark, awkward):
+    """How many texts are looked up together changes nothing."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
+    want = packing.pack(docs).collect()
+    assert packing.pack(docs, gathered=packing.SMALL).collect() == want and packing.pack(docs, gathered=1000).collect() == want

@@ -34,8 +34,9 @@ WINDOW = 4096
 END = 2
 #: Pieces and ids of a block.
 BLOCK_PIECES, BLOCK_IDS = 20_000, 1 << 20
-#: Bytes of texts whose words are looked up together; a task takes some 80 MB for that (150 MB for 4 MB of texts).
-GATHERED = 1 << 20
+#: Bytes of texts whose words are looked up together, of no bearing on the result: larger blocks meet a word less often,
+#: smaller ones take less memory (150 MB of a worker beside the tokenizer for 4 MB of texts, 80 MB for 1 MB).
+GATHERED, SMALL = 4 << 20, 1 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -214,14 +215,14 @@ def token_ids(tokenizer: str = TOKENIZER) -> Words:
     return worker_memory(f"packing {tokenizer}", lambda: Words(tokenizer))  # type: ignore[return-value]
 
 
-def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined to about GATHERED bytes, in which a word is looked up once."""
+def _gathered(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about ``most`` bytes, in which a word is looked up once."""
     waiting, size = [], 0
     for whole in batches:
-        for batch in pieces(whole, GATHERED):
+        for batch in pieces(whole, most):
             waiting.append(batch)
             size += batch.nbytes
-            if size >= GATHERED:
+            if size >= most:
                 yield pa.concat_batches(waiting)
                 waiting, size = [], 0
     if waiting:
@@ -229,7 +230,7 @@ def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, window: int = WINDOW, end: int = END
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, window: int = WINDOW, end: int = END, gathered: int = GATHERED
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset."""
     source = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
@@ -247,7 +248,7 @@ def pack(
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in _gathered(batches):
+        for batch in _gathered(batches, gathered):
             for doc, ids in zip(batch.column(0).to_pylist(), words.of(batch.column(1)), strict=True):
                 ids = np.concatenate([ids, tail])
                 for start, part in cut(ids, window):
