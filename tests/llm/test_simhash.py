@@ -108,3 +108,42 @@ def test_deduplicate_near_copies(spark):
     for least, most in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.991)):
         some = [i for i, s in levels.items() if least <= s < most]
         assert len(some) >= 20 and sum(i not in kept for i in some) >= 0.9 * len(some)
+
+
+def family(rng, vocabulary, size, words, most):
+    """Copies of copies: each is made of one before it, so that many are alike, and many are unlike the first."""
+    texts = [rng.choices(vocabulary, k=words)]
+    for _ in range(size - 1):
+        copy = list(rng.choice(texts[-6:]))
+        for at in rng.sample(range(words), max(1, round(words * rng.uniform(0.002, most)))):
+            copy[at] = rng.choice(vocabulary)
+        texts.append(copy)
+    return [" ".join(t) for t in texts]
+
+
+def test_families_of_near_copies(spark):
+    """Pairs at 0.8 and more meet in one component though they are unlike the smallest of their bucket."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(3, 8))) for _ in range(3000)]
+    families = [family(rng, vocabulary, 12, 150, 0.03) for _ in range(25)] + [family(rng, vocabulary, 120, 200, 0.03)]
+    rows = [(i, t) for i, t in enumerate(t for f in families for t in f)]
+    texts = spark.createDataFrame([(i, i, t) for i, t in rows], "node long, doc long, text string")
+    root = {r.u: r.v for r in simhash.near_components(texts).collect()}
+    pairs, start = [], 0
+    for f in families:
+        own = range(start, start + len(f))
+        pairs += [(a, b) for a in own for b in own if a < b and similarity(rows[a][1], rows[b][1]) >= 0.8]
+        start += len(f)
+    unlike_first = sum(similarity(f[0], t) < 0.8 for f in families for t in f)
+    assert len(pairs) > 400 and unlike_first > 150
+    assert sum(root.get(a, a) == root.get(b, b) for a, b in pairs) >= 0.97 * len(pairs)
+    label = {i: i for i, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    assert all(label[u] == label[v] for u, v in root.items())  # nothing is joined that isn't linked

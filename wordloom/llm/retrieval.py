@@ -214,6 +214,8 @@ class Bounds:
         self.n = len(n)
         bits = np.frombuffer(data, np.uint8).reshape(width, -1)
         self.maps = [np.bitwise_and.reduce(bits[_positions(h, width)], axis=1) for h in self.hashes]
+        for lower, maps in zip(self.maps, self.maps[1:], strict=False):  # a term reaches no level without the one below
+            maps &= lower
         self.plain = np.unpackbits(self.maps[0], axis=1)[:, : self.n].astype(self.kind)
         most = np.array(top, np.int64)
         m = self.items.length_part(np.array(n, np.int64))

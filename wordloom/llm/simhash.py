@@ -14,10 +14,12 @@ small-star steps, each written to the shared folder. A node has 2,080 possible p
 all bits differs, so that two of 64 bits would miss nearly all. Fingerprints are therefore short, and hashed in the same
 way among the texts that have an anchor in common: the smallest shingle hash under one of ``ANCHORS`` mixings, which two
 texts share with a chance of their similarity. A fingerprint's length follows the number of texts at its anchor, so that
-chance meetings stay few; where it gets long, several are taken (``BANDS``). An anchor of one text emits nothing. What
-meets is compared by all ``ANCHORS`` fingerprints of 64 bits, and verified by the true similarity of the two sets of
-shingles: first each text with one partner, then all pairs that these links have not yet brought together. Equal texts
-are one node.
+chance meetings stay few; where it gets long, several are taken (``BANDS``). An anchor of one text emits nothing. A star,
+as above, would do for distances, but similarity is verified afterwards: two texts can be alike that are both unlike the
+star's centre. So all pairs of a bucket meet, up to ``SMALL`` texts; in larger buckets, of dense families, each text meets
+``PICKS`` others in each of its buckets. What meets is compared by all ``ANCHORS`` fingerprints of 64 bits, and verified by
+the true similarity of the two sets of shingles: first each text with one partner, then all pairs that these links have
+not yet brought together. Equal texts are one node.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero, which links like any other (for
 ``deduplicate`` their sets of shingles are equal); texts of fewer words than a shingle have the hash of the whole
@@ -51,7 +53,9 @@ TURN = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
 #: Anchors of a text, each with a fingerprint of 64 bits; bits of a band beyond those that number an anchor's texts, and most bits.
 ANCHORS, SPARE_BITS, MOST_BITS = 4, 6, 32
 #: Chance that all bands of all anchors miss a pair at SIMILAR; most bands of an anchor.
-MISSED, MOST_BANDS = 0.02, 8
+MISSED, MOST_BANDS = 0.005, 8
+#: Rows of a bucket up to which all its pairs are compared, and rows of a larger one that each of it is compared with.
+SMALL, PICKS = 32, 2
 #: Bits of all fingerprints up to which a pair is verified: the mean at SIMILAR and 4.5 deviations.
 COMPARED = 64 * ANCHORS
 NEAR_BITS = round(TURN * COMPARED + 4.5 * math.sqrt(COMPARED * TURN * (1 - TURN)))
@@ -199,11 +203,47 @@ def sketches(texts: DataFrame) -> DataFrame:
     return made.groupBy("node").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("n", "anchors", "prints")))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(u, v), u > v: nodes that meet in a band, whose sizes allow SIMILAR and of whose bits NEAR_BITS differ at most.
+def _across(lists: Column, other: Column) -> Column:
+    """All pairs of two lists."""
+    return F.flatten(F.transform(lists, lambda x: F.transform(other, lambda y: F.struct(x.alias("a"), y.alias("b")))))
+
+
+def _within(items: Column) -> Column:
+    """All pairs of a list's members, each once."""
+    return F.flatten(F.transform(items, lambda x, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+
+
+def met_in_bands(banded: DataFrame) -> DataFrame:
+    """(a, b) of ``banded(group, bits, fingerprint, own)``: rows of one group whose fingerprints are within the radius.
 
-    Stars from the smallest node of each band's fingerprint, and between these nodes those of ``links``.
-    """
+    A bucket holds the fingerprints that have a variant in common, ``bits + 1`` at most. Where these belong to SMALL rows or
+    fewer, all pairs of different fingerprints meet, and likewise all pairs of rows of one fingerprint: a few pairs a row,
+    however many rows a group has. In a larger bucket, of a dense family, each row meets PICKS of the bucket's."""
+    by = ["group", "bits", "fingerprint"]
+    values = materialise(banded.groupBy(*by).agg(F.count("*").alias("m"), *(F.min(F.struct(F.xxhash64("own.node", F.lit(k)).alias("h"), "own")).alias(f"p{k}") for k in range(PICKS))), "values")
+    picks = F.array(*(F.col(f"p{k}.own") for k in range(PICKS)))
+    few = banded.join(values.filter(F.col("m").between(2, SMALL)).select(*by), by).groupBy(*by).agg(F.collect_list("own").alias("rows"))  # SMALL at most
+    alone = values.filter("m = 1").select(*by, F.array("p0.own").alias("rows"), F.col("m"))
+    many = values.filter(F.col("m") > SMALL).select(*by, picks.alias("rows"), F.col("m"))
+    held = materialise(alone.unionByName(few.withColumn("m", F.size("rows").cast("long"))).unionByName(many), "held")
+
+    one, width = F.lit(1).cast("long"), F.col("bits")
+    bit = F.explode(F.sequence(F.lit(0), width))
+    spread = held.repartition(max(1, math.ceil(held.count() / SPREAD)), *by)
+    flipped = F.when(F.col("bit") < width, F.col("fingerprint").bitwiseXOR(F.call_function("shiftleft", one, F.col("bit")))).otherwise(F.col("fingerprint"))
+    variants = spread.withColumn("bit", bit).select("group", flipped.alias("variant"), "m", "rows")
+    buckets = variants.groupBy("group", "variant").agg(F.sum("m").alias("m"), F.collect_list("rows").alias("lists")).filter(F.size("lists") > 1)  # 33 lists of SMALL at most
+    crossing = F.flatten(F.transform("lists", lambda x, i: F.flatten(F.transform(F.slice("lists", i + 2, F.size("lists")), lambda y: _across(x, y)))))
+    everyone = F.flatten("lists")
+    nearest = F.slice(F.array_sort(F.transform(everyone, lambda x: F.struct(F.xxhash64(x["node"]).alias("h"), x.alias("own")))), 1, PICKS)
+    pairs = F.when(F.col("m") <= SMALL, crossing).otherwise(_across(everyone, F.transform(nearest, lambda x: x["own"])))
+    inside = held.filter(F.col("m").between(2, SMALL)).select(F.explode(_within(F.col("rows"))).alias("p"))
+    dense = banded.join(many.select(*by, "rows"), by).select(F.explode(_across(F.array("own"), F.col("rows"))).alias("p"))
+    return buckets.select(F.explode(pairs).alias("p")).unionByName(inside).unionByName(dense).select("p.a", "p.b")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v), u > v: nodes that meet in a band, whose sizes allow SIMILAR and of whose bits NEAR_BITS differ at most."""
     flat = nodes.select("node", "n", "prints", F.posexplode("anchors").alias("place", "anchor"))
     shared = flat.groupBy("place", "anchor").agg(F.count("*").alias("m")).filter("m > 1")
     bits = F.least(F.lit(MOST_BITS), F.ceil(F.log2("m")).cast("int") + SPARE_BITS)
@@ -214,12 +254,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
     banded = materialise(met.select(F.xxhash64("place", "anchor", "band").alias("group"), "bits", cut.bitwiseAND(mask).alias("fingerprint"), F.struct("node", "n").alias("own")), "banded")
 
-    values = materialise(banded.groupBy("group", "bits", "fingerprint").agg(F.min("own").alias("first"), F.count("*").alias("m")), "values")
-    same = banded.join(values.filter("m > 1").select("group", "fingerprint", "first"), ["group", "fingerprint"]).select(F.col("own").alias("a"), F.col("first").alias("b"))
-    near = links(values.select("group", "bits", "fingerprint"), F.col("bits"), ["group"])
-    for end, name in (("u", "a"), ("v", "b")):
-        near = near.join(values.select("group", F.col("fingerprint").alias(end), F.col("first").alias(name)), ["group", end])
-    both = same.unionByName(near.select("a", "b")).filter((F.col("a.node") != F.col("b.node")) & (F.least("a.n", "b.n") >= SIMILAR * F.greatest("a.n", "b.n")))
+    both = met_in_bands(banded).filter((F.col("a.node") != F.col("b.node")) & (F.least("a.n", "b.n") >= SIMILAR * F.greatest("a.n", "b.n")))
     pairs = both.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
     for end in ("u", "v"):
         pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("prints").alias(f"prints_{end}")), end)
