@@ -16,10 +16,11 @@ way among the texts that have an anchor in common: the smallest shingle hash und
 texts share with a chance of their similarity. A fingerprint's length follows the number of texts at its anchor, so that
 chance meetings stay few; where it gets long, several are taken (``BANDS``). An anchor of one text emits nothing. A star,
 as above, would do for distances, but similarity is verified afterwards: two texts can be alike that are both unlike the
-star's centre. So all pairs of a bucket meet, up to ``SMALL`` texts; in larger buckets, of dense families, each text meets
-``PICKS`` others in each of its buckets. What meets is compared by all ``ANCHORS`` fingerprints of 64 bits, and verified by
-the true similarity of the two sets of shingles: first each text with one partner, then all pairs that these links have
-not yet brought together. Equal texts are one node.
+star's centre. So there are two passes. In the first, each text is verified with the nearest of those that head one of its
+fingerprints, which makes one component of a family of copies. In the second, only texts of different components meet:
+all pairs of a bucket, up to ``SMALL`` texts, ``PICKS`` standing for a component; in larger buckets each text meets ``PICKS``
+others. What meets is compared by all ``ANCHORS`` fingerprints of 64 bits, and verified by the true similarity of the two
+sets of shingles. Equal texts are one node.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero, which links like any other (for
 ``deduplicate`` their sets of shingles are equal); texts of fewer words than a shingle have the hash of the whole
@@ -55,10 +56,10 @@ ANCHORS, SPARE_BITS, MOST_BITS = 4, 6, 32
 #: Chance that all bands of all anchors miss a pair at SIMILAR; most bands of an anchor.
 MISSED, MOST_BANDS = 0.005, 8
 #: Rows of a bucket up to which all its pairs are compared, and rows of a larger one that each of it is compared with.
-SMALL, PICKS = 32, 2
-#: Bits of all fingerprints up to which a pair is verified: the mean at SIMILAR and 4.5 deviations.
+SMALL, PICKS = 16, 2
+#: Bits of all fingerprints up to which a pair is verified: the mean at SIMILAR and three deviations.
 COMPARED = 64 * ANCHORS
-NEAR_BITS = round(TURN * COMPARED + 4.5 * math.sqrt(COMPARED * TURN * (1 - TURN)))
+NEAR_BITS = round(TURN * COMPARED + 3 * math.sqrt(COMPARED * TURN * (1 - TURN)))
 _STEP = 1 << 16
 
 
@@ -203,6 +204,21 @@ def sketches(texts: DataFrame) -> DataFrame:
     return made.groupBy("node").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("n", "anchors", "prints")))
 
 
+def _bits(x: Column, y: Column) -> Column:
+    """Differing bits of all fingerprints of two texts."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, n: acc + n)
+
+
+def _able(a: Column, b: Column) -> Column:
+    """Do the sizes and the fingerprints of two texts allow SIMILAR?"""
+    return (F.least(a["n"], b["n"]) >= SIMILAR * F.greatest(a["n"], b["n"])) & (_bits(a["prints"], b["prints"]) <= NEAR_BITS)
+
+
+def _unlinked(pairs: Column) -> Column:
+    """Those of an array of pairs that may be alike and are of different components."""
+    return F.filter(pairs, lambda p: (p["a"]["root"] != p["b"]["root"]) & _able(p["a"], p["b"]))
+
+
 def _across(lists: Column, other: Column) -> Column:
     """All pairs of two lists."""
     return F.flatten(F.transform(lists, lambda x: F.transform(other, lambda y: F.struct(x.alias("a"), y.alias("b")))))
@@ -213,16 +229,40 @@ def _within(items: Column) -> Column:
     return F.flatten(F.transform(items, lambda x, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
 
 
-def met_in_bands(banded: DataFrame) -> DataFrame:
-    """(a, b) of ``banded(group, bits, fingerprint, own)``: rows of one group whose fingerprints are within the radius.
+def bands(nodes: DataFrame) -> DataFrame:
+    """(group, bits, fingerprint, own): the short fingerprints of each text at each anchor that it has in common with others."""
+    flat = nodes.select("node", "n", "prints", F.posexplode("anchors").alias("place", "anchor"))
+    shared = flat.groupBy("place", "anchor").agg(F.count("*").alias("m")).filter("m > 1")
+    bits = F.least(F.lit(MOST_BITS), F.ceil(F.log2("m")).cast("int") + SPARE_BITS)
+    count = F.element_at(F.array(*map(F.lit, BANDS)), F.col("bits") + 1)
+    met = flat.join(shared, ["place", "anchor"]).withColumn("bits", bits).withColumn("band", F.explode(F.sequence(F.lit(0), count - 1)))
+    print_ = F.element_at("prints", (F.col("place") + F.col("band")) % ANCHORS + 1)
+    cut = F.call_function("shiftright", print_, F.floor(F.col("band") / ANCHORS).cast("int") * MOST_BITS)
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
+    return materialise(met.select(F.xxhash64("place", "anchor", "band").alias("group"), "bits", cut.bitwiseAND(mask).alias("fingerprint"), "node", "n", "prints"), "banded")
+
+
+def stars(banded: DataFrame) -> DataFrame:
+    """(a, b): each text and the first of those that have a fingerprint in common with it."""
+    by = ["group", "fingerprint"]
+    first = banded.groupBy(*by).agg(F.min(F.struct("node", "n", "prints")).alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    return banded.join(first, by).select(F.struct("node", "n", "prints").alias("a"), "b").filter((F.col("a.node") != F.col("b.node")) & _able(F.col("a"), F.col("b")))
+
+
+def met_in_bands(banded: DataFrame, linked: DataFrame) -> DataFrame:
+    """(a, b): texts of different components of ``linked(u, v)`` whose fingerprints at an anchor are within the radius.
 
-    A bucket holds the fingerprints that have a variant in common, ``bits + 1`` at most. Where these belong to SMALL rows or
-    fewer, all pairs of different fingerprints meet, and likewise all pairs of rows of one fingerprint: a few pairs a row,
-    however many rows a group has. In a larger bucket, of a dense family, each row meets PICKS of the bucket's."""
+    Of a component, PICKS texts stand for all that have a fingerprint. A bucket holds the fingerprints that have a variant
+    in common, ``bits + 1`` at most. Where it holds SMALL texts or fewer, all its pairs meet, and likewise those of one
+    fingerprint: a few pairs a text, however many texts a group has. In a larger one each text meets PICKS of the others."""
     by = ["group", "bits", "fingerprint"]
-    values = materialise(banded.groupBy(*by).agg(F.count("*").alias("m"), *(F.min(F.struct(F.xxhash64("own.node", F.lit(k)).alias("h"), "own")).alias(f"p{k}") for k in range(PICKS))), "values")
+    rooted = banded.join(linked, F.col("node") == F.col("u"), "left").select(*by, F.struct("node", "n", F.coalesce("v", "node").alias("root"), "prints").alias("own"))
+    pick = lambda k: F.min(F.struct(F.xxhash64("own.node", "group", F.lit(k)).alias("h"), "own"))
+    stand = rooted.groupBy(*by, F.col("own.root").alias("root")).agg(*(pick(k).alias(f"p{k}") for k in range(PICKS)))
+    stand = materialise(stand.select(*by, F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.own") for k in range(PICKS))))).alias("own")), "stand")
+    values = materialise(stand.groupBy(*by).agg(F.count("*").alias("m"), *(pick(k).alias(f"p{k}") for k in range(PICKS))), "values")
     picks = F.array(*(F.col(f"p{k}.own") for k in range(PICKS)))
-    few = banded.join(values.filter(F.col("m").between(2, SMALL)).select(*by), by).groupBy(*by).agg(F.collect_list("own").alias("rows"))  # SMALL at most
+    few = stand.join(values.filter(F.col("m").between(2, SMALL)).select(*by), by).groupBy(*by).agg(F.collect_list("own").alias("rows"))  # SMALL at most
     alone = values.filter("m = 1").select(*by, F.array("p0.own").alias("rows"), F.col("m"))
     many = values.filter(F.col("m") > SMALL).select(*by, picks.alias("rows"), F.col("m"))
     held = materialise(alone.unionByName(few.withColumn("m", F.size("rows").cast("long"))).unionByName(many), "held")
@@ -231,35 +271,17 @@ def met_in_bands(banded: DataFrame) -> DataFrame:
     bit = F.explode(F.sequence(F.lit(0), width))
     spread = held.repartition(max(1, math.ceil(held.count() / SPREAD)), *by)
     flipped = F.when(F.col("bit") < width, F.col("fingerprint").bitwiseXOR(F.call_function("shiftleft", one, F.col("bit")))).otherwise(F.col("fingerprint"))
-    variants = spread.withColumn("bit", bit).select("group", flipped.alias("variant"), "m", "rows")
-    buckets = variants.groupBy("group", "variant").agg(F.sum("m").alias("m"), F.collect_list("rows").alias("lists")).filter(F.size("lists") > 1)  # 33 lists of SMALL at most
-    crossing = F.flatten(F.transform("lists", lambda x, i: F.flatten(F.transform(F.slice("lists", i + 2, F.size("lists")), lambda y: _across(x, y)))))
-    everyone = F.flatten("lists")
+    variants = spread.withColumn("bit", bit).select("group", flipped.alias("variant"), "m", F.struct("fingerprint", "rows").alias("list"))
+    buckets = variants.groupBy("group", "variant").agg(F.sum("m").alias("m"), F.collect_list("list").alias("lists")).filter(F.size("lists") > 1)  # 33 lists of SMALL at most
+    lesser = lambda x, y: F.col("variant") <= F.col("variant").bitwiseXOR(x["fingerprint"]).bitwiseXOR(y["fingerprint"])  # noqa: E731  of the two variants that two have in common
+    following = lambda x, i: F.filter(F.slice("lists", i + 2, F.size("lists")), lambda y: lesser(x, y))
+    crossing = F.flatten(F.transform("lists", lambda x, i: F.flatten(F.transform(following(x, i), lambda y: _across(x["rows"], y["rows"])))))
+    everyone = F.flatten(F.transform("lists", lambda x: x["rows"]))
     nearest = F.slice(F.array_sort(F.transform(everyone, lambda x: F.struct(F.xxhash64(x["node"]).alias("h"), x.alias("own")))), 1, PICKS)
     pairs = F.when(F.col("m") <= SMALL, crossing).otherwise(_across(everyone, F.transform(nearest, lambda x: x["own"])))
-    inside = held.filter(F.col("m").between(2, SMALL)).select(F.explode(_within(F.col("rows"))).alias("p"))
-    dense = banded.join(many.select(*by, "rows"), by).select(F.explode(_across(F.array("own"), F.col("rows"))).alias("p"))
-    return buckets.select(F.explode(pairs).alias("p")).unionByName(inside).unionByName(dense).select("p.a", "p.b")
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(u, v), u > v: nodes that meet in a band, whose sizes allow SIMILAR and of whose bits NEAR_BITS differ at most."""
-    flat = nodes.select("node", "n", "prints", F.posexplode("anchors").alias("place", "anchor"))
-    shared = flat.groupBy("place", "anchor").agg(F.count("*").alias("m")).filter("m > 1")
-    bits = F.least(F.lit(MOST_BITS), F.ceil(F.log2("m")).cast("int") + SPARE_BITS)
-    count = F.element_at(F.array(*map(F.lit, BANDS)), F.col("bits") + 1)
-    met = flat.join(shared, ["place", "anchor"]).withColumn("bits", bits).withColumn("band", F.explode(F.sequence(F.lit(0), count - 1)))
-    print_ = F.element_at("prints", (F.col("place") + F.col("band")) % ANCHORS + 1)
-    cut = F.call_function("shiftright", print_, F.floor(F.col("band") / ANCHORS).cast("int") * MOST_BITS)
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
-    banded = materialise(met.select(F.xxhash64("place", "anchor", "band").alias("group"), "bits", cut.bitwiseAND(mask).alias("fingerprint"), F.struct("node", "n").alias("own")), "banded")
-
-    both = met_in_bands(banded).filter((F.col("a.node") != F.col("b.node")) & (F.least("a.n", "b.n") >= SIMILAR * F.greatest("a.n", "b.n")))
-    pairs = both.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
-    for end in ("u", "v"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("prints").alias(f"prints_{end}")), end)
-    differing = F.aggregate(F.zip_with("prints_u", "prints_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    return pairs.filter(differing <= NEAR_BITS).select("u", "v")
+    inside = held.filter(F.col("m").between(2, SMALL)).select(F.explode(_unlinked(_within(F.col("rows")))).alias("p"))
+    dense = stand.join(many.select(*by, "rows"), by).select(F.explode(_unlinked(_across(F.array("own"), F.col("rows")))).alias("p"))
+    return buckets.select(F.explode(_unlinked(pairs)).alias("p")).unionByName(inside).unionByName(dense).select("p.a", "p.b")
 
 
 def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -276,20 +298,36 @@ def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.filter(shared >= SIMILAR * (F.size("set_u") + F.size("set_v") - shared)).select("u", "v")
 
 
-def near_components(texts: DataFrame) -> DataFrame:
-    """(u, v): the smallest node of u's component, for every text of ``texts(node, doc, text)`` that is not that itself."""
-    nodes = materialise(sketches(texts), "nodes")
-    pairs = materialise(candidates(nodes), "candidates")
-    first = materialise(verified(texts, nodes, pairs.groupBy("u").agg(F.min("v").alias("v"))), "verified")
-    linked = components(first)
-    apart = pairs
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(u, v, bits), u > v: the distinct pairs (a, b), and how many of their bits differ."""
+    return pairs.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"), _bits(F.col("a.prints"), F.col("b.prints")).alias("bits")).distinct()
+
+
+def _between(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs (u, v) of different components of ``linked``."""
     for end in ("u", "v"):
         root = linked.select(F.col("u").alias(end), F.col("v").alias(f"root_{end}"))
-        apart = apart.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    apart = materialise(apart.filter("root_u <> root_v").select("u", "v").join(pairs.groupBy("u").agg(F.min("v").alias("v")), ["u", "v"], "left_anti"), "apart")
-    if apart.isEmpty():
-        return linked
-    return components(first.unionByName(verified(texts, nodes, apart)))
+        pairs = pairs.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    return pairs.filter("root_u <> root_v").select("u", "v")
+
+
+def near_components(texts: DataFrame) -> DataFrame:
+    """(u, v): the smallest node of u's component, for every text of ``texts(node, doc, text)`` that is not that itself.
+
+    First each text is compared with the nearest of those that head one of its fingerprints, then with the other ones that
+    this has not joined it to: families of copies become one component. Then what is still apart is compared pair by pair."""
+    nodes = materialise(sketches(texts), "nodes")
+    banded = bands(nodes)
+    heads = materialise(_ordered(stars(banded)), "heads")
+    nearest = heads.groupBy("u").agg(F.min_by("v", F.struct("bits", "v")).alias("v"))
+    found = materialise(verified(texts, nodes, nearest), "verified")
+    linked = components(found)
+    for pairs in (lambda: heads.select("u", "v").join(nearest, ["u", "v"], "left_anti"), lambda: _ordered(met_in_bands(banded, linked)).select("u", "v").join(heads, ["u", "v"], "left_anti")):
+        apart = materialise(_between(pairs(), linked), "apart")
+        if not apart.isEmpty():
+            found = found.unionByName(materialise(verified(texts, nodes, apart), "verified"))
+            linked = components(found)
+    return linked
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
