@@ -1,11 +1,13 @@
 """Column functions and templates against hand-made values."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom import storage
 from wordloom.functions import entries as fe
 from wordloom.functions import similarity as sim
 from wordloom.functions import uncertainty
@@ -68,6 +70,58 @@ def test_sound_classes(spark):
     assert got["aː?"] == (["aː", "?"], "V0", "", "")
 
 
+SEGMENTED = [
+    ("tʃɜːtʃ", "tʃ ɜː tʃ", "KVK"), ("t͡ʃɜːt͡ʃ", "t͡ʃ ɜː t͡ʃ", "KVK"), ("ʧɜːʧ", "ʧ ɜː ʧ", "KVK"), ("dʒʌdʒ", "dʒ ʌ dʒ", "KVK"), ("d͜ʒʌd͜ʒ", "d͜ʒ ʌ d͜ʒ", "KVK"),
+    ("tsaɪt", "ts aɪ t", "KVT"), ("pfɛɐ̯t", "pf ɛɐ̯ t", "PVT"), ("d̪z̪a", "d̪z̪ a", "KV"), ("atʰsa", "a tʰs a", "VKV"), ("tsʼa", "tsʼ a", "KV"), ("tɬʼa", "tɬʼ a", "TV"), ("qχa", "qχ a", "KV"),
+    ("sts", "s ts", "SK"), ("tsts", "ts ts", "KK"), ("tds", "t ds", "TK"), ("t-ʃa", "t ʃ a", "TSV"), ("t ʃa", "t ʃ a", "TSV"),
+    ("ttʃa", "ttʃ a", "KV"), ("mattʃa", "m a ttʃ a", "MVKV"), ("fatto", "f a tt o", "PVTV"), ("fatːo", "f a tː o", "PVTV"), ("fat to", "f a t t o", "PVTTV"), ("ʃʃ", "ʃʃ", "S"),
+    ("faɪə", "f aɪə", "PV"), ("teo", "t eo", "TV"), ("a-a", "a a", "VV"), ("ja", "j a", "JV"), ("ɥi", "ɥ i", "WV"), ("bɔ̃", "b ɔ̃", "PV"), ("bãː", "b ãː", "PV"),
+    ("ⁿdala", "ⁿd a l a", "TVRV"), ("aⁿda", "a ⁿd a", "VTV"), ("dⁿa", "dⁿ a", "TV"), ("kaʰt", "k a ʰt", "KVT"), ("tʰa", "tʰ a", "TV"), ("bʰaːɾət", "bʰ aː ɾ ə t", "PVRVT"), ("kʷa", "kʷ a", "KV"), ("aʲ", "aʲ", "V"),
+    ("ǃa", "ǃ a", "KV"), ("ŋǃʰa", "ŋǃʰ a", "KV"), ("kǃxa", "kǃx a", "KV"), ("ɡ͡ǁa", "ɡ͡ǁ a", "KV"), ("ʘa", "ʘ a", "KV"),
+    ("ma˥˩", "m a ˥˩", "MV1"), ("ma⁵¹", "m a ⁵¹", "MV1"), ("ni˧˥hɑʊ̯˨˩˦", "n i ˧˥ h ɑʊ̯ ˨˩˦", "NV1HV1"),
+    ("k͡pa", "k͡p a", "KV"), ("ʃtʁaːsə", "ʃ t ʁ aː s ə", "STKVSV"), ("ɪŋɡlɪʃ", "ɪ ŋ ɡ l ɪ ʃ", "VNKRVS"), ("", "", ""), ("͡", "", ""), ("ʰ", "", ""), ("??", "? ?", "00"),
+]
+
+
+def test_segments(spark):
+    """Affricates, clicks, diphthongs, doubled consonants and tones, one segment and one class each, however they are written."""
+    assert len({ipa for ipa, _, _ in SEGMENTED}) == len(SEGMENTED) >= 50
+    found = spark.createDataFrame([(ipa,) for ipa, _, _ in SEGMENTED], "ipa string")
+    got = {r.ipa: (" ".join(r.tokens), r.dolgo_classes) for r in sound_classes(found).collect()}
+    assert got == {ipa: (cut, classes) for ipa, cut, classes in SEGMENTED}
+    r = sound_classes(spark.createDataFrame([("ni˧˥hɑʊ̯˨˩˦",)], "ipa string")).first()
+    assert (r.dolgo_consonants, r.dolgo_first2) == ("N1H1", "N1")  # tones stay among the consonants; only vowels, unknown and blank go
+
+
+def test_prefixes_in_one_case(spark):
+    words = ["ßkeit", "SSK", "sska", "straße", "STRASSEN", "İzmir", "izmir", "Éclair", "éCLAT", "eclat"]
+    e = kept(spark, [entry(w, translations=[("x", "French")]) for w in words] + [entry("ssk", lang="French", translations=[("x", "English")]), entry("sskno")])
+    asked = ["ßK", "ssk", "ẞk", "STRASS", "straß", "S", "İ", "i", "I", "éc", "É", "e"]
+    got = {}
+    for r in concepts.suggest(spark.createDataFrame([(q,) for q in asked], "q string"), e, 20).collect():
+        got.setdefault(r.q, set()).add(r.concept)
+    sharp = {"ßkeit", "SSK", "sska"}
+    assert got["ßK"] == got["ssk"] == got["ẞk"] == sharp and got["STRASS"] == got["straß"] == {"straße", "STRASSEN"}
+    assert got["S"] == sharp | {"straße", "STRASSEN"} and got["İ"] == {"İzmir"} and got["éc"] == got["É"] == {"Éclair", "éCLAT"} and got["e"] == {"eclat"}
+    assert "izmir" in got["i"] and got["i"] == got["I"]
+
+
+def test_prefix_join_plans(spark):
+    """A small query set is broadcast, and no beginnings of words are shuffled; a large one joins by a shuffle, with the same rows."""
+    e = kept(spark, [entry(w) for w in ("fire", "fires", "fir", "wire", "Fire")])
+    asked = spark.createDataFrame([("fir",), ("fire",), ("x",), ("",)], "q string")
+    want = sorted([("fir", w, w == "fir") for w in ("fire", "fires", "fir")] + [("fire", "fire", True), ("fire", "fires", False)] + [("", w, False) for w in ("fire", "fires", "fir", "wire", "Fire")])
+    hits = lookup.prefix_hits(asked, e.select("word"))
+    assert "Exchange hashpartitioning" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.q, r.word, r.exact) for r in hits.collect()) == want
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert sorted((r.q, r.word, r.exact) for r in lookup.prefix_hits(asked, e.select("word")).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_best_ipa(spark):
     rows = [("a", [(None, None, "x.ogg", None), ("/t/", ["US"], None, None), ("/u/", None, None, None)]), ("b", [("/t/", [], None, None)]), ("c", []), ("d", None)]
     df = spark.createDataFrame(rows, "k string, sounds array<struct<ipa:string,tags:array<string>,ogg_url:string,mp3_url:string>>")
@@ -198,10 +252,41 @@ def test_strict_etymology(spark):
     assert loose == {"a": "0000", "b": "0000", "c": "0000", "d": "0001", "e": "0002", "f": "0002", "g": None}
 
 
-def test_hops_have_no_limit(spark):
-    line = spark.createDataFrame([("s", f"n{i}", f"n{i + 1}", "x") for i in range(9)], "seed_id string, from_id string, to_id string, label string")
+def plain_hops(starts, edges):
+    """(seed, id, hops) by a walk over each seed's edges."""
+    out = set()
+    for seed in {s for s, _ in starts}:
+        hops = {i: 0 for s, i in starts if s == seed}
+        k = 0
+        while any(h == k for h in hops.values()):
+            for s, a, b in edges:
+                for x, y in ((a, b), (b, a)):
+                    if s == seed and hops.get(x) == k:
+                        hops.setdefault(y, k + 1)
+            k += 1
+        out |= {(seed, i, h) for i, h in hops.items()}
+    return out
+
+
+@pytest.mark.parametrize("in_memory", [0, 12, graph.IN_MEMORY])
+def test_hops_have_no_limit(spark, in_memory):
+    """In a task, by rounds of joins, and some graphs so and some so."""
+    edges = [("s", f"n{i}", f"n{i + 1}") for i in range(9)] + [("s", "n3", "n3"), ("s", "n9", "n0")] + [("t", f"n{i}", f"n{i * 7 % 11}") for i in range(20)] + [("u", "x", "y")]
+    starts = [("s", "n0"), ("s", "n0"), ("t", "n1"), ("t", "n2"), ("v", "alone"), ("u", "elsewhere")]
+    got = graph.hop_distances(spark.createDataFrame(starts, "seed_id string, id string"), spark.createDataFrame([(*e, "x") for e in edges], "seed_id string, from_id string, to_id string, label string"), in_memory)
+    assert {(r.seed_id, r.id, r.hops) for r in got.collect()} == plain_hops(set(starts), edges) and got.count() == len(plain_hops(set(starts), edges))
+
+
+def test_hops_along_a_line(spark):
+    """200 nodes in a line take a few jobs, not one a hop."""
+    line = spark.createDataFrame([("s", f"n{i}", f"n{i + 1}", "x") for i in range(199)], "seed_id string, from_id string, to_id string, label string")
     start = spark.createDataFrame([("s", "n0")], "seed_id string, id string")
-    assert {r.id: r.hops for r in graph.hop_distances(start, line).collect()} == {f"n{i}": i for i in range(10)}
+    spark.sparkContext.setJobGroup("hops", "hops")
+    try:
+        assert {r.id: r.hops for r in graph.hop_distances(start, line).collect()} == {f"n{i}": i for i in range(200)}
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("hops")) < 10
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
 
 
 def build(spark, rows, seeds, **options):
@@ -248,13 +333,100 @@ def test_tree_cognate_rounds(spark):
     assert nodes == {"a:English": 0, "b:English": 0, "c:English": 0} and len(edges) == 2
 
 
+def test_rounds_leave_the_dictionary_where_it_lies(spark):
+    """No look-up of a tree shuffles the dictionary: only what it looks for."""
+    rows = [entry("a", templates=[t("inh", _1="en", _2="en", _3="b")]), entry("b", number=1), entry("b", number=2)]
+    e = kept(spark, rows)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        own = lookup.Dictionary(e)
+        wanted = storage.materialise(spark.createDataFrame([("s", "a", "English", 0, 1), ("s", "*b", "English", 0, None), ("s", "b", "English", 0, 2)], "seed_id string, word string, lang string, level int, etym int"))
+        found = lookup.numbered_or_any(wanted, own)
+        assert sorted((r.word, r.found_id) for r in found.collect()) == [("*b", "0001"), ("a", "0000"), ("b", "0002")]
+        met = found.join(own.facts.select(F.col("entry_id").alias("found_id"), "etymology_text"), "found_id", "left")
+        shown = met._jdf.queryExecution().executedPlan().toString().splitlines()
+        depth = [len(line) - len(line.lstrip(" :+-*|")) for line in shown]
+        scans = [i for i, line in enumerate(shown) if "Scan parquet" in line and ("wordloom_words" in line or "wordloom_facts" in line)]
+        assert len(scans) >= 3
+        for i in scans:  # upwards from a scan: a join is met before any exchange
+            above, d = [], depth[i]
+            for k in range(i - 1, -1, -1):
+                if depth[k] < d:
+                    above, d = [*above, shown[k]], depth[k]
+            assert "SortMergeJoin" in next(x for x in above if "Join" in x or "Exchange" in x), (shown[i], above)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_snapshots(spark, tmp_path):
+    """A write that fails, and one that is under way, leave readers the table as it was."""
+    path = f"file://{tmp_path}/table"
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "n int")
+    there = lambda: sorted(r.n for r in storage.read_published(spark, path).collect())
+    assert storage.published(spark, path) == []
+    storage.publish(rows(1, 2), path)
+    before = storage.read_published(spark, path)
+    with pytest.raises(Exception, match="no luck"):
+        storage.publish(rows(3, 4).withColumn("n", F.when(F.col("n") == 4, F.raise_error(F.lit("no luck"))).otherwise(F.col("n"))), path)
+    assert there() == [1, 2]
+    storage.publish(rows(5), path, add=True)
+    assert there() == [1, 2, 5]
+    storage.publish(storage.read_published(spark, path).filter("n > 1"), path)  # made of what it replaces
+    assert there() == [2, 5] and sorted(r.n for r in before.collect()) == [1, 2]
+    storage.publish(rows(9), path)
+    assert there() == [9] and len(list((tmp_path / "table").iterdir())) <= 4  # the oldest, and what failed, are gone
+    with pytest.raises(Exception, match="no luck"):
+        tables.write_entries(kept(spark, [entry("x")]).withColumn("word", F.raise_error(F.lit("no luck")).cast("string")), path, 2)
+    assert there() == [9]
+
+
+def plain_pairs(words, threshold):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    out = set()
+    for c, i, a in words:
+        for d, j, b in words:
+            if c == d and i < j and a and b:
+                sim = 1 - distance(a, b) / max(len(a), len(b))
+                match = len(a) >= 2 and len(b) >= 2 and a[:2] == b[:2]
+                if sim >= threshold or match:
+                    out.add((c, i, j, match))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.3, 0.5, 1.0])
+def test_pairs_of_small_and_large_concepts(spark, monkeypatch, threshold):
+    monkeypatch.setattr(concepts, "TOGETHER", 20)
+    rng = random.Random(6)
+    words = [(c, f"w{k:03d}", "".join(rng.choices("KTPRMNSH", k=rng.randint(0, 6)))) for c, n in (("hot", 90), ("warm", 21), ("cold", 20), ("tiny", 2)) for k in range(n)]
+    got = concepts.pairs(spark.createDataFrame(words, "concept string, id string, dolgo_consonants string"), threshold).collect()
+    assert {(r.concept, r.source, r.target, r.turchin_match) for r in got} == plain_pairs(words, threshold) and len(got) == len(plain_pairs(words, threshold))
+
+
+def test_hot_concept_is_spread(spark):
+    """The comparisons of one concept of 20,000 words are dealt to several tasks."""
+    rng = random.Random(8)
+    words = [("hot", f"w{k}", "".join(rng.choices("KTPRMNSHJW", k=3))) for k in range(20_000)]
+    large = storage.materialise(spark.createDataFrame(words, "concept string, id string, dolgo_consonants string"))
+    found = storage.materialise(concepts.pairs(large, 0.8).withColumn("task", F.spark_partition_id()))
+    made = {r.task: r["count"] for r in found.groupBy("task").count().collect()}
+    assert len(made) >= 3 and max(made.values()) < 0.6 * sum(made.values())
+
+
 def test_jobs(spark, tmp_path):
     e = kept(spark, [ALCHEMY, CHEMISTRY, CHUCKLE, entry("chuck", sounds=[("/tʃʌk/", None, None, None)]), entry("fire", translations=[("chuck", "English")], sounds=[("/faɪə/", None, None, None)])])
     e.drop("entry_id").write.json(f"file://{tmp_path}/in")
     jobs.load_dictionary(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", 2)
     jobs.load_dictionary(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", 2)  # nothing new the second time
-    assert spark.read.parquet(f"file://{tmp_path}/out/phonetics").count() == 2
-    assert spark.read.parquet(f"file://{tmp_path}/out/component_edges").filter("from_exists").count() == 1
+    assert storage.read_published(spark, f"file://{tmp_path}/out/phonetics").count() == 2
+    assert storage.read_published(spark, f"file://{tmp_path}/out/component_edges").filter("from_exists").count() == 1
     maps = jobs.concept_maps(spark, f"file://{tmp_path}/out", spark.createDataFrame([("fire",)], "concept string"))
     assert {r.id for r in maps["words"].collect()} == {"fire:English", "chuck:English"}
     nodes, _ = jobs.trees(spark, f"file://{tmp_path}/out", spark.createDataFrame([("s", "chuckle", "English")], "seed_id string, word string, lang string"))

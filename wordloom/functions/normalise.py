@@ -25,6 +25,11 @@ def strip_stars(word: Column) -> Column:
     return F.regexp_replace(word, r"^\*+", "")
 
 
+def one_case(word: Column) -> Column:
+    """In one case, in full: ``ß``, ``ẞ`` and ``ss`` are "SS" (the capital ``ẞ`` is its own in upper case); ``İ`` keeps its dot."""
+    return F.replace(F.upper(word), F.lit("ẞ"), F.lit("SS"))
+
+
 def fold(df: DataFrame, column: str, out: str) -> DataFrame:
     """``df`` with ``out``: NFKD of a column without non-spacing marks. Folded once per distinct form beyond ASCII."""
     forms = df.select(F.col(column).alias("__form")).filter(F.col("__form").rlike(r"[^\x00-\x7f]")).distinct()

@@ -12,6 +12,11 @@ def distance(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 0.0).otherwise(F.levenshtein(a, b) / longest)
 
 
+def distance_within(a: str, b: str, limit: Column) -> Column:
+    """Edit distance, or -1 where it is beyond the limit: found along the table's diagonal only."""
+    return F.call_function("levenshtein", F.col(a), F.col(b), limit)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - distance, not rounded: edges are made by this value."""
     return 1 - distance(a, b)

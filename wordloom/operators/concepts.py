@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import similarity as s
 from wordloom.functions.entries import all_glosses, arg, node_id, summary, templates
-from wordloom.operators.lookup import first_per, one_entry
+from wordloom.functions.normalise import one_case
+from wordloom.operators.lookup import begun_by, first_per, one_entry
 from wordloom.schema import COGNATE
+from wordloom.storage import materialise
 
 #: Hub words below which glosses are searched too.
 ENOUGH = 10
 THRESHOLD = 0.3
-#: Strings of a concept's symbol that one task compares with all others of it.
+#: Words of a concept that one task compares with all others of it.
 TOGETHER = 1000
 
 
@@ -24,11 +26,13 @@ def hubs(entries: DataFrame) -> DataFrame:
 
 
 def suggest(prefixes: DataFrame, entries: DataFrame, limit: int = 10) -> DataFrame:
-    """Per prefix (q): concepts that begin with it whatever the case, most translations first. Columns q, rank, concept, translation_count."""
+    """Per prefix (q): concepts that begin with it whatever the case, most translations first. Columns q, rank, concept, translation_count.
+
+    Both are brought to one case in full (``ß``, ``ẞ`` and ``SS`` are the same, ``İ`` and ``I`` are not) and compared as Unicode
+    does, accents included."""
     counted = entries.filter((F.col("lang") == "English") & (F.size(F.coalesce("translations", F.array())) > 0)).select(F.col("word").alias("concept"), "pos", F.size("translations").alias("translation_count"), "entry_id")
-    sizes = [r[0] for r in prefixes.select(F.length("q")).distinct().collect()]
-    keyed = counted.withColumn("key", F.explode(F.array_distinct(F.array(*(F.lower(F.substring("concept", 1, k)) for k in sizes)))))
-    hits = prefixes.select("q", F.lower("q").alias("key")).join(keyed, "key")
+    asked = prefixes.select("q").distinct().withColumn("__key", one_case(F.col("q")))
+    hits = begun_by(counted.withColumn("__folded", one_case(F.col("concept"))), "__folded", asked, "__key", "UNICODE_CI")
     order = Window.partitionBy("q").orderBy(F.desc("translation_count"), "concept", "pos", "entry_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("q", "rank", "concept", "pos", "translation_count")
 
@@ -79,29 +83,44 @@ def word_rows(members_: DataFrame, voiced: DataFrame) -> DataFrame:
     return members_.select("concept", "entry_id").join(shown, "entry_id")
 
 
+def _alike(a: str, b: str, threshold: float) -> Column:
+    """Can two strings be similar? Only where their lengths allow the threshold is a distance measured, and given up where
+    it goes beyond what the threshold allows: never too early, the similarity itself decides."""
+    allowed = F.floor((1 - threshold) * F.greatest(F.length(a), F.length(b))).cast("int") + 1
+    return _same_start(a, b) | ((F.abs(F.length(a) - F.length(b)) <= allowed) & (s.distance_within(a, b, allowed) >= 0))
+
+
+def _same_start(a: str, b: str) -> Column:
+    return s.first_two_match(F.substring(a, 1, 2), F.substring(b, 1, 2))
+
+
 def pairs(words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Similar pairs within a concept: concept, source, target (ordered), similarity (3 places), turchin_match, shared_classes.
 
-    Distinct consonant strings are compared once per concept; words come back by equality. Strings without a symbol in
-    common have a similarity of nothing, so strings meet by symbol, under the first that both have; large groups of one
-    symbol are dealt over several tasks. (A threshold of 0 asks for all pairs: one group.)
+    The words of a concept meet in one join on the concept. A concept of more than TOGETHER words is dealt into shares
+    instead, one side of a comparison having one share and the other all strings; there distinct strings are compared,
+    and words come back by equality. What isn't alike is dropped by the joins' own conditions.
     """
     usable = words.filter("dolgo_consonants <> ''").select("concept", "id", F.col("dolgo_consonants").alias("c"))
-    symbols = F.array_sort(F.array_distinct(F.split("c", ""))) if threshold > 0 else F.array(F.lit(""))
-    strings = usable.select("concept", "c").distinct().withColumn("symbols", symbols)
-    keyed = strings.select("concept", "c", "symbols", F.explode("symbols").alias("symbol"))
-    sizes = keyed.groupBy("concept", "symbol").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("shares"))
-    keyed = keyed.join(sizes, ["concept", "symbol"])
-    a = keyed.select("concept", "symbol", F.pmod(F.xxhash64("c"), F.col("shares")).cast("int").alias("share"), F.col("c").alias("a"), F.col("symbols").alias("sa"))
-    b = keyed.select("concept", "symbol", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("c").alias("b"), F.col("symbols").alias("sb"))
-    met = a.join(b, ["concept", "symbol", "share"]).filter((F.col("a") <= F.col("b")) & (F.array_min(F.array_intersect("sa", "sb")) == F.col("symbol")))
-    scored = met.select("concept", "a", "b")
-    two = lambda c: F.substring(c, 1, 2)
-    scored = scored.withColumns({"sim": s.similarity(F.col("a"), F.col("b")), "turchin_match": s.first_two_match(two("a"), two("b"))}).filter((F.col("sim") >= threshold) | F.col("turchin_match"))
-    left = usable.select("concept", F.col("c").alias("a"), F.col("id").alias("x"))
-    right = usable.select("concept", F.col("c").alias("b"), F.col("id").alias("y"))
-    met = scored.join(left, ["concept", "a"]).join(right, ["concept", "b"]).filter((F.col("a") < F.col("b")) | (F.col("x") < F.col("y")))
-    return met.select("concept", F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), s.rounded(F.col("sim")).alias("similarity"), "turchin_match", s.common_prefix(F.col("a"), F.col("b")).alias("shared_classes"))
+    large = usable.groupBy("concept").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("shares")).filter("shares > 1")
+    side = lambda df, k, x: df.select("concept", F.col("c").alias(k), F.col("id").alias(x))
+
+    few = usable.join(large, "concept", "left_anti")
+    a, b = side(few, "a", "x").alias("l"), side(few, "b", "y").alias("r")
+    near = a.join(b, (F.col("l.concept") == F.col("r.concept")) & (F.col("x") < F.col("y")) & _alike("a", "b", threshold)).select("l.concept", "x", "y", "a", "b")
+
+    many = usable.join(large, "concept")
+    strings = many.select("concept", "c", "shares").distinct()
+    a = strings.select("concept", F.pmod(F.xxhash64("c"), F.col("shares")).cast("int").alias("share"), F.col("c").alias("a"))
+    b = strings.select("concept", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("c").alias("b"))
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # asked for, as shares are few bytes and much work
+    a, b = (x.repartition(tasks, "concept", "share").alias(n) for x, n in ((a, "l"), (b, "r")))
+    met = a.join(b, (F.col("l.concept") == F.col("r.concept")) & (F.col("l.share") == F.col("r.share")) & (F.col("a") <= F.col("b")) & _alike("a", "b", threshold)).select("l.concept", "a", "b")
+    met = met.filter((s.similarity(F.col("a"), F.col("b")) >= threshold) | _same_start("a", "b"))
+    met = met.join(side(many, "a", "x"), ["concept", "a"]).join(side(many, "b", "y"), ["concept", "b"]).filter((F.col("a") < F.col("b")) | (F.col("x") < F.col("y")))
+
+    found = near.unionByName(met).withColumns({"sim": s.similarity(F.col("a"), F.col("b")), "turchin_match": _same_start("a", "b")}).filter((F.col("sim") >= threshold) | F.col("turchin_match"))
+    return found.select("concept", F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), s.rounded(F.col("sim")).alias("similarity"), "turchin_match", s.common_prefix(F.col("a"), F.col("b")).alias("shared_classes"))
 
 
 def select_pairs(edges: DataFrame, threshold: float) -> DataFrame:
@@ -127,8 +146,10 @@ def cognate_links(members_: DataFrame, entries: DataFrame) -> DataFrame:
 def mention_links(members_: DataFrame, entries: DataFrame, least: int = 3) -> DataFrame:
     """Members whose spelling (three letters or more) a member's text contains: concept, source, target.
 
-    Spellings meet texts by their first letters, which must occur in the text; only what so meets is looked up in it."""
-    texts = entries.select("entry_id", "etymology_text").filter(F.length("etymology_text") >= least)
+    Only members' texts are read, once. Spellings meet them by their first letters, which must occur in the text; only what
+    so meets is looked up in it."""
+    own = entries.select("entry_id", "etymology_text").filter(F.length("etymology_text") >= least)
+    texts = materialise(own.join(members_.select("entry_id").distinct(), "entry_id", "left_semi"), "texts")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("etymology_text") - least + 1), lambda i: F.substring(F.col("etymology_text"), i, F.lit(least))))
     beginnings = texts.select("entry_id", F.explode(grams).alias("gram"))
     sources = members_.select("concept", "entry_id", node_id(F.col("word"), F.col("lang")).alias("source")).join(beginnings, "entry_id")

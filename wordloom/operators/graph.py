@@ -7,9 +7,11 @@ component, descendant, cognate), an edge its first label.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,14 @@ from wordloom.functions.entries import node_id
 from wordloom.functions.languages import era_tier, family
 from wordloom.functions.uncertainty import classify
 from wordloom.operators import edges as component
-from wordloom.operators.lookup import first_per, resolve, with_etymology
-from wordloom.operators.templates import ancestry, ancestry_array, cognates, mentions, with_codes
+from wordloom.operators.lookup import Dictionary, first_per, numbered_or_any, resolve
+from wordloom.operators.templates import ancestry_array, cognates, mentions, with_codes, with_names
 from wordloom.schema import ANCESTRY, ENTRY_ORDER
-from wordloom.storage import materialise
+from wordloom.storage import clustered, materialise
 
 CHILDREN = 50
+#: Edges of a graph that one task holds (some 20 MB).
+IN_MEMORY = 100_000
 COMPONENT_ROUNDS = 3
 COGNATE_ROUNDS = 2
 _EDGE = ["seed_id", "from_id", "to_id", "label"]
@@ -31,8 +35,10 @@ _EDGE = ["seed_id", "from_id", "to_id", "label"]
 def chains(found: DataFrame, entries: DataFrame, names: DataFrame, types: Iterable[str] = (), depth: int = 10) -> DataFrame:
     """Ancestors of resolved words. ``found`` has seed_id, word, lang, level and found_id; the result one row per
     ancestor: seed_id, word, lang, base, ord, anc_word, anc_code, anc_lang, type, id, previous."""
-    rows = ancestry(entries, names, types).filter(F.col("ord") <= depth).select(F.col("entry_id").alias("found_id"), "ord", "anc_word", "anc_code", "anc_lang", "type")
-    joined = found.select("seed_id", "word", "lang", F.col("level").alias("base"), "found_id").join(rows, "found_id")
+    own = entries.select(F.col("entry_id").alias("found_id"), "etymology_templates")
+    met = found.select("seed_id", "word", "lang", F.col("level").alias("base"), "found_id").join(own, "found_id")
+    steps = met.select("seed_id", "word", "lang", "base", "found_id", F.posexplode(F.slice(ancestry_array(types), 1, depth)).alias("p", "a"))
+    joined = with_names(steps.select("seed_id", "word", "lang", "base", "found_id", (F.col("p") + 1).alias("ord"), F.col("a.word").alias("anc_word"), F.col("a.lang_code").alias("anc_code"), F.col("a.type").alias("type")), names, "anc_code", "anc_lang")
     own = node_id(F.col("anc_word"), F.col("anc_lang"))
     order = Window.partitionBy("seed_id", "word", "lang", "base", "found_id").orderBy("ord")
     return joined.withColumn("id", own).withColumn("previous", F.coalesce(F.lag("id").over(order), node_id(F.col("word"), F.col("lang")))).drop("found_id")
@@ -75,12 +81,13 @@ def children(entries: DataFrame, types: Iterable[str] = ANCESTRY) -> DataFrame:
     return own.select("parent_word", "parent_code", "word", "lang", "lang_code", F.col("first.type").alias("type"))
 
 
-def mention_edges(found: DataFrame, entries: DataFrame, names: DataFrame, types: Iterable[str] = ()) -> DataFrame:
+def mention_edges(found: DataFrame, entries: DataFrame, names: DataFrame, types: Iterable[str] = (), known_in: Dictionary | None = None) -> DataFrame:
     """For resolved words without ancestry: existing mentioned words. seed_id, word, lang, level, mention, mention_lang, role."""
-    bare = entries.filter(F.size(ancestry_array(types)) == 0)
+    met = entries.join(found.select(F.col("found_id").alias("entry_id")).distinct(), "entry_id", "left_semi")
+    bare = met.filter(F.size(ancestry_array(types)) == 0)
     said = mentions(bare, names).select(F.col("entry_id").alias("found_id"), "mention", "mention_lang", "role")
     rows = found.select("seed_id", "word", "lang", "level", "found_id").join(said, "found_id")
-    known = resolve(rows.select("mention", "mention_lang").distinct(), entries, "mention", "mention_lang").filter("found_id IS NOT NULL")
+    known = resolve(rows.select("mention", "mention_lang").distinct(), known_in or entries, "mention", "mention_lang").filter("found_id IS NOT NULL")
     return rows.drop("found_id").join(known.select("mention", "mention_lang"), ["mention", "mention_lang"], "left_semi")
 
 
@@ -98,19 +105,27 @@ def merge_edges(discovered: DataFrame) -> DataFrame:
 
 
 class Trees:
-    """Builds the trees of many seeds together; every round is written to the shared folder."""
+    """Builds the trees of many seeds together, round by round. Every round is written to the shared folder. What a round
+    finds is compared with one table of all edges so far, to which only what is new is added; the dictionary and this table
+    are dealt out in buckets, so a round shuffles its own rows only."""
 
-    def __init__(self, entries: DataFrame, components: DataFrame, names: DataFrame, types: Iterable[str] = ("inh",), max_ancestors: int = 10, max_descendants: int = 3):
+    def __init__(self, entries: DataFrame | Dictionary, components: DataFrame, names: DataFrame, types: Iterable[str] = ("inh",), max_ancestors: int = 10, max_descendants: int = 3):
         asked = [t for t in types if t in (*ANCESTRY, "cog")]
         self.types = tuple(t for t in asked if t != "cog")
         if not asked:
             self.types = ("inh",)
         self.with_cognates = "cog" in asked
-        self.entries, self.components, self.names = entries, components, names
+        self.dictionary = entries if isinstance(entries, Dictionary) else Dictionary(entries)
+        self.facts, self.names = self.dictionary.facts, names
+        there = components.filter("from_exists").select("to_word", "to_lang", "from_word", "from_lang", "edge_type").distinct()
+        self.components, _ = clustered(there.withColumn("from_exists", F.lit(True)), "components", "to_word", "to_lang")
         self.depth, self.down = max_ancestors, max_descendants
-        self.children = materialise(children(entries, self.types)) if self.types else None
+        self.children = None
+        if self.types and not isinstance(entries, Dictionary):
+            self.children, _ = clustered(children(entries, self.types), "children", "parent_word", "parent_code")
         self.nodes: list[DataFrame] = []
-        self.edges: list[DataFrame] = []
+        self.visited: DataFrame | None = None
+        self._name: str | None = None
         self.at = 0
 
     def _node(self, rows: DataFrame, word: str, lang: str, level: Column, uncertainty: Column | None = None) -> None:
@@ -120,21 +135,21 @@ class Trees:
         )
 
     def _edge(self, rows: DataFrame) -> DataFrame:
-        """Keep the edges that are new."""
-        rows = rows.dropDuplicates(["seed_id", "from_id", "to_id"])
-        if self.edges:
-            rows = rows.join(self._all_edges(), ["seed_id", "from_id", "to_id"], "left_anti")
+        """Add the edges that are new to those visited; gives their rows. Of an edge found twice in a round, the smallest
+        label and the level nearest to the seed's count."""
+        level = [F.abs("level"), "level"] if "level" in rows.columns else []
+        rows = first_per(rows, _EDGE[:3], ["label", *level])
+        if self.visited is not None:
+            rows = rows.join(self.visited.select(*_EDGE[:3]), _EDGE[:3], "left_anti")
         rows = materialise(rows)
-        self.edges.append(rows.select(*_EDGE, F.lit(self.at).alias("at")))
+        if not rows.isEmpty():
+            self.visited, self._name = clustered(rows.select(*_EDGE, F.lit(self.at).alias("at")), "visited", *_EDGE[:3], onto=self._name)
         self.at += 1
         return rows
 
-    def _all_edges(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.edges)
-
     def _chain(self, found: DataFrame) -> DataFrame:
         """Adds the chains; gives all their words, the first one included: seed_id, word, lang, code, level."""
-        rows = materialise(chains(found, self.entries, self.names, self.types, self.depth))
+        rows = materialise(chains(found, self.facts, self.names, self.types, self.depth))
         self._node(rows, "anc_word", "anc_lang", F.col("base") - F.col("ord"))
         self._edge(rows.select("seed_id", F.col("id").alias("from_id"), F.col("previous").alias("to_id"), F.col("type").alias("label")))
         start = with_codes(found.select("seed_id", "word", "lang", "level"), self.names, "lang", "code")
@@ -143,14 +158,15 @@ class Trees:
 
     def _expand(self, wanted: DataFrame, skip: DataFrame | None) -> None:
         """``wanted``: seed_id, word, lang, level, etym."""
-        located = with_etymology(wanted, self.entries, strict=False)
-        about = self.entries.select(F.col("entry_id").alias("found_id"), classify().alias("c"))
-        found = materialise(located.join(about, "found_id", "left"))
+        located = numbered_or_any(wanted, self.dictionary)
+        about = self.facts.select(F.col("entry_id").alias("found_id"), "etymology_text", "etymology_templates")
+        found = located.join(about, "found_id", "left").withColumn("c", classify()).drop("etymology_text", "etymology_templates")
+        found = materialise(found)
         self._node(found, "word", "lang", F.col("level"), F.when(F.col("c.is_uncertain"), F.col("c")))
         found = found.filter("found_id IS NOT NULL")
         chain = self._chain(found)
 
-        said = materialise(mention_edges(found, self.entries, self.names, self.types))
+        said = materialise(mention_edges(found, self.facts, self.names, self.types, self.dictionary))
         self._node(said, "mention", "mention_lang", F.col("level") - 1)
         self._edge(said.select("seed_id", node_id(F.col("mention"), F.col("mention_lang")).alias("from_id"), node_id(F.col("word"), F.col("lang")).alias("to_id"), F.col("role").alias("label")))
 
@@ -162,12 +178,14 @@ class Trees:
             if left == 1 or new.isEmpty():
                 break
             traced = new.select("seed_id", F.col("from_word").alias("word"), F.col("from_lang").alias("lang"), (F.col("level") - 1).alias("level")).distinct()
-            words = self._chain(resolve(traced, self.entries).filter("found_id IS NOT NULL"))
+            words = self._chain(resolve(traced, self.dictionary).filter("found_id IS NOT NULL"))
 
         if self.children is not None:
-            self._descend(chain, skip)
+            self.descend(chain, skip)
+
+    def descend(self, chain: DataFrame, skip: DataFrame | None = None) -> None:
+        """Adds the children of ``chain(seed_id, word, lang, code, level)`` and theirs, but none of the ``skip(seed_id, id)``."""
 
-    def _descend(self, chain: DataFrame, skip: DataFrame | None) -> None:
         def allowed(rows: DataFrame) -> DataFrame:
             return rows if skip is None else rows.withColumn("id", node_id(F.col("word"), F.col("lang"))).join(skip, ["seed_id", "id"], "left_anti").drop("id")
 
@@ -181,7 +199,14 @@ class Trees:
                 return
             frontier = allowed(new.select("seed_id", F.col("child").alias("word"), F.col("child_lang").alias("lang"), F.col("child_code").alias("code"), (F.col("level") + 1).alias("level")))
 
+    def edges(self) -> DataFrame:
+        """All edges so far: seed_id, from_id, to_id, label."""
+        if self.visited is None:
+            return self.facts.sparkSession.createDataFrame([], "seed_id string, from_id string, to_id string, label string")
+        return merge_edges(self.visited)
+
     def _merged(self) -> DataFrame:
+        """All nodes so far, each as it was found first."""
         return materialise(merge_nodes(reduce(DataFrame.unionByName, self.nodes)))
 
     def build(self, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -196,8 +221,10 @@ class Trees:
         done = None
         for _ in range(COGNATE_ROUNDS if self.with_cognates else 0):
             fresh = nodes if done is None else nodes.join(done, ["seed_id", "id"], "left_anti")
-            located = resolve(fresh.select("seed_id", "id", "level", F.col("label").alias("word"), F.col("language").alias("lang")), self.entries)
-            cogs = cognates(self.entries, self.names).select(F.col("entry_id").alias("found_id"), "cog_word", "cog_lang")
+            located = resolve(fresh.select("seed_id", "id", "level", F.col("label").alias("word"), F.col("language").alias("lang")), self.dictionary).filter("found_id IS NOT NULL")
+            located = materialise(located.select("seed_id", "id", "level", "found_id"))
+            met = self.facts.join(located.select(F.col("found_id").alias("entry_id")).distinct(), "entry_id", "left_semi")
+            cogs = cognates(met, self.names).select(F.col("entry_id").alias("found_id"), "cog_word", "cog_lang")
             met = materialise(located.join(cogs, "found_id").withColumn("cog_id", node_id(F.col("cog_word"), F.col("cog_lang"))))
             done = nodes.select("seed_id", "id")
             self._edge(met.select("seed_id", F.col("id").alias("from_id"), F.col("cog_id").alias("to_id"), F.lit("cog").alias("label")))
@@ -207,7 +234,7 @@ class Trees:
                 break
             self._expand(new, skip)
             nodes = self._merged()
-        return nodes, merge_edges(self._all_edges())
+        return nodes, self.edges()
 
 
 # Measures of graphs.
@@ -219,17 +246,48 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.select("seed_id", F.col("to_id").alias("id"), F.col("from_id").alias("other"), "label"))
 
 
-def hop_distances(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(seed_id, id, hops) from the start (seed_id, id) over undirected edges, until nothing new is reached."""
-    steps = materialise(both_ways(edges).select("seed_id", "id", "other").distinct())
-    reached = frontier = materialise(starts.select("seed_id", "id", F.lit(0).alias("hops")))
+def _within_task(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``hop_distances`` of graphs that one task can hold, each walked through in memory."""
+
+    def walk(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        others: dict[str, list[str]] = defaultdict(list)
+        for a, b in zip(links["from_id"], links["to_id"], strict=True):
+            others[a].append(b)
+            others[b].append(a)
+        hops = dict.fromkeys(own["id"], 0)
+        frontier = list(hops)
+        while frontier:
+            frontier = [b for a in frontier for b in others[a] if hops.setdefault(b, hops[a] + 1) == hops[a] + 1]
+            frontier = list(dict.fromkeys(frontier))
+        seeds = [own["seed_id"].iloc[0]] * len(hops) if hops else []
+        return pd.DataFrame({"seed_id": seeds, "id": list(hops), "hops": list(hops.values())})
+
+    return starts.groupBy("seed_id").cogroup(edges.groupBy("seed_id")).applyInPandas(walk, "seed_id string, id string, hops int")
+
+
+def hop_distances(starts: DataFrame, edges: DataFrame, in_memory: int = IN_MEMORY) -> DataFrame:
+    """(seed_id, id, hops) from the start (seed_id, id) over undirected edges, until nothing new is reached.
+
+    A graph of ``in_memory`` edges or fewer is walked through within its task, all such graphs in one job. Larger ones are
+    walked together by joins, a round for each hop; rounds are added to one table of all that is reached."""
+    starts = starts.select("seed_id", "id").distinct()
+    links = edges.select("seed_id", F.least("from_id", "to_id").alias("from_id"), F.greatest("from_id", "to_id").alias("to_id")).filter("from_id < to_id").distinct()
+    large = links.groupBy("seed_id").agg(F.count("*").alias("n")).filter(F.col("n") > in_memory).select("seed_id")
+    if large.isEmpty():
+        return _within_task(starts, links)
+    large, links = materialise(large), materialise(links)
+    few = _within_task(starts.join(large, "seed_id", "left_anti"), links.join(large, "seed_id", "left_anti"))
+    steps = links.unionByName(links.select("seed_id", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
+    steps, _ = clustered(steps.join(large, "seed_id", "left_semi"), "steps", "seed_id", "from_id")
+    frontier = materialise(starts.join(large, "seed_id", "left_semi").withColumn("hops", F.lit(0)))
+    reached, name = clustered(frontier, "reached", "seed_id", "id")
     k = 0
     while not frontier.isEmpty():
         k += 1
-        new = frontier.join(steps, ["seed_id", "id"]).select("seed_id", F.col("other").alias("id")).distinct().join(reached, ["seed_id", "id"], "left_anti")
-        frontier = materialise(new.withColumn("hops", F.lit(k)))
-        reached = reached.unionByName(frontier)
-    return reached
+        new = frontier.join(steps, (frontier["seed_id"] == steps["seed_id"]) & (frontier["id"] == steps["from_id"])).select(frontier["seed_id"], F.col("to_id").alias("id")).distinct()
+        frontier = materialise(new.join(reached.select("seed_id", "id"), ["seed_id", "id"], "left_anti").withColumn("hops", F.lit(k)))
+        reached, _ = clustered(frontier, "reached", "seed_id", "id", onto=name)
+    return few.unionByName(reached)
 
 
 def neighbours(focus: DataFrame, edges: DataFrame) -> DataFrame:

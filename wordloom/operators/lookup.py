@@ -9,6 +9,7 @@ from wordloom.functions import entries as of
 from wordloom.functions.normalise import normalise
 from wordloom.functions.uncertainty import classify
 from wordloom.operators.templates import mentions
+from wordloom.storage import clustered, materialise
 
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -23,13 +24,37 @@ def one_entry(entries: DataFrame) -> DataFrame:
     return first_per(usable, ["word", "lang"], [F.asc_nulls_first("pos"), F.asc_nulls_first("etymology_number"), "entry_id"])
 
 
-def resolve(wanted: DataFrame, entries: DataFrame, word: str = "word", lang: str = "lang") -> DataFrame:
+class Dictionary:
+    """Entries as look-ups ask for them, round after round: two tables that are dealt out once, so that a round shuffles
+    what it looks for, never the dictionary.
+
+    ``words``: word, lang, entry_id (the first entry), numbered (number, pos, entry_id of all that have a number, in this
+    order), in buckets of word and lang. ``facts``: what templates and text say of each entry, in buckets of entry_id."""
+
+    def __init__(self, entries: DataFrame):
+        usable = entries.filter(F.col("word").isNotNull() & F.col("lang").isNotNull())
+        first = F.min(F.struct("pos", "etymology_number", "entry_id"))  # missing values come first
+        numbered = F.collect_list(F.when(F.col("etymology_number").isNotNull(), F.struct(F.col("etymology_number").alias("number"), "pos", "entry_id")))  # of one word
+        words = usable.groupBy("word", "lang").agg(first.alias("f"), F.sort_array(numbered).alias("numbered")).select("word", "lang", F.col("f.entry_id").alias("entry_id"), "numbered")
+        self.words, _ = clustered(words, "words", "word", "lang")
+        self.facts, _ = clustered(entries.select("entry_id", "word", "lang", "lang_code", "etymology_text", "etymology_templates"), "facts", "entry_id")
+
+    def known(self) -> DataFrame:
+        return self.words.select(F.col("word").alias("__w"), F.col("lang").alias("__l"), F.col("entry_id").alias("__id"))
+
+
+def _known(entries: DataFrame | Dictionary) -> DataFrame:
+    if isinstance(entries, Dictionary):
+        return entries.known()
+    return one_entry(entries).select(F.col("word").alias("__w"), F.col("lang").alias("__l"), F.col("entry_id").alias("__id"))
+
+
+def resolve(wanted: DataFrame, entries: DataFrame | Dictionary, word: str = "word", lang: str = "lang") -> DataFrame:
     """``wanted`` with ``found_id``, ``found_word`` and ``how`` (exact, normalised or null).
 
     The exact form first; the normalised form of the wanted word only where that fails. Stored words are not changed.
     """
-    known = one_entry(entries).select(F.col("word").alias("__w"), F.col("lang").alias("__l"), F.col("entry_id").alias("__id"))
-    return _located(wanted, known, word, lang)
+    return _located(wanted, _known(entries), word, lang)
 
 
 def _located(wanted: DataFrame, known: DataFrame, word: str, lang: str) -> DataFrame:
@@ -39,13 +64,22 @@ def _located(wanted: DataFrame, known: DataFrame, word: str, lang: str) -> DataF
         F.array(F.struct(F.lit(0).alias("k"), F.col(word).alias("w")), F.struct(F.lit(1).alias("k"), F.col("__norm").alias("w")))
     )
     forms = both.select(F.col(word).alias("__from"), F.col(lang).alias("__lang"), F.explode(tries).alias("t")).distinct()
-    hits = forms.join(known, (F.col("t.w") == F.col("__w")) & (F.col("__lang") == F.col("__l")))
+    forms = forms.select("__from", "__lang", "t", F.col("t.w").alias("__try"))
+    hits = forms.join(known, (F.col("__try") == F.col("__w")) & (F.col("__lang") == F.col("__l")))
     best = hits.groupBy("__from", "__lang").agg(F.min(F.struct("t.k", "__w", "__id")).alias("b"))
     joined = both.drop("__norm").join(best, (F.col(word) == F.col("__from")) & (F.col(lang) == F.col("__lang")), "left")
     how = F.when(F.col("b.k") == 0, "exact").when(F.col("b.k") == 1, "normalised")
     return joined.withColumns({"found_id": F.col("b.__id"), "found_word": F.col("b.__w"), "how": how}).drop("__from", "__lang", "b")
 
 
+def numbered_or_any(wanted: DataFrame, entries: Dictionary) -> DataFrame:
+    """``with_etymology`` that isn't strict, over a dictionary that is dealt out."""
+    stored = entries.words.select("word", "lang", "numbered")
+    of = F.try_element_at(F.filter("numbered", lambda x: x["number"] == F.col("etym")), F.lit(1))["entry_id"]
+    exact = wanted.join(stored, ["word", "lang"], "left").withColumn("__numbered", of).drop("numbered")
+    return resolve(exact, entries).withColumn("found_id", F.coalesce("__numbered", "found_id")).drop("__numbered", "found_word", "how")
+
+
 def with_etymology(wanted: DataFrame, entries: DataFrame, strict: bool) -> DataFrame:
     """``wanted(word, lang, etym)`` with ``found_id``: the entry of that number, and without a number any.
 
@@ -74,14 +108,21 @@ def polysemy(entries: DataFrame, most: int = 20) -> DataFrame:
     return ranked.withColumn("__n", F.count("*").over(w)).filter("__n >= 2").drop("__k", "__n")
 
 
-def prefix_hits(queries: DataFrame, found: DataFrame) -> DataFrame:
-    """``found(word, ...)`` for each query (q) that a word equals or begins with, case-sensitive and literal, with ``exact``.
+def begun_by(rows: DataFrame, word: str, queries: DataFrame, key: str, collation: str | None = None) -> DataFrame:
+    """``rows`` joined with the ``queries`` whose ``key`` their ``word`` equals or begins with.
 
-    Words meet queries by their first letters, one row per length of query, so a query set joins by equality.
-    """
-    sizes = [r[0] for r in queries.select(F.length("q")).distinct().collect()]
-    starts = found.withColumn("q", F.explode(F.array_distinct(F.array(*(F.substring("word", 1, k) for k in sizes))))) if sizes else found.withColumn("q", F.lit(None).cast("string"))
-    return starts.join(queries.select("q").distinct(), "q").withColumn("exact", F.col("word") == F.col("q"))
+    The queries are written first, so that their size is known when the join is planned: within Spark's own limit they are
+    broadcast, and words meet them where they lie, without a shuffle of their beginnings; beyond it both are shuffled."""
+    alike = lambda c: F.collate(c, collation) if collation else c
+    asked = materialise(queries, "asked")
+    starts = F.transform(F.sequence(F.lit(0), F.length(word)), lambda k: F.substring(F.col(word), F.lit(1), k))
+    begun = rows.withColumn("__start", F.explode(starts))
+    return begun.join(asked, alike(F.col("__start")) == alike(F.col(key))).drop("__start")
+
+
+def prefix_hits(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """``found(word, ...)`` for each query (q) that a word equals or begins with, case-sensitive and literal, with ``exact``."""
+    return begun_by(found, "word", queries.select("q").distinct(), "q").withColumn("exact", F.col("word") == F.col("q"))
 
 
 def search(queries: DataFrame, entries: DataFrame, limit: int = 20) -> DataFrame:

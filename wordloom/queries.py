@@ -16,7 +16,7 @@ from wordloom.functions.phonetics import sound_classes
 from wordloom.operators import audit, concepts, edges, graph, lookup, templates
 from wordloom.schema import AFFIXES
 from wordloom.sources import lexicon, tables
-from wordloom.storage import materialise, scratch_path
+from wordloom.storage import materialise, read_published, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,8 +88,8 @@ gn0 AS (
 g_nodes AS (SELECT seed_id, id, min(language) AS language, first(level ORDER BY found, abs(level), level) AS level FROM gn0 GROUP BY seed_id, id),
 both_ways AS (SELECT seed_id, from_id AS id, to_id AS other, label FROM g_edges UNION ALL SELECT seed_id, to_id, from_id, label FROM g_edges)
 """
-PHON = """, phon AS (
-  SELECT entry_id, word, lang, lang_code, pos, etym, ipa, translate(ipa, 'aeiouybdfpgckqxhjlrmnstvwz', 'VVVVVVPTPPKKKKKHJRRMNSTWWS') AS classes FROM ent WHERE has_sounds),
+PHON = f""", phon AS (
+  SELECT entry_id, word, lang, lang_code, pos, etym, ipa, {lexicon.CLASSES.format('ipa')} AS classes FROM ent WHERE has_sounds),
 voiced AS (
   SELECT *, replace(classes, 'V', '') AS cons, left(replace(classes, 'V', ''), 2) AS first2
   FROM (SELECT *, row_number() OVER (PARTITION BY word, lang ORDER BY pos NULLS FIRST, etym NULLS FIRST, entry_id) AS k FROM phon WHERE ipa IS NOT NULL) WHERE k = 1)
@@ -101,7 +101,7 @@ by_hub AS (
 counted AS (SELECT concept, coalesce(n, 0) AS n, hub.concept IS NOT NULL AS has_hub FROM asked LEFT JOIN (SELECT concept, count(*) AS n FROM by_hub GROUP BY concept) USING (concept) LEFT JOIN hub USING (concept)),
 glossed AS (SELECT entry_id, word, lang, gloss FROM (
   SELECT entry_id, lower('gloss of ' || word) AS gloss FROM body UNION SELECT entry_id, lower('second of ' || word) FROM body
-  UNION SELECT entry_id, lower(upper(hub)) FROM body WHERE r IS NOT NULL AND r % 10 IN (1, 2)) JOIN voiced USING (entry_id)),
+  UNION SELECT entry_id, lower(hub) FROM body WHERE r IS NOT NULL AND r % 10 IN (1, 2)) JOIN voiced USING (entry_id)),
 by_gloss AS (SELECT DISTINCT a.concept, entry_id, word, lang FROM asked a JOIN glossed g ON g.gloss = lower(a.concept)),
 added AS (
   SELECT g.* FROM by_gloss g JOIN counted c ON c.concept = g.concept AND c.n < 10
@@ -153,7 +153,7 @@ def a01(spark, sf_dir):
 def a02(spark, sf_dir):
     path = scratch_path(spark, "words")
     tables.write_entries(lexicon.entries(spark, sf_dir), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return spark.read.parquet(path).select("entry_id", "word", "lang", "pos")
+    return read_published(spark, path).select("entry_id", "word", "lang", "pos")
 
 
 @query("a03_languages", "SELECT DISTINCT lang_code, lang FROM ent")
@@ -168,7 +168,7 @@ def a04(spark, sf_dir):
     found = edges.with_existence(templates.component_edges(entries, names), entries)
     tables.write_component_edges(found, path, reprocess=True)
     tables.write_component_edges(found.limit(0), path)  # there are some: left alone
-    return spark.read.parquet(path).select("entry_id", "from_word", "from_lang", "to_word", "to_lang", "source_template", "from_exists")
+    return read_published(spark, path).select("entry_id", "from_word", "from_lang", "to_word", "to_lang", "source_template", "from_exists")
 
 
 @query("a05_new_phonetics", PHON + "SELECT entry_id, ipa, classes AS dolgo_classes, replace(classes, 'V', '') AS dolgo_consonants FROM phon WHERE length(word) % 2 = 1")
@@ -291,7 +291,7 @@ def b12(spark, sf_dir):
     return lexicon.entries(spark, sf_dir).select("entry_id", uncertainty.classify().alias("u")).select("entry_id", "u.*")
 
 
-_GLOSSES = "'gloss of ' || word || '|second of ' || word || CASE WHEN r IS NOT NULL AND r % 10 IN (1, 2) AND hub IS NOT NULL THEN '|' || upper(hub) ELSE '' END"
+_GLOSSES = "'gloss of ' || word || '|second of ' || word || CASE WHEN r IS NOT NULL AND r % 10 IN (1, 2) AND hub IS NOT NULL THEN '|' || " + lexicon.RAISED.format('hub') + " ELSE '' END"
 
 
 @query("b13_glosses", f"SELECT entry_id, CASE WHEN pos = 'root' THEN '' ELSE {_GLOSSES} END AS glosses FROM ent")
@@ -299,7 +299,7 @@ def b13(spark, sf_dir):
     return lexicon.entries(spark, sf_dir).select("entry_id", F.array_join(fe.all_glosses(F.col("senses")), "|").alias("glosses"))
 
 
-_FIRST_IPA = "CASE WHEN asc_ AND len % 7 = 0 THEN '[' || word || ']' WHEN asc_ AND len % 2 = 0 THEN '/x' || word || '/' WHEN asc_ THEN '/' || word || './' END"
+_FIRST_IPA = "CASE WHEN asc_ AND len % 7 = 0 THEN '[' || ipa || ']' WHEN asc_ AND len % 2 = 0 THEN '/x' || ipa || '/' WHEN asc_ THEN '/' || ipa || './' END"
 _AUDIO = "CASE WHEN asc_ AND len % 7 = 0 THEN NULL WHEN asc_ AND len % 2 = 0 THEN word || '.ogg' WHEN NOT asc_ AND len % 3 = 0 THEN word || '.ogg' END"
 
 
@@ -314,7 +314,7 @@ def b15(spark, sf_dir):
     return lexicon.entries(spark, sf_dir).filter("sounds IS NOT NULL").select("entry_id", fe.best_ipa(F.col("sounds")).alias("ipa"))
 
 
-@query("b16_sound_classes", PHON + "SELECT DISTINCT ipa, classes AS dolgo_classes, cons AS dolgo_consonants, first2 AS dolgo_first2, length(ipa) AS n_tokens FROM voiced")
+@query("b16_sound_classes", PHON + "SELECT DISTINCT ipa, classes AS dolgo_classes, cons AS dolgo_consonants, first2 AS dolgo_first2, length(classes) AS n_tokens FROM voiced")
 def b16(spark, sf_dir):
     strings = lexicon.entries(spark, sf_dir).select(fe.best_ipa(F.col("sounds")).alias("ipa")).filter("ipa IS NOT NULL")
     return sound_classes(strings).select("ipa", "dolgo_classes", "dolgo_consonants", "dolgo_first2", F.size("tokens").cast("long").alias("n_tokens"))
@@ -465,12 +465,12 @@ def c04(spark, sf_dir):
     return graph.naming(lexicon.entries(spark, sf_dir)).select("parent_word", "parent_code", "entry_id")
 
 
-_SUGGEST = """, q AS (SELECT DISTINCT upper(left(concept_word, 2)) AS q FROM trans), c AS (SELECT e.word AS concept, pos, e.entry_id, (SELECT count(*) FROM trans t WHERE t.hub_id = e.entry_id) AS translation_count FROM ent e WHERE is_hub),
-s AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY translation_count DESC, concept, pos, entry_id) AS rank, concept, pos, translation_count FROM q JOIN c ON starts_with(lower(concept), lower(q)))"""
+_SUGGEST = f""", q AS (SELECT DISTINCT {lexicon.RAISED.format('left(concept_word, 2)')} AS q FROM trans), c AS (SELECT e.word AS concept, pos, e.entry_id, (SELECT count(*) FROM trans t WHERE t.hub_id = e.entry_id) AS translation_count FROM ent e WHERE is_hub),
+s AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY translation_count DESC, concept, pos, entry_id) AS rank, concept, pos, translation_count FROM q JOIN c ON starts_with(replace(lower(concept), 'ß', 'ss'), replace(lower(q), 'ß', 'ss')))"""
 
 
 def _prefixes(spark, sf_dir):
-    return concepts.hubs(lexicon.entries(spark, sf_dir)).select(F.upper(F.substring("concept", 1, 2)).alias("q")).distinct()
+    return concepts.hubs(lexicon.entries(spark, sf_dir)).select(lexicon.raised(F.substring("concept", 1, 2)).alias("q")).distinct()
 
 
 @query("c05_suggest", _SUGGEST + " SELECT q, concept, pos, translation_count FROM s")
@@ -496,11 +496,11 @@ def c08(spark, sf_dir):
 
 
 @query("c09_details", EVERY + ANC + f""", w AS (SELECT CASE WHEN length(word) % 2 = 0 THEN '*' ELSE '' END || word AS asked_word, lang AS asked_lang, word AS base FROM seeds),
-ph AS (SELECT entry_id, ipa, classes, replace(classes, 'V', '') AS cons FROM (SELECT entry_id, ipa, translate(ipa, 'aeiouybdfpgckqxhjlrmnstvwz', 'VVVVVVPTPPKKKKKHJRRMNSTWWS') AS classes FROM ent WHERE has_sounds)),
+ph AS (SELECT entry_id, ipa, classes, replace(classes, 'V', '') AS cons FROM (SELECT entry_id, ipa, {lexicon.CLASSES.format('ipa')} AS classes FROM ent WHERE has_sounds)),
 tl AS (SELECT entry_id, string_agg(name, '|' ORDER BY p) AS ns FROM tmpl GROUP BY 1),
 {MENTIONED},
 ml AS (SELECT entry_id, string_agg(mention || ' ' || coalesce(names.name, code) || ' ' || role, '|' ORDER BY spot) AS said FROM mentioned LEFT JOIN names USING (code) GROUP BY 1)
-SELECT asked_word, asked_lang, o.entry_id, o.word, o.pos, {_GLOSSES} AS glosses, CASE WHEN has_sounds THEN {_FIRST_IPA} END AS ipa, o.etymology_text, coalesce(ns, '') AS template_names,
+SELECT asked_word, asked_lang, o.entry_id, o.word, o.pos, {_GLOSSES} AS glosses, CASE WHEN has_sounds THEN {_FIRST_IPA.replace('ipa', 'o.ipa')} END AS ipa, o.etymology_text, coalesce(ns, '') AS template_names,
   coalesce(a.type, b.type) AS type, coalesce(a.source, b.source) AS source, CASE WHEN has_sounds THEN coalesce({_AUDIO}, '') ELSE '' END AS audio, ph.ipa AS phonetic_ipa, ph.classes AS dolgo_classes, ph.cons AS dolgo_consonants, coalesce(said, '') AS mentions
 FROM w JOIN one o ON o.word = CASE WHEN asked_word = base THEN base ELSE strip_accents(base) END AND o.lang = asked_lang LEFT JOIN ({_TEMPLATE_SAYS}) a USING (entry_id) LEFT JOIN ({_TEXT_SAYS}) b USING (entry_id) LEFT JOIN ph USING (entry_id) LEFT JOIN tl USING (entry_id) LEFT JOIN ml USING (entry_id)""")
 def c09(spark, sf_dir):
@@ -634,8 +634,8 @@ def g03(spark, sf_dir):
     found, entries, names, nodes, _ = _chain(spark, sf_dir)
     trees = graph.Trees(entries, templates.component_edges(entries, names).withColumn("from_exists", F.lit(False)), names, ("inh", "bor", "der"))
     start = templates.with_codes(nodes.select("seed_id", F.col("label").alias("word"), F.col("language").alias("lang"), "level"), names, "lang", "code")
-    trees._descend(start, None)
-    return graph.merge_edges(trees._all_edges())
+    trees.descend(start)
+    return trees.edges()
 
 
 def _trees(spark, sf_dir, types):
@@ -651,9 +651,7 @@ def g04(spark, sf_dir):
 
 @query("g05_cognate_trees")
 def g05(spark, sf_dir):
-    nodes, links = _trees(spark, sf_dir, ("inh", "cog"))
-    n = nodes.groupBy("seed_id").agg(F.count("*").alias("nodes"))
-    return n.join(links.groupBy("seed_id").agg(F.count("*").alias("edges"), F.count_if(F.col("label") == "cog").alias("cognates")), "seed_id", "left")
+    return _trees(spark, sf_dir, ("inh", "cog"))[1]
 
 
 @query("g06_trees")

@@ -8,6 +8,7 @@ folder, as a dictionary is loaded once and asked many times.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,9 +23,21 @@ COMMON = 50
 #: Seeds are the words whose MD5 begins with less than this, about 1.2 % of all, and of this length at least.
 SEED_MD5, SEED_LENGTH = "03", 5
 
+#: How spellings are said, besides ``ch``: with a tie bar in words of even length, without in others.
+TIED = "t͡ʃ"
+SPELLED = {"sh": "ʃ", "th": "θ", "nd": "ⁿd"}.items()
+#: The tone at the end of words whose length 7 divides.
+FALLING = "˥˩"
+_SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 _KEPT: dict[tuple[str, str, str], str] = {}
 
 
+def raised(word: Column) -> Column:
+    """With capitals for the letters a to z: others have no capital that all systems agree on."""
+    return F.translate(word, _SMALL, _LARGE)
+
+
 def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A table that is made once for each input in a session, and read from the shared folder afterwards."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -113,12 +126,13 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         _template(n % 8 == 7, "doublet", {"1": lc, "2": left(6)}),
     )
     ascii_word = w.rlike("^[a-z]+$")
+    said = F.concat(reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), SPELLED, F.replace(w, F.lit("ch"), F.when(n % 2 == 0, TIED).otherwise("tʃ"))), F.when(n % 7 == 0, FALLING).otherwise(""))
     sound = lambda ipa, tags, ogg: F.struct(ipa.alias("ipa"), tags.alias("tags"), ogg.alias("ogg_url"), F.lit(None).cast("string").alias("mp3_url"))
     none, no_tags, british = F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.array(F.lit("UK"))
     sounds = (
-        F.when(ascii_word & (n % 7 == 0), F.array(sound(F.concat(F.lit("["), w, F.lit("]")), british, none)))
-        .when(ascii_word & (n % 2 == 0), F.array(sound(F.concat(F.lit("/x"), w, F.lit("/")), british, F.concat(w, F.lit(".ogg"))), sound(F.concat(F.lit(" /ˈ"), w, F.lit("/ ")), no_tags, none)))
-        .when(ascii_word, F.array(sound(F.concat(F.lit("/"), w, F.lit("./")), no_tags, none)))
+        F.when(ascii_word & (n % 7 == 0), F.array(sound(F.concat(F.lit("["), said, F.lit("]")), british, none)))
+        .when(ascii_word & (n % 2 == 0), F.array(sound(F.concat(F.lit("/x"), said, F.lit("/")), british, F.concat(w, F.lit(".ogg"))), sound(F.concat(F.lit(" /ˈ"), said, F.lit("/ ")), no_tags, none)))
+        .when(ascii_word, F.array(sound(F.concat(F.lit("/"), said, F.lit("./")), no_tags, none)))
         .when(n % 3 == 0, F.array(sound(none, no_tags, F.concat(w, F.lit(".ogg")))))
     )
     text = (
@@ -136,7 +150,7 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(
             F.when(n % 5 == 2, gloss(F.lit(None).cast("array<string>"))),
             gloss(F.array(F.concat(F.lit("gloss of "), w), F.concat(F.lit("second of "), w))),
-            F.when(F.col("r").isNotNull() & (F.col("r") % PER_CONCEPT).isin(1, 2), gloss(F.array(F.upper("hub")))),
+            F.when(F.col("r").isNotNull() & (F.col("r") % PER_CONCEPT).isin(1, 2), gloss(F.array(raised(F.col("hub"))))),
         )
     )
     is_hub = (lc == "en") & (F.col("r") % PER_CONCEPT == 0) & (F.col("concept") % 7 != 0)
@@ -176,11 +190,13 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAME = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items()) + " END"
+RAISED = f"translate({{}}, '{_SMALL}', '{_LARGE}')"
+_SAID = reduce(lambda x, r: f"replace({x}, '{r[0]}', '{r[1]}')", SPELLED, f"replace(word, 'ch', CASE WHEN len % 2 = 0 THEN '{TIED}' ELSE 'tʃ' END)") + f" || CASE WHEN len % 7 = 0 THEN '{FALLING}' ELSE '' END"
 _NEXT = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NEXT.items()) + " END"
 
 SQL = f"""
 tok AS (SELECT lang AS lc, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents),
-wc AS (SELECT lc, word, count(*) AS n FROM tok WHERE length(word) >= 3 GROUP BY lc, word),
+wc AS MATERIALIZED (SELECT lc, word, count(*) AS n FROM tok WHERE length(word) >= 3 GROUP BY lc, word),
 rk AS (SELECT lc, word, r, r // 10 AS concept FROM (SELECT lc, word, row_number() OVER (PARTITION BY lc ORDER BY n DESC, word) - 1 AS r FROM wc)),
 hubs AS (SELECT concept, word AS hub FROM rk WHERE lc = 'en' AND r % 10 = 0),
 ent0 AS (
@@ -196,9 +212,9 @@ ent1 AS (
               ELSE 'From ' || left(word, 3) || ' and ' || left(word, 4) || '.' END AS etymology_text,
          lang_code = 'en' AND r % 10 = 0 AND concept % 7 <> 0 AS is_hub
   FROM ent0),
-ent AS (
+ent AS MATERIALIZED (
   SELECT entry_id, word, lang, lang_code, pos, etym, etymology_text, len, r, concept, hub, coalesce(is_hub, false) AS is_hub, nx, asc_,
-         CASE WHEN asc_ AND len % 7 = 0 THEN word WHEN asc_ AND len % 2 = 0 THEN word WHEN asc_ THEN word END AS ipa,
+         CASE WHEN asc_ THEN {_SAID} END AS ipa,
          (asc_ OR len % 3 = 0) AS has_sounds
   FROM ent1
   UNION ALL
@@ -223,7 +239,14 @@ names AS (SELECT lang_code AS code, min(lang) AS name FROM ent GROUP BY lang_cod
 trans AS (SELECT e.word AS concept_word, e.entry_id AS hub_id, rk.word, {_NAME.format('rk.lc')} AS lang FROM ent e JOIN rk ON e.is_hub AND e.concept = rk.concept)
 """
 
+_ONCE = reduce(lambda x, c: f"regexp_replace({x}, '{c}+', '{c}', 'g')", "bcdfghjklmnpqrstvwxzʃθ", "regexp_replace(replace(replace({}, '͡', ''), 'ⁿ', ''), '[aeiouy]+', 'V', 'g')")
+_JOINED = reduce(lambda x, r: f"regexp_replace({x}, '{r[0]}', '{r[1]}', 'g')", {"[td][szʃ]": "K", "[td]θ": "T", "pf|bv": "P", "kx": "K", FALLING: "1"}.items(), _ONCE)
+#: The classes of what words are said to sound like.
+CLASSES = f"translate({_JOINED}, 'bdfpgckqxhjlrmnstvwzʃθ', 'PTPPKKKKKHJRRMNSTWWSST')"
+
 
 def oracle(query: str) -> str:
-    """A query over the lexicon's tables as one statement."""
-    return f"WITH {SQL.strip()} {query}" if not query.lstrip().startswith(",") else f"WITH {SQL.strip()}{query.lstrip()}"
+    """A query over the lexicon's tables as one statement. Its rows are put in order, so that all of them are there when
+    the first is read."""
+    own = query.lstrip()
+    return f"SELECT * FROM (WITH {SQL.strip()}{'' if own.startswith(',') else ' '}{own}) ORDER BY ALL"

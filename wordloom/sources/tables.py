@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions.entries import best_ipa
 from wordloom.functions.phonetics import sound_classes
 from wordloom.schema import ENTRY
-from wordloom.storage import exists
+from wordloom.storage import publish, published, read_published
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -26,8 +26,8 @@ def read_json_lines(spark: SparkSession, path: str, partitions: int | None = Non
 
 
 def write_entries(entries: DataFrame, path: str, partitions: int) -> None:
-    """Replace the table of entries, clustered by language and word."""
-    entries.repartition(partitions, "lang", "word").sortWithinPartitions("lang", "word").write.mode("overwrite").parquet(path)
+    """A new snapshot of the table of entries, clustered by language and word."""
+    publish(entries.repartition(partitions, "lang", "word").sortWithinPartitions("lang", "word"), path)
 
 
 def languages(entries: DataFrame) -> DataFrame:
@@ -43,8 +43,8 @@ def language_names(entries: DataFrame) -> DataFrame:
 
 def write_component_edges(edges: DataFrame, path: str, reprocess: bool = False) -> None:
     """Write the edges unless there are some already; ``reprocess`` replaces them. Clustered by the word they lead to."""
-    mode = "overwrite" if reprocess else "ignore"
-    edges.repartition("to_word", "to_lang").sortWithinPartitions("to_word", "to_lang").write.mode(mode).parquet(path)
+    if reprocess or not published(edges.sparkSession, path):
+        publish(edges.repartition("to_word", "to_lang").sortWithinPartitions("to_word", "to_lang"), path)
 
 
 def phonetic_rows(entries: DataFrame) -> DataFrame:
@@ -63,12 +63,12 @@ def missing_phonetics(entries: DataFrame, done: DataFrame | None) -> DataFrame:
 
 
 def append_phonetics(entries: DataFrame, path: str, reprocess: bool = False) -> None:
-    """Enrich what is new and append it to the table at ``path``; ``reprocess`` does all again."""
+    """Enrich what is new and add it to the table at ``path``; ``reprocess`` does all again."""
     spark = entries.sparkSession
-    if reprocess or not exists(spark, path):
-        phonetic_rows(entries).write.mode("overwrite").parquet(path)
+    if reprocess or not published(spark, path):
+        publish(phonetic_rows(entries), path)
     else:
-        missing_phonetics(entries, spark.read.parquet(path)).write.mode("append").parquet(path)
+        publish(missing_phonetics(entries, read_published(spark, path)), path, add=True)
 
 
 def graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
