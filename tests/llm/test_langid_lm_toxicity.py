@@ -124,6 +124,8 @@ def test_toxicity_awkward(spark, awkward):
     rows = toxicity.classify(awkward, chain).collect()
     assert len(rows) == awkward.count() and all(0 <= r.p_toxic <= 1 for r in rows)
     assert toxicity.classify(awkward.limit(0), chain).count() == 0
+    named = toxicity.train(awkward.select("doc_id", "text").toDF("a.b", "text"), labels.toDF("a.b", "to.xic", "rude"), ["rude", "to.xic"], "a.b")
+    assert [m.bias for m in named.models] == [m.bias for m in chain.models]
     none = toxicity.train(awkward.limit(0), labels.limit(0), ["toxic"])
     assert not any(r.is_toxic for r in toxicity.classify(awkward, none).collect())
 

@@ -80,6 +80,13 @@ def test_deduplicate_keeps_one(spark, awkward):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 6, 7, 9, 10]
 
 
+def test_ids_of_any_name(spark, awkward):
+    named = awkward.select("doc_id", "text").toDF("a.b", "t`x")
+    got = sorted((tuple(r) for r in simhash.near_duplicates(named, "a.b", "t`x").collect()), key=repr)
+    assert got == sorted((tuple(r) for r in simhash.near_duplicates(awkward).collect()), key=repr)
+    assert simhash.deduplicate(named, "a.b", "t`x").columns == ["a.b", "t`x"]
+
+
 def similarity(a, b):
     x, y = shingle_set(a), shingle_set(b)
     return len(x & y) / len(x | y) if x | y else 1.0

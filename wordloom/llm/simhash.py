@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import map_texts, materialise, numbered, scratch_path, table
+from wordloom.llm.common import col, map_texts, materialise, numbered, scratch_path, table
 from wordloom.storage import drop, write
 
 SHINGLE = 3
@@ -180,7 +180,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (long), component_id (the smallest id of its component)."""
-    prints = materialise(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), keep=["doc_id"]), "fingerprints")
+    prints = materialise(fingerprints(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")), keep=["doc_id"]), "fingerprints")
     first = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
     linked = components(links(first.select("fingerprint")))
     rooted = first.join(linked, F.col("fingerprint") == F.col("u"), "left").select("fingerprint", "first", F.coalesce("v", "fingerprint").alias("root"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import col, map_texts, sampled, table
+from wordloom.llm.common import col, map_texts, materialise, sampled, table
 
 #: Labelled rows used, words chosen for each category, least documents of a word, and folds.
 SAMPLE, WORDS, LEAST, FOLDS = 6_000, 80, 3, 5
@@ -159,29 +159,32 @@ class Chain:
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """``labels`` has the id and a 0/1 column for each category, in the order of the chain."""
-    spark = docs.sparkSession
-    one = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(*[F.max(c).cast("double").alias(c) for c in categories])
-    chosen = F.broadcast(sampled(one, id_col, SAMPLE))  # about SAMPLE rows
-    rows = docs.select(col(id_col).alias(id_col), F.coalesce(col(text_col), F.lit("")).alias("text")).join(chosen, id_col)
-
-    words = map_texts(rows, "text", lambda: lambda texts: [[features_of(x) for x in texts]], [T.StructField("words", T.ArrayType(T.StringType()))], categories)
-    seen = words.select(*categories, F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).filter(F.col("n") >= LEAST)
+    marks = [f"c{k}" for k in range(len(categories))]
+    given = labels.select(col(id_col).alias("__id"), *(col(c).cast("double").alias(k) for c, k in zip(categories, marks, strict=True)))
+    one = given.filter("__id IS NOT NULL").groupBy("__id").agg(*[F.max(k).alias(k) for k in marks])
+    chosen = F.broadcast(sampled(one, "__id", SAMPLE))  # about SAMPLE rows
+    rows = docs.select(col(id_col).alias("__doc"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    rows = materialise(rows.join(chosen, F.col("__doc") == F.col("__id")).drop("__doc"), "sample")
+
+    words = map_texts(rows, "text", lambda: lambda texts: [[features_of(x) for x in texts]], [T.StructField("words", T.ArrayType(T.StringType()))], marks)
+    seen = words.select(*marks, F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in marks]).filter(F.col("n") >= LEAST)
+    seen = materialise(seen, "features")
     n = one.count()
-    totals = chosen.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
+    totals = chosen.agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in marks]).first()
     picked: set[str] = set()
     if n:
-        for c in categories:
-            yes, all_ = totals[c] or 0.0, totals["n"]
-            lift = F.log((F.col(c) + 0.5) / (yes + 1)) - F.log((F.col("n") - F.col(c) + 0.5) / (all_ - yes + 1))
+        for k in marks:
+            yes, all_ = totals[k] or 0.0, totals["n"]
+            lift = F.log((F.col(k) + 0.5) / (yes + 1)) - F.log((F.col("n") - F.col(k) + 0.5) / (all_ - yes + 1))
             picked |= {r.word.removesuffix("#") for r in seen.orderBy(F.desc(F.abs(lift) * F.sqrt("n")), "word").limit(WORDS).collect()}
     chain = Chain(categories, {w: i for i, w in enumerate(sorted(picked))})
 
     fields = [T.StructField("x", T.ArrayType(T.FloatType()))]
-    vectors = map_texts(rows, "text", lambda: lambda texts: [list(chain.features(texts, {}))], fields, [id_col, *categories])
-    got = sorted(vectors.collect(), key=lambda r: r[id_col])  # about SAMPLE rows of some hundred numbers
+    vectors = map_texts(rows, "text", lambda: lambda texts: [list(chain.features(texts, {}))], fields, ["__id", *marks])
+    got = sorted(vectors.collect(), key=lambda r: r["__id"])  # about SAMPLE rows of some hundred numbers
     x = np.array([r.x for r in got], np.float64).reshape(len(got), 2 * len(chain.words) + SHAPES)
-    fold = np.array([hash_fold(r[id_col]) for r in got], np.int64)
-    chain.fit(x, [np.array([np.nan if r[c] is None else float(r[c] > 0) for r in got]) for c in categories], fold)
+    fold = np.array([hash_fold(r["__id"]) for r in got], np.int64)
+    chain.fit(x, [np.array([np.nan if r[k] is None else float(r[k] > 0) for r in got]) for k in marks], fold)
     return chain
 
 
