@@ -33,7 +33,7 @@ def dictionary(spark):
     return entries, names, components, materialise(seeds.select("seed_id", "word", "lang", "etym").unionByName(numbered).unionByName(odd))
 
 
-@pytest.mark.parametrize("types", [("inh",), ("inh", "bor", "der"), ("inh", "cog"), ("inh", "bor", "der", "cog")])
+@pytest.mark.parametrize("types", [("inh", "bor", "der"), ("inh", "cog")])
 def test_trees(spark, dictionary, types):
     entries, names, components, seeds = dictionary
     nodes, links = graph.Trees(entries, components, names, types).build(seeds)

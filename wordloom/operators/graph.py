@@ -120,9 +120,7 @@ class Trees:
         there = components.filter("from_exists").select("to_word", "to_lang", "from_word", "from_lang", "edge_type").distinct()
         self.components, _ = clustered(there.withColumn("from_exists", F.lit(True)), "components", "to_word", "to_lang")
         self.depth, self.down = max_ancestors, max_descendants
-        self.children = None
-        if self.types and not isinstance(entries, Dictionary):
-            self.children, _ = clustered(children(entries, self.types), "children", "parent_word", "parent_code")
+        self.children = clustered(children(self.facts, self.types), "children", "parent_word", "parent_code")[0] if self.types else None
         self.nodes: list[DataFrame] = []
         self.visited: DataFrame | None = None
         self._name: str | None = None

@@ -37,7 +37,7 @@ class Dictionary:
         numbered = F.collect_list(F.when(F.col("etymology_number").isNotNull(), F.struct(F.col("etymology_number").alias("number"), "pos", "entry_id")))  # of one word
         words = usable.groupBy("word", "lang").agg(first.alias("f"), F.sort_array(numbered).alias("numbered")).select("word", "lang", F.col("f.entry_id").alias("entry_id"), "numbered")
         self.words, _ = clustered(words, "words", "word", "lang")
-        self.facts, _ = clustered(entries.select("entry_id", "word", "lang", "lang_code", "etymology_text", "etymology_templates"), "facts", "entry_id")
+        self.facts, _ = clustered(entries.select("entry_id", "word", "lang", "lang_code", "pos", "etymology_number", "etymology_text", "etymology_templates"), "facts", "entry_id")
 
     def known(self) -> DataFrame:
         return self.words.select(F.col("word").alias("__w"), F.col("lang").alias("__l"), F.col("entry_id").alias("__id"))

@@ -16,7 +16,7 @@ from wordloom.functions.phonetics import sound_classes
 from wordloom.operators import audit, concepts, edges, graph, lookup, templates
 from wordloom.schema import AFFIXES
 from wordloom.sources import lexicon, tables
-from wordloom.storage import materialise, read_published, scratch_path
+from wordloom.storage import read_published, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -632,16 +632,27 @@ d3 AS (SELECT DISTINCT seed_id, to_id AS from_id, k.word || ':' || k.lang AS to_
 SELECT seed_id, from_id, to_id, min(label) AS label FROM (SELECT seed_id, from_id, to_id, label FROM d1 UNION SELECT seed_id, from_id, to_id, label FROM d2 UNION SELECT * FROM d3) GROUP BY ALL""")
 def g03(spark, sf_dir):
     found, entries, names, nodes, _ = _chain(spark, sf_dir)
-    trees = graph.Trees(entries, templates.component_edges(entries, names).withColumn("from_exists", F.lit(False)), names, ("inh", "bor", "der"))
+    trees = graph.Trees(_dictionary(spark, sf_dir), templates.component_edges(entries, names).limit(0).withColumn("from_exists", F.lit(False)), names, ("inh", "bor", "der"))
     start = templates.with_codes(nodes.select("seed_id", F.col("label").alias("word"), F.col("language").alias("lang"), "level"), names, "lang", "code")
     trees.descend(start)
     return trees.edges()
 
 
+_DEALT: dict[tuple[str, str], lookup.Dictionary] = {}
+
+
+def _dictionary(spark, sf_dir):
+    """The dictionary in buckets, dealt out once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DEALT:
+        _DEALT[key] = lookup.Dictionary(lexicon.entries(spark, sf_dir))
+    return _DEALT[key]
+
+
 def _trees(spark, sf_dir, types):
     entries, names = _lex(spark, sf_dir)
-    found = materialise(edges.with_existence(templates.component_edges(entries, names), entries))
-    return graph.Trees(entries, found, names, types).build(lexicon.seeds(spark, sf_dir))
+    found = lexicon.once(spark, sf_dir, "components", lambda: edges.with_existence(templates.component_edges(entries, names), entries))
+    return graph.Trees(_dictionary(spark, sf_dir), found, names, types).build(lexicon.seeds(spark, sf_dir))
 
 
 @query("g04_components")
