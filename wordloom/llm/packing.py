@@ -169,7 +169,7 @@ class Words:
         parts = {core for core, _ in others.values()}.union({closing for _, closing in others.values()})
         unseen = [p for p in parts if p not in self.known and p not in fresh]
         rest = [p for p in unseen if not LETTERS.fullmatch(p)]
-        letters = list({w for w in words if w not in others}.union(unseen).difference(rest, fresh))
+        letters = [w for w in {w for w in words if w not in others}.union(unseen).difference(rest) if w not in fresh]
         fresh.update(zip(letters, self._letters(letters), strict=True))
         fresh.update(zip(rest, self._each(rest), strict=True))
         ids = lambda p: fresh[p] if p in fresh else self.known[p]
@@ -190,7 +190,7 @@ class Words:
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+        distinct, which = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
         if len(self.known) > REMEMBERED:  # go on with those in use
             self.known = {w: self.known[w] for w in distinct if w in self.known}
         values = list(map(self.known.get, distinct))
