@@ -154,3 +154,88 @@ def test_families_of_near_copies(spark):
                 label[a] = label[b] = low
                 changed = True
     assert all(label[u] == label[v] for u, v in root.items())  # nothing is joined that isn't linked
+
+
+def grouped(rows):
+    """The smallest id of each text's component, by all pairs that share a shingle."""
+    holders, shared = {}, {}
+    for i, t in rows:
+        for x in shingle_set(t):
+            for j in holders.setdefault(x, []):
+                shared[j, i] = shared.get((j, i), 0) + 1
+            holders[x].append(i)
+    sizes = {i: len(shingle_set(t)) for i, t in rows}
+    pairs = [p for p, n in shared.items() if 5 * n >= 4 * (sizes[p[0]] + sizes[p[1]] - n)]
+    label, changed = {i: i for i, _ in rows}, True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return label
+
+
+def crowd(seed):
+    """Texts of one large group, each unlike most others, all with one passage in common; and short ones."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(3, 8))) for _ in range(3000)]
+    texts = family(rng, vocabulary, 350, 100, 0.06)
+    line = " ".join(rng.choices(vocabulary, k=12))
+    texts += [f"{line} {' '.join(rng.choices(vocabulary, k=rng.randint(1, 60)))}" for _ in range(60)]
+    texts += [" ".join(rng.choices(vocabulary[:3], k=rng.randint(1, 7))) for _ in range(60)]
+    return list(enumerate(dict.fromkeys(texts)))
+
+
+def roots(spark, rows):
+    texts = spark.createDataFrame([(i, i, t) for i, t in rows], "node long, doc long, text string")
+    found = {r.u: r.v for r in simhash.near_components(texts).collect()}
+    return {i: found.get(i, i) for i, _ in rows}
+
+
+def test_no_link_of_a_crowd_is_lost(spark):
+    """Every pair at 0.8 is in one component, however many texts share a bucket, and nothing else is."""
+    rows = crowd(13)
+    want = grouped(rows)
+    assert 20 < len(set(want.values())) < len(rows) - 20
+    assert roots(spark, rows) == want
+
+
+def test_pairs_without_a_common_anchor(spark):
+    """Texts at 0.8 or more that no anchor brings together are found all the same."""
+    rng, rows = random.Random(15), []
+    while len(rows) < 6:
+        words = [f"{rng.getrandbits(24):x}" for _ in range(94)]
+        copy = [*words[:20], "changed", *words[21:60], "changed", *words[61:]]
+        texts = [" ".join(words), " ".join(copy)]
+        anchors = [set(enumerate(simhash.sketch(simhash.shingles(t))[0])) for t in texts]
+        if not anchors[0] & anchors[1]:
+            assert similarity(*texts) >= 0.8
+            rows += enumerate(texts, len(rows))
+    assert roots(spark, rows) == {i: i - i % 2 for i in range(6)}
+
+
+def test_links_without_heads_and_by_shares(spark, monkeypatch):
+    """The join of prefixes finds every link by itself, and where a shingle's texts are dealt out in shares."""
+    rows = crowd(14)
+    monkeypatch.setattr(simhash, "NEAR_BITS", -1)
+    monkeypatch.setattr(simhash, "SHARE", 20)
+    assert roots(spark, rows) == grouped(rows)
+
+
+def test_prefixes_meet_in_any_order():
+    """Two sets at 0.8 or more share a shingle of their prefixes, at places that leave room for all they share."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype("<u8"))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, int(rng.integers(0, 4))).astype("<u8")]))
+        shared = len(np.intersect1d(a, b))
+        if 5 * shared < 4 * (len(a) + len(b) - shared):
+            continue
+        tokens = np.unique(rng.choice(a, len(a) // 2))
+        x, y = (list(simhash.prefix(s, tokens, np.arange(len(tokens))[::-1] // 3 + 1)) for s in (a, b))
+        first = next(t for t in x if t in y)
+        assert min(len(a) - x.index(first), len(b) - y.index(first)) >= shared
+        odd = np.bitwise_count((simhash.parities(a) ^ simhash.parities(b)).view("<u8")).sum()
+        assert odd <= len(a) + len(b) - 2 * shared

@@ -14,13 +14,14 @@ small-star steps, each written to the shared folder. A node has 2,080 possible p
 all bits differs, so that two of 64 bits would miss nearly all. Fingerprints are therefore short, and hashed in the same
 way among the texts that have an anchor in common: the smallest shingle hash under one of ``ANCHORS`` mixings, which two
 texts share with a chance of their similarity. A fingerprint's length follows the number of texts at its anchor, so that
-chance meetings stay few; where it gets long, several are taken (``BANDS``). An anchor of one text emits nothing. A star,
-as above, would do for distances, but similarity is verified afterwards: two texts can be alike that are both unlike the
-star's centre. So there are two passes. In the first, each text is verified with the nearest of those that head one of its
-fingerprints, which makes one component of a family of copies. In the second, only texts of different components meet:
-all pairs of a bucket, up to ``SMALL`` texts, ``PICKS`` standing for a component; in larger buckets each text meets ``PICKS``
-others. What meets is compared by all ``ANCHORS`` fingerprints of 64 bits, and verified by the true similarity of the two
-sets of shingles. Equal texts are one node.
+chance meetings stay few; where it gets long, several are taken (``BANDS``). An anchor of one text emits nothing. Each text
+is verified with those that head one of its fingerprints, by the true similarity of the two sets of shingles, which makes
+one component of most of a family of copies. That loses links: two texts can be alike that are both unlike the head, or
+have no fingerprint in common. So all that is still apart is joined exactly. Two sets at ``SIMILAR`` share one of their
+first shingles (``prefix``) in any order that is the same for all texts; rare ones come first, so that few texts meet. All
+pairs of different components that share one are compared, whatever their number, by two bounds that no similar pair
+exceeds: the shingles left from there on, and the parities of 256 classes of hashes, of which no more can differ than
+shingles do. What is within both is verified. Equal texts are one node.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero, which links like any other (for
 ``deduplicate`` their sets of shingles are equal); texts of fewer words than a shingle have the hash of the whole
@@ -33,12 +34,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import col, map_texts, materialise, numbered, scratch_path, table
+from wordloom.llm.common import col, map_texts, materialise, numbered, sampled, scratch_path, small_batches, table
 from wordloom.storage import drop, write
 
 SHINGLE = 3
@@ -55,11 +57,14 @@ TURN = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
 ANCHORS, SPARE_BITS, MOST_BITS = 4, 6, 32
 #: Chance that all bands of all anchors miss a pair at SIMILAR; most bands of an anchor.
 MISSED, MOST_BANDS = 0.005, 8
-#: Rows of a bucket up to which all its pairs are compared, and rows of a larger one that each of it is compared with.
-SMALL, PICKS = 16, 2
-#: Bits of all fingerprints up to which a pair is verified: the mean at SIMILAR and three deviations.
+#: Bits of all fingerprints up to which a text is verified with a head: the mean at SIMILAR and three deviations.
 COMPARED = 64 * ANCHORS
 NEAR_BITS = round(TURN * COMPARED + 3 * math.sqrt(COMPARED * TURN * (1 - TURN)))
+#: Texts of a sample that tells which shingles are frequent (or a sixteenth of all texts, if more), how often they must be
+#: found there, and how many are told to the tasks. These only order shingles: any order gives the same pairs.
+ORDERED_BY, OFTEN, TOLD = 20_000, 4, 1 << 17
+#: Words of 64 parities of a set of shingles; texts of a share, where more share a shingle: every two shares meet.
+PARITIES, SHARE = 4, 4096
 _STEP = 1 << 16
 
 
@@ -123,6 +128,12 @@ def sketch(hashes: np.ndarray) -> tuple[list[int], list[int]]:
     return anchors, prints
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Is the number of hashes odd, for each class by their last bits: PARITIES longs."""
+    odd = np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``fingerprint`` (long)."""
     return map_texts(docs, text_col, lambda: lambda texts: [[fingerprint(x) for x in texts]], [T.StructField("fingerprint", T.LongType())], keep)
@@ -189,19 +200,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """One row per distinct text of ``texts(node, doc, text)``: node, doc (the smallest), n (shingles), anchors, prints."""
+    """One row per distinct text of ``texts(node, doc, text)``: node, doc (the smallest), n (shingles), anchors, prints, parity."""
 
     def make():
         def work(batch: list[str]) -> list[list]:
             sets = [shingles(x) for x in batch]
             made = [sketch(x) for x in sets]
-            return [[len(x) for x in sets], [a for a, _ in made], [p for _, p in made]]
+            return [[len(x) for x in sets], [a for a, _ in made], [p for _, p in made], [parities(x) for x in sets]]
 
         return work
 
     longs = T.ArrayType(T.LongType())
-    made = map_texts(texts, "text", make, [T.StructField("n", T.LongType()), T.StructField("anchors", longs), T.StructField("prints", longs)], ["node", "doc"])
-    return made.groupBy("node").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("n", "anchors", "prints")))
+    made = map_texts(texts, "text", make, [T.StructField("n", T.LongType()), *(T.StructField(c, longs) for c in ("anchors", "prints", "parity"))], ["node", "doc"])
+    return made.groupBy("node").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("n", "anchors", "prints", "parity")))
 
 
 def _bits(x: Column, y: Column) -> Column:
@@ -214,21 +225,6 @@ def _able(a: Column, b: Column) -> Column:
     return (F.least(a["n"], b["n"]) >= SIMILAR * F.greatest(a["n"], b["n"])) & (_bits(a["prints"], b["prints"]) <= NEAR_BITS)
 
 
-def _unlinked(pairs: Column) -> Column:
-    """Those of an array of pairs that may be alike and are of different components."""
-    return F.filter(pairs, lambda p: (p["a"]["root"] != p["b"]["root"]) & _able(p["a"], p["b"]))
-
-
-def _across(lists: Column, other: Column) -> Column:
-    """All pairs of two lists."""
-    return F.flatten(F.transform(lists, lambda x: F.transform(other, lambda y: F.struct(x.alias("a"), y.alias("b")))))
-
-
-def _within(items: Column) -> Column:
-    """All pairs of a list's members, each once."""
-    return F.flatten(F.transform(items, lambda x, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-
-
 def bands(nodes: DataFrame) -> DataFrame:
     """(group, bits, fingerprint, own): the short fingerprints of each text at each anchor that it has in common with others."""
     flat = nodes.select("node", "n", "prints", F.posexplode("anchors").alias("place", "anchor"))
@@ -249,48 +245,111 @@ def stars(banded: DataFrame) -> DataFrame:
     return banded.join(first, by).select(F.struct("node", "n", "prints").alias("a"), "b").filter((F.col("a.node") != F.col("b.node")) & _able(F.col("a"), F.col("b")))
 
 
-def met_in_bands(banded: DataFrame, linked: DataFrame) -> DataFrame:
-    """(a, b): texts of different components of ``linked(u, v)`` whose fingerprints at an anchor are within the radius.
-
-    Of a component, PICKS texts stand for all that have a fingerprint. A bucket holds the fingerprints that have a variant
-    in common, ``bits + 1`` at most. Where it holds SMALL texts or fewer, all its pairs meet, and likewise those of one
-    fingerprint: a few pairs a text, however many texts a group has. In a larger one each text meets PICKS of the others."""
-    by = ["group", "bits", "fingerprint"]
-    rooted = banded.join(linked, F.col("node") == F.col("u"), "left").select(*by, F.struct("node", "n", F.coalesce("v", "node").alias("root"), "prints").alias("own"))
-    pick = lambda k: F.min(F.struct(F.xxhash64("own.node", "group", F.lit(k)).alias("h"), "own"))
-    stand = rooted.groupBy(*by, F.col("own.root").alias("root")).agg(*(pick(k).alias(f"p{k}") for k in range(PICKS)))
-    stand = materialise(stand.select(*by, F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.own") for k in range(PICKS))))).alias("own")), "stand")
-    values = materialise(stand.groupBy(*by).agg(F.count("*").alias("m"), *(pick(k).alias(f"p{k}") for k in range(PICKS))), "values")
-    picks = F.array(*(F.col(f"p{k}.own") for k in range(PICKS)))
-    few = stand.join(values.filter(F.col("m").between(2, SMALL)).select(*by), by).groupBy(*by).agg(F.collect_list("own").alias("rows"))  # SMALL at most
-    alone = values.filter("m = 1").select(*by, F.array("p0.own").alias("rows"), F.col("m"))
-    many = values.filter(F.col("m") > SMALL).select(*by, picks.alias("rows"), F.col("m"))
-    held = materialise(alone.unionByName(few.withColumn("m", F.size("rows").cast("long"))).unionByName(many), "held")
-
-    one, width = F.lit(1).cast("long"), F.col("bits")
-    bit = F.explode(F.sequence(F.lit(0), width))
-    spread = held.repartition(max(1, math.ceil(held.count() / SPREAD)), *by)
-    flipped = F.when(F.col("bit") < width, F.col("fingerprint").bitwiseXOR(F.call_function("shiftleft", one, F.col("bit")))).otherwise(F.col("fingerprint"))
-    variants = spread.withColumn("bit", bit).select("group", flipped.alias("variant"), "m", F.struct("fingerprint", "rows").alias("list"))
-    buckets = variants.groupBy("group", "variant").agg(F.sum("m").alias("m"), F.collect_list("list").alias("lists")).filter(F.size("lists") > 1)  # 33 lists of SMALL at most
-    lesser = lambda x, y: F.col("variant") <= F.col("variant").bitwiseXOR(x["fingerprint"]).bitwiseXOR(y["fingerprint"])  # noqa: E731  of the two variants that two have in common
-    following = lambda x, i: F.filter(F.slice("lists", i + 2, F.size("lists")), lambda y: lesser(x, y))
-    crossing = F.flatten(F.transform("lists", lambda x, i: F.flatten(F.transform(following(x, i), lambda y: _across(x["rows"], y["rows"])))))
-    everyone = F.flatten(F.transform("lists", lambda x: x["rows"]))
-    nearest = F.slice(F.array_sort(F.transform(everyone, lambda x: F.struct(F.xxhash64(x["node"]).alias("h"), x.alias("own")))), 1, PICKS)
-    pairs = F.when(F.col("m") <= SMALL, crossing).otherwise(_across(everyone, F.transform(nearest, lambda x: x["own"])))
-    inside = held.filter(F.col("m").between(2, SMALL)).select(F.explode(_unlinked(_within(F.col("rows")))).alias("p"))
-    dense = stand.join(many.select(*by, "rows"), by).select(F.explode(_unlinked(_across(F.array("own"), F.col("rows")))).alias("p"))
-    return buckets.select(F.explode(_unlinked(pairs)).alias("p")).unionByName(inside).unionByName(dense).select("p.a", "p.b")
+def _once(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with the node and the doc of a row of ``wanted``."""
+    wanted = wanted.select(F.col("node").alias("wanted"), F.col("doc").alias("one"))
+    return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, (F.col("node") == F.col("wanted")) & F.col("doc").eqNullSafe(F.col("one")), "left_semi")
+
+
+def frequent(texts: DataFrame, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes that are frequent in a sample of the distinct texts, in order, and how often they are found there."""
+    total = nodes.count()
+    some = _once(texts, sampled(nodes, "node", max(ORDERED_BY, total // 16), total)).select("text")
+    sets = map_texts(some, "text", lambda: lambda batch: [[shingles(x).view("<i8") for x in batch]], [T.StructField("set", T.ArrayType(T.LongType()))], [])
+    counts = sets.select(F.explode("set").alias("token")).groupBy("token").count().filter(F.col("count") >= OFTEN)
+    told = counts.orderBy(F.desc("count"), "token").limit(TOLD).toArrow()
+    tokens, found = (told.column(c).to_numpy() for c in ("token", "count"))
+    tokens = tokens.astype("<i8").view("<u8")
+    order = np.argsort(tokens)
+    return tokens[order], found[order].astype("<i8")
+
+
+def prefix(hashes: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of a text's shingle hashes: so many that the rest is less than SIMILAR of all. Those among ``tokens`` come
+    last, the most frequent at the end. A text without words has one of its own kind."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, "<u8")
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+        hashes = hashes[np.argsort(np.where(tokens[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[: n - math.ceil(n * SIMILAR - 1e-3) + 1]
+
+
+def prefixes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(token, node, at): the shingles of each text's prefix that other texts have in theirs, and their places."""
+    told = texts.sparkSession.sparkContext.broadcast(frequent(texts, nodes))
+
+    def make():
+        return lambda batch: [[prefix(shingles(x), *told.value).view("<i8") for x in batch]]
+
+    made = map_texts(_once(texts, nodes), "text", make, [T.StructField("prefix", T.ArrayType(T.LongType()))], ["node"])
+    same = Window.partitionBy("token")
+    met = made.select("node", F.posexplode("prefix").alias("at", "token")).withColumn("least", F.min("node").over(same)).withColumn("most", F.max("node").over(same))
+    return materialise(met.filter("least < most").select("token", "node", "at"), "prefixes")
+
+
+def _close(lists: pa.ListArray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the pairs of different roots, in each of some buckets, that may be at SIMILAR; of each node the nearest only,
+    if so wanted."""
+    rows = lists.flatten()
+    field = {name: rows.field(name).to_numpy(zero_copy_only=False) for name in ("node", "root", "n", "left", "share")}
+    parity = np.stack([rows.field(f"p{k}").to_numpy(zero_copy_only=False) for k in range(PARITIES)], axis=1).view("<u8")
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype("<i8")
+    u, v = [np.zeros(0, "<i8")], [np.zeros(0, "<i8")]
+    for end, size in zip(np.cumsum(sizes), sizes, strict=True):
+        node, root, n, left, share = (field[c][end - size : end] for c in ("node", "root", "n", "left", "share"))
+        marks, two = parity[end - size : end], share.min() != share.max()
+        for at in range(0, size, 256):
+            part = slice(at, at + 256)
+            both = n[part, None] + n
+            least = np.ceil(both * (SIMILAR / (1 + SIMILAR)) - 1e-3).astype("<i8")  # shingles that two have in common at SIMILAR
+            fits = (root[part, None] != root) & (np.minimum(left[part, None], left) >= least)
+            if two:
+                fits &= share[part, None] != share
+            i, j = np.nonzero(fits)
+            bits = np.bitwise_count(marks[at + i] ^ marks[j]).sum(axis=1, dtype=np.int64)
+            fits = bits <= both[i, j] - 2 * least[i, j]
+            i, j, bits = at + i[fits], j[fits], bits[fits]
+            if nearest:
+                order = np.lexsort((j, bits, i))
+                i, j = i[order], j[order]
+                fits = np.diff(i, prepend=-1) != 0
+            else:
+                fits = i < j
+            u.append(np.maximum(node[i[fits]], node[j[fits]]))
+            v.append(np.minimum(node[i[fits]], node[j[fits]]))
+    return np.concatenate(u), np.concatenate(v)
+
+
+def met_in_prefixes(shared: DataFrame, nodes: DataFrame, linked: DataFrame, nearest: bool) -> DataFrame:
+    """(u, v), u > v: all pairs of texts of different components of ``linked(u, v)`` that can be at SIMILAR. ``nearest``: of
+    each text and each shingle of its prefix only the pair with the fewest differing parities.
+
+    A shingle that more than SHARE texts have is dealt out: every two shares of its texts are a bucket."""
+    same = Window.partitionBy("token")
+    known = nodes.select("node", "n", *(F.element_at("parity", k + 1).alias(f"p{k}") for k in range(PARITIES)))
+    rooted = shared.join(linked.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.withColumn("least", F.min("root").over(same)).withColumn("most", F.max("root").over(same)).withColumn("m", F.count("*").over(same)).filter("least < most")
+    shares = F.ceil(F.col("m") / SHARE).cast("int")
+    dealt = apart.select("token", "node", "root", "at", shares.alias("shares"), F.pmod(F.xxhash64("node"), shares).cast("int").alias("share"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).join(known, "node")
+    row = F.struct("node", "root", "n", (F.col("n") - F.col("at")).alias("left"), "share", *(f"p{k}" for k in range(PARITIES)))
+    buckets = dealt.groupBy("token", F.least("share", "other").alias("a"), F.greatest("share", "other").alias("b")).agg(F.collect_list(row).alias("rows"))
+
+    def run(batches):
+        for batch in batches:
+            u, v = _close(batch.column(0), nearest)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return small_batches(buckets.filter(F.size("rows") > 1).select("rows")).mapInArrow(run, "u long, v long").distinct()
 
 
 def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``pairs(u, v)`` whose sets of shingles have a Jaccard similarity of SIMILAR. Sets are made of one row of each
     text that is asked for."""
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "doc"), "node")
-    asked = materialise(asked.select(F.col("node").alias("wanted"), F.col("doc").alias("one")), "asked")
-    chosen = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, (F.col("node") == F.col("wanted")) & F.col("doc").eqNullSafe(F.col("one")), "left_semi")
-    sets = map_texts(chosen, "text", lambda: lambda batch: [[shingles(x).view("<i8") for x in batch]], [T.StructField("set", T.ArrayType(T.LongType()))], ["node"])
+    sets = map_texts(_once(texts, materialise(asked, "asked")), "text", lambda: lambda batch: [[shingles(x).view("<i8") for x in batch]], [T.StructField("set", T.ArrayType(T.LongType()))], ["node"])
     sets = materialise(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
     for end in ("u", "v"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
@@ -315,18 +374,25 @@ def near_components(texts: DataFrame) -> DataFrame:
     """(u, v): the smallest node of u's component, for every text of ``texts(node, doc, text)`` that is not that itself.
 
     First each text is compared with the nearest of those that head one of its fingerprints, then with the other ones that
-    this has not joined it to: families of copies become one component. Then what is still apart is compared pair by pair."""
+    this has not joined it to: most of a family of copies becomes one component. Then all that is still apart is compared,
+    the nearest pairs first, as what they join needs no more comparing."""
     nodes = materialise(sketches(texts), "nodes")
-    banded = bands(nodes)
-    heads = materialise(_ordered(stars(banded)), "heads")
+    heads = materialise(_ordered(stars(bands(nodes))), "heads")
     nearest = heads.groupBy("u").agg(F.min_by("v", F.struct("bits", "v")).alias("v"))
     found = materialise(verified(texts, nodes, nearest), "verified")
     linked = components(found)
-    for pairs in (lambda: heads.select("u", "v").join(nearest, ["u", "v"], "left_anti"), lambda: _ordered(met_in_bands(banded, linked)).select("u", "v").join(heads, ["u", "v"], "left_anti")):
-        apart = materialise(_between(pairs(), linked), "apart")
+    seen = heads.select("u", "v")
+    apart = materialise(_between(seen.join(nearest, ["u", "v"], "left_anti"), linked), "apart")
+    if not apart.isEmpty():
+        found = found.unionByName(materialise(verified(texts, nodes, apart), "verified"))
+        linked = components(found)
+    shared = prefixes(texts, nodes)
+    for nearest in (True, False):
+        apart = materialise(met_in_prefixes(shared, nodes, linked, nearest).join(seen, ["u", "v"], "left_anti"), "apart")
         if not apart.isEmpty():
             found = found.unionByName(materialise(verified(texts, nodes, apart), "verified"))
             linked = components(found)
+        seen = seen.unionByName(apart)
     return linked
 
 
