@@ -1,5 +1,6 @@
 """op10 against brute force over all pairs."""
 
+import math
 import random
 import re
 from functools import lru_cache
@@ -239,3 +240,43 @@ def test_prefixes_meet_in_any_order():
         assert min(len(a) - x.index(first), len(b) - y.index(first)) >= shared
         odd = np.bitwise_count((simhash.parities(a) ^ simhash.parities(b)).view("<u8")).sum()
         assert odd <= len(a) + len(b) - 2 * shared
+
+
+def test_long_sets_share_as_many_as_needed():
+    """Two sets at 0.8 or more share ``needed`` shingles of their prefixes, each at a place that the bound allows."""
+    rng, least_spare = np.random.default_rng(4), 1000
+    for k in range(200):
+        n, order = int(rng.integers(1, 3000)), (np.zeros(0, "<u8"), np.zeros(0, "<i8"))
+        a = np.sort(rng.integers(0, 1 << 63, n).astype("<u8"))
+        turned = int(n * rng.uniform(0.08, 0.12))
+        # every other pair differs in its first shingles, so that what it shares begins as late as can be
+        b = np.unique(np.concatenate([a[turned:], rng.integers(0, a[min(turned, n - 1)] if k % 2 else 1 << 63, turned).astype("<u8")]))
+        shared, (x, y) = len(np.intersect1d(a, b)), (simhash.prefix(s, *order) for s in (a, b))
+        least = math.ceil((len(a) + len(b)) * 4 / 9 - 1e-3)
+        if shared < least:
+            continue
+        must = simhash.needed(min(len(a), len(b)))
+        places = [(np.searchsorted(a, t), np.searchsorted(b, t)) for t in np.intersect1d(x, y)]
+        fit = sum(min(len(a) - i, len(b) - j) > least - must for i, j in places)
+        assert fit >= must
+        least_spare = min(least_spare, fit - must)
+    assert least_spare < 40
+
+
+def test_long_texts_that_meet_by_chance_are_not_verified(spark, monkeypatch):
+    """Long texts that share some rare shingles with every other are told apart without their sets, and links are found."""
+    rng = random.Random(16)
+    texts = [[f"{rng.getrandbits(32):x}" for _ in range(1200)] for _ in range(30)]
+    for i, t in enumerate(texts):
+        for u in texts[:i]:
+            line = [f"{rng.getrandbits(32):x}" for _ in range(12)]
+            t += line
+            u += line
+    copy = [w if k % 60 else "changed" for k, w in enumerate(texts[3])]
+    rows = list(enumerate(" ".join(t) for t in [*texts, copy]))
+    assert similarity(rows[3][1], rows[-1][1]) >= 0.8
+    asked, verified = [], simhash.verified
+    monkeypatch.setattr(simhash, "NEAR_BITS", -1)
+    monkeypatch.setattr(simhash, "verified", lambda texts, nodes, pairs: asked.append(pairs.count()) or verified(texts, nodes, pairs))
+    assert roots(spark, rows) == {i: 3 if i == 30 else i for i, _ in rows}
+    assert sum(asked) <= 5

@@ -17,11 +17,13 @@ texts share with a chance of their similarity. A fingerprint's length follows th
 chance meetings stay few; where it gets long, several are taken (``BANDS``). An anchor of one text emits nothing. Each text
 is verified with those that head one of its fingerprints, by the true similarity of the two sets of shingles, which makes
 one component of most of a family of copies. That loses links: two texts can be alike that are both unlike the head, or
-have no fingerprint in common. So all that is still apart is joined exactly. Two sets at ``SIMILAR`` share one of their
-first shingles (``prefix``) in any order that is the same for all texts; rare ones come first, so that few texts meet. All
-pairs of different components that share one are compared, whatever their number, by two bounds that no similar pair
-exceeds: the shingles left from there on, and the parities of 256 classes of hashes, of which no more can differ than
-shingles do. What is within both is verified. Equal texts are one node.
+have no fingerprint in common. So all that is still apart is joined exactly. Two sets at ``SIMILAR`` share some of their
+first shingles (``prefix``) in any order that is the same for all texts; rare ones come first, so that few texts meet. A
+prefix is so long that similar sets share one of it, and with each further shingle one more: ``needed`` tells how many.
+All pairs of different components that share one are compared, whatever their number, by three bounds that no similar pair
+exceeds: the shingles left from there on; the parities of 256 classes of hashes, of which no more can differ than shingles
+do; and how many of their prefixes they must share, as parities tell nothing of long texts, which meet by chance in a few.
+What is within all is verified, for which whole sets are shuffled. Equal texts are one node.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero, which links like any other (for
 ``deduplicate`` their sets of shingles are equal); texts of fewer words than a shingle have the hash of the whole
@@ -65,6 +67,8 @@ NEAR_BITS = round(TURN * COMPARED + 3 * math.sqrt(COMPARED * TURN * (1 - TURN)))
 ORDERED_BY, OFTEN, TOLD = 20_000, 4, 1 << 17
 #: Words of 64 parities of a set of shingles; texts of a share, where more share a shingle: every two shares meet.
 PARITIES, SHARE = 4, 4096
+#: Shingles of a text for each that its prefix has beyond the first which similar texts must share.
+FURTHER = 100
 _STEP = 1 << 16
 
 
@@ -264,16 +268,21 @@ def frequent(texts: DataFrame, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray
     return tokens[order], found[order].astype("<i8")
 
 
+def needed(n):
+    """Shingles that the prefix of a set of ``n`` has in common with that of any at SIMILAR, or the other's number if less."""
+    return 1 + n // FURTHER
+
+
 def prefix(hashes: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first of a text's shingle hashes: so many that the rest is less than SIMILAR of all. Those among ``tokens`` come
-    last, the most frequent at the end. A text without words has one of its own kind."""
+    """The first of a text's shingle hashes: so many that the rest, with ``needed`` of these, is SIMILAR of all. Those among
+    ``tokens`` come last, the most frequent at the end. A text without words has one of its own kind."""
     n = len(hashes)
     if not n:
         return np.zeros(1, "<u8")
     if len(tokens):
         at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
         hashes = hashes[np.argsort(np.where(tokens[at] == hashes, counts[at], 0), kind="stable")]
-    return hashes[: n - math.ceil(n * SIMILAR - 1e-3) + 1]
+    return hashes[: n - math.ceil(n * SIMILAR - 1e-3) + needed(n)]
 
 
 def prefixes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -289,14 +298,14 @@ def prefixes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialise(met.filter("least < most").select("token", "node", "at"), "prefixes")
 
 
-def _close(lists: pa.ListArray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of the pairs of different roots, in each of some buckets, that may be at SIMILAR; of each node the nearest only,
-    if so wanted."""
+def _close(lists: pa.ListArray, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of the pairs of different roots, in each of some buckets, that may be at SIMILAR, and of how many shingles a
+    pair must have a bucket; of each node the nearest only, if so wanted."""
     rows = lists.flatten()
     field = {name: rows.field(name).to_numpy(zero_copy_only=False) for name in ("node", "root", "n", "left", "share")}
     parity = np.stack([rows.field(f"p{k}").to_numpy(zero_copy_only=False) for k in range(PARITIES)], axis=1).view("<u8")
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype("<i8")
-    u, v = [np.zeros(0, "<i8")], [np.zeros(0, "<i8")]
+    u, v, need = [np.zeros(0, "<i8")], [np.zeros(0, "<i8")], [np.zeros(0, "<i4")]
     for end, size in zip(np.cumsum(sizes), sizes, strict=True):
         node, root, n, left, share = (field[c][end - size : end] for c in ("node", "root", "n", "left", "share"))
         marks, two = parity[end - size : end], share.min() != share.max()
@@ -304,27 +313,30 @@ def _close(lists: pa.ListArray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
             part = slice(at, at + 256)
             both = n[part, None] + n
             least = np.ceil(both * (SIMILAR / (1 + SIMILAR)) - 1e-3).astype("<i8")  # shingles that two have in common at SIMILAR
-            fits = (root[part, None] != root) & (np.minimum(left[part, None], left) >= least)
+            must = needed(np.minimum(n[part, None], n))
+            fits = (root[part, None] != root) & (np.minimum(left[part, None], left) > least - must)
             if two:
                 fits &= share[part, None] != share
             i, j = np.nonzero(fits)
+            must = must[fits]
             bits = np.bitwise_count(marks[at + i] ^ marks[j]).sum(axis=1, dtype=np.int64)
             fits = bits <= both[i, j] - 2 * least[i, j]
-            i, j, bits = at + i[fits], j[fits], bits[fits]
+            i, j, bits, must = at + i[fits], j[fits], bits[fits], must[fits]
             if nearest:
                 order = np.lexsort((j, bits, i))
-                i, j = i[order], j[order]
+                i, j, must = i[order], j[order], must[order]
                 fits = np.diff(i, prepend=-1) != 0
             else:
                 fits = i < j
             u.append(np.maximum(node[i[fits]], node[j[fits]]))
             v.append(np.minimum(node[i[fits]], node[j[fits]]))
-    return np.concatenate(u), np.concatenate(v)
+            need.append(must[fits].astype("<i4"))
+    return np.concatenate(u), np.concatenate(v), np.concatenate(need)
 
 
 def met_in_prefixes(shared: DataFrame, nodes: DataFrame, linked: DataFrame, nearest: bool) -> DataFrame:
     """(u, v), u > v: all pairs of texts of different components of ``linked(u, v)`` that can be at SIMILAR. ``nearest``: of
-    each text and each shingle of its prefix only the pair with the fewest differing parities.
+    each text and each shingle of its prefix only the pair with the fewest differing parities counts, so that some are missing.
 
     A shingle that more than SHARE texts have is dealt out: every two shares of its texts are a bucket."""
     same = Window.partitionBy("token")
@@ -339,10 +351,10 @@ def met_in_prefixes(shared: DataFrame, nodes: DataFrame, linked: DataFrame, near
 
     def run(batches):
         for batch in batches:
-            u, v = _close(batch.column(0), nearest)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _close(batch.column(0), nearest)], names=["u", "v", "need"])
 
-    return small_batches(buckets.filter(F.size("rows") > 1).select("rows")).mapInArrow(run, "u long, v long").distinct()
+    met = small_batches(buckets.filter(F.size("rows") > 1).select("rows")).mapInArrow(run, "u long, v long, need int")
+    return met.groupBy("u", "v", "need").count().filter("count >= need").select("u", "v")
 
 
 def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
