@@ -10,7 +10,7 @@ from wordloom import queries
 from wordloom.operators import concepts
 from wordloom.storage import materialise
 
-MAPPED = ["d09_mention_links", "h03_links", "h04_merged_links"]
+MAPPED = ["d09_mention_links", "h03_links", "h04_merged_links", "f07_ordered"]
 
 
 @pytest.mark.parametrize("name", MAPPED)
